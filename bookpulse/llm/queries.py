@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookpulse.llm import dac, token_counts, trie_codec
+from bookpulse.llm import dac, decontaminate, pii, q_quality, simhash, token_counts, trie_codec
 from bookpulse.llm.common import shared_dir, table
 
 
@@ -44,7 +44,36 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_trie_codec, op8_token_counts)}
+def op2_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in benchmark windows, the items, and the contamination verdict."""
+    found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        decontaminate.hit_words().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",").cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+def op7_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document."""
+    return simhash.classes(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of each document: counts and digest of the base spans; all spans, the added ones included."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *(pii.count("base_spans", k).alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(pii.joined("base_spans").cast("binary"), 256).alias("base_sha256"),
+        pii.joined("pii_spans").alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_fm_decontamination, op4_trie_codec, op7_simhash_classes, op8_token_counts, q_quality.op9_quality_rules, op10_pii)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_quality_rules": q_quality.ORACLE}
