@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookpulse.llm import dac, decontaminate, pii, q_quality, simhash, token_counts, trie_codec
+from bookpulse.llm import dac, decontaminate, pii, q_quality, simhash, token_counts, toxicity, trie_codec, warc
 from bookpulse.llm.common import shared_dir, table
 
 
@@ -57,6 +57,29 @@ def op2_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write ``pages`` as WARC records with revisits, salvage-read the archives, give what the records say."""
+    manifest = warc.write(warc.plan_revisits(table(spark, sf_dir, "pages")), shared_dir(spark))
+    head = lambda name: F.element_at("headers", name)
+    return warc.read(spark, manifest, payloads=False).where("kind = 'record'").select(
+        F.expr("try_cast(headers['x-page-id'] as long)").alias("page_id"),
+        head("x-payload-length").cast("long").alias("payload_bytes"),
+        F.substring_index(head("warc-payload-digest"), ":", -1).alias("payload_digest"),
+        head("warc-type").alias("record_type"),
+        head("x-refers-to-page-id").cast("long").alias("refers_to"),
+    )
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document by a machine fitted to labelled rows outside the held-out third."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    chosen = labels.where(F.col("toxic").isNotNull() & ~held_out).select("doc_id", F.col("toxic").alias("label"))
+    machine = toxicity.train(docs.join(F.broadcast(toxicity.sample(chosen)), "doc_id"))  # SAMPLE rows at most
+    scored = toxicity.score(docs, machine)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op7_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of each document."""
     return simhash.classes(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
@@ -73,7 +96,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_fm_decontamination, op4_trie_codec, op7_simhash_classes, op8_token_counts, q_quality.op9_quality_rules, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_fm_decontamination, op3_warc, op4_trie_codec, op6_toxicity, op7_simhash_classes, op8_token_counts, q_quality.op9_quality_rules, op10_pii)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {"op9_quality_rules": q_quality.ORACLE}
