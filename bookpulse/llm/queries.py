@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookpulse.llm import dac, decontaminate, pii, q_quality, simhash, token_counts, toxicity, trie_codec, warc
+from bookpulse.llm import dac, decontaminate, pii, q_quality, secrets, simhash, token_counts, toxicity, trie_codec, warc
 from bookpulse.llm.common import shared_dir, table
 
 
@@ -70,6 +70,18 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates and found secrets of each document; the digest of its redacted text (null text: null)."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), secrets.train())
+    return found.select(
+        "doc_id",
+        F.size("secret_candidates").cast("long").alias("n_candidates"),
+        F.size("secrets").cast("long").alias("n_secrets"),
+        F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",").alias("spans"),
+        F.sha2(F.col("redacted").cast("binary"), 256).alias("redacted_sha256"),
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each document by a machine fitted to labelled rows outside the held-out third."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
@@ -96,7 +108,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_fm_decontamination, op3_warc, op4_trie_codec, op6_toxicity, op7_simhash_classes, op8_token_counts, q_quality.op9_quality_rules, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_fm_decontamination, op3_warc, op4_trie_codec, op5_secret_scan, op6_toxicity, op7_simhash_classes, op8_token_counts, q_quality.op9_quality_rules, op10_pii)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {"op9_quality_rules": q_quality.ORACLE}
