@@ -80,7 +80,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = "size(array_distinct(flatten(transform({}, i -> array(i, i + 1, i + 2)))))"
     named = "array_sort(transform(slice(_words, 1, greatest(size(_words) - 2, 0)), (w, i) -> struct(concat_ws(' ', w, _words[i + 1], _words[i + 2]) as w, i as i)))"
     slow = f"transform(array({named}), s -> transform(filter(s, (p, k) -> p.w = get(s, k + 1).w or (k > 0 and p.w = get(s, k - 1).w)), p -> p.i))[0]"
-    return step.select(*keep, *MEASURES[:5], F.expr(f"cast(case when _exact then {covered.format('_at')} else {covered.format(slow)} end as long)").alias("n_repeat_words"))
+    repeats = F.expr(f"cast(case when _exact then {covered.format('_at')} else {covered.format(slow)} end as long)")
+    # As a generator's output the measurements aren't recomputed by filters on them, which would be pushed below a projection.
+    return step.select(*keep, F.inline(F.array(F.struct(*MEASURES[:5], repeats.alias("n_repeat_words")))))
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
