@@ -19,7 +19,7 @@ import regex
 _END = "</w>"
 
 
-def _byte_alphabet() -> dict[str, int]:
+def byte_alphabet() -> dict[str, int]:
     """Printable stand-ins of byte-level vocabularies, by the published rule: shown bytes are themselves, the rest follow from U+0100."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(shown)]
@@ -31,7 +31,7 @@ class BpeModel:
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
-        model, alphabet = spec["model"], _byte_alphabet()
+        model, alphabet = spec["model"], byte_alphabet()
         self.marks_end = model.get("end_of_word_suffix") == _END
 
         def symbols(token: str) -> str:
@@ -58,7 +58,8 @@ class BpeModel:
             self.pair.setdefault((age[a], age[b]), n)
             if self.left[n] == n:
                 self.left[n], self.right[n] = age[a], age[b]
-        self.longest = max(map(len, self.text))
+        self.size = list(map(len, self.text))
+        self.coded = [i.astype("<u4").tobytes() for i in self.ids]
         self._valid: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
         #: Non-empty prefixes of tokens, the tokens included; and the tokens that end each of them, longest first.
@@ -117,7 +118,7 @@ class BpeModel:
 
     def word(self, text: str) -> str:
         """A pretoken's symbols."""
-        s = text.encode("utf-8", "surrogatepass").decode("latin-1")
+        s = text if text.isascii() else text.encode("utf-8", "surrogatepass").decode("latin-1")
         return s[:-1] + chr(ord(s[-1]) + 256) if self.marks_end and s else s
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
@@ -128,9 +129,9 @@ class BpeModel:
         shared with the word before is kept, so each trie node is computed once. A node's last token is the suffix
         that is a token and may follow the last token of the prefix before it.
         """
-        stems, ending, known, neighbours, ids = self.stems, self._ending, self._valid, self.neighbours, self.ids
+        stems, ending, known, neighbours, coded = self.stems, self._ending, self._valid, self.neighbours, self.coded
         out: dict[str, bytes] = {}
-        before, last, deep = "", [-1], [0]
+        before, last, deep, size_of = "", [-1], [0], self.size
         for symbols, text in sorted((self.word(w), w) for w in words):
             n, k = len(symbols), 0
             top = min(n, len(before))
@@ -149,9 +150,10 @@ class BpeModel:
             found, i = [], n
             while i:
                 t = last[i]
-                found.append(t)
-                i -= len(self.text[t])
-            out[text] = ids[found[::-1]].astype("<u4").tobytes()
+                found.append(coded[t])
+                i -= size_of[t]
+            found.reverse()
+            out[text] = b"".join(found)
             before = symbols
         return out
 
@@ -170,28 +172,23 @@ class PieceCache:
     time, never results.
     """
 
-    def __init__(self, cut: Callable, solve: Callable, join: Callable, bound: int = 120_000):
+    def __init__(self, cut: Callable, solve: Callable, join: Callable, bound: int = 240_000):
         self.cut, self.solve, self.join, self.bound = cut, solve, join, bound
         self.chunks: dict = {}
         self.pieces: dict = {}
 
     def values(self, wanted: set) -> dict:
         """A value for each of the distinct chunks."""
-        known = self.chunks
+        known, have, join = self.chunks, self.pieces, self.join
         out = {c: known[c] for c in wanted if c in known}
         cuts = {c: self.cut(c) for c in wanted if c not in out}
-        have = self.pieces
         fresh = self.solve({p for ps in cuts.values() for p in ps if p not in have})
+        for c, ps in cuts.items():
+            out[c] = join([fresh[p] if p in fresh else have[p] for p in ps])
         if len(have) < 2 * self.bound:
             have.update(fresh)
-            look = have
-        else:
-            look = {p: have[p] if p in have else fresh[p] for ps in cuts.values() for p in ps}
-        join = self.join
-        new = {c: join([look[p] for p in ps]) for c, ps in cuts.items()}
         if len(known) < self.bound:
-            known.update(new)
-        out.update(new)
+            known.update((c, out[c]) for c in cuts)
         return out
 
 
@@ -215,7 +212,17 @@ def special_split(special: Iterable[str]) -> regex.Pattern:
 
 # The published pretoken pattern of the word tokenizer; inside a space-free chunk white space can't occur.
 WORD_PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+"
-word_pieces = regex.compile(WORD_PRETOKEN).findall
+_word_pretoken = regex.compile(WORD_PRETOKEN).findall
+
+
+def word_pieces(chunk: str) -> list[str]:
+    """Pretokens of a normal space-free chunk: a word, or a word and one character after it, need no pattern."""
+    if chunk.isascii() or max(chunk) < "\u0250":
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+    return _word_pretoken(chunk)
 
 
 def word_normal(text: str) -> str:

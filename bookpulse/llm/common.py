@@ -64,10 +64,11 @@ def put_atomically(uri: str, write: Callable) -> int:
     return size
 
 
-def map_text(df: DataFrame, column: str, new: T.StructType, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+def map_text(df: DataFrame, column: str, new: T.StructType, make: Callable[[], Callable], raw: bool = False) -> DataFrame:
     """Add columns that a function of one column gives, through Arrow batches, without a shuffle.
 
-    ``make()`` runs once a task and gives ``f(values) -> [pyarrow array per new field]``. All other columns pass
+    ``make()`` runs once a task and gives ``f(values) -> [pyarrow array per new field]``; values are a list, or with
+    ``raw`` the Arrow array. All other columns pass
     through; a column of ``df`` with the name of a new one (in any case) is replaced.
     """
     named = {f.name.lower() for f in new}
@@ -80,7 +81,7 @@ def map_text(df: DataFrame, column: str, new: T.StructType, make: Callable[[], C
         for whole in batches:
             for i in range(0, whole.num_rows, SLICE_ROWS):
                 b = whole.slice(i, SLICE_ROWS)
-                arrays = [b.column(k) for k in where] + f(b.column(at).to_pylist())
+                arrays = [b.column(k) for k in where] + f(b.column(at) if raw else b.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
     return df.mapInArrow(run, schema)

@@ -136,7 +136,10 @@ class WordEncoder:
         added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.added = {s: np.array([i], "<u4").tobytes() for s, i in added.items()}
         self.split = special_split(added)
-        self.cache = PieceCache(lambda c: [c] if self.odd(c) else word_pieces(word_normal(c)), self.solve, b"".join)
+        self.cache = PieceCache(self.cut, self.solve, b"".join)
+
+    def cut(self, chunk: str) -> list[str]:
+        return word_pieces(word_normal(chunk)) if chunk.isascii() or not self.odd(chunk) else [chunk]
 
     def solve(self, pieces: set) -> dict:
         todo = list(pieces)

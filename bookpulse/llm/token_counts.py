@@ -90,7 +90,7 @@ class Counter:
         self.model = load_model(path)
         self.machine = Transducer(self.model)
         self.split = special_split(self.model.special)
-        self.cache = PieceCache(word_pieces, lambda words: {w: self.machine.count(w) for w in words}, sum)
+        self.cache = PieceCache(word_pieces, lambda words: {w: self.machine.count(w) for w in words}, sum, 120_000)
 
     def compose(self, a: BlockMap, b: BlockMap) -> BlockMap:
         """The map of a block and the one after it. Associative; BlockMap("") is neutral."""
