@@ -7,6 +7,8 @@ Null and empty texts have no ids. Repeated rows are encoded alike. Texts of any
 
 from __future__ import annotations
 
+import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -15,13 +17,29 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from bookpulse.llm.bpe import SPACE, PieceCache, load_model, special_split
+from bookpulse.llm.bpe import SPACE, PieceCache, byte_alphabet, load_model, special_split
 from bookpulse.llm.common import map_text
 
 # The published pretoken pattern of byte-level BPE.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _pretoken = regex.compile(PRETOKEN.replace(r"\s", f"[{SPACE}]").replace(f"[^[{SPACE}]", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]"))
-_inner = regex.compile(f"[{SPACE}] ")
+_inner = re.compile(f"[{SPACE[SPACE.index(chr(0x85)):]}] ")
+
+
+_SPACED = [c + " " for c in "\t\n\v\f\r "]
+
+
+def _cut(key: str) -> list[str]:
+    """Pretokens of a chunk, written as the chunk after a space, or as what follows the space that it starts with."""
+    if key[:1] == " ":
+        return _pretoken.findall(key[1:])
+    # A space and a word, or that and one character after it, need no pattern.
+    if key.isascii() or max(key) < "\u0250":
+        if key.isalpha():
+            return [" " + key]
+        if key[:-1].isalpha():
+            return [" " + key[:-1], key[-1]]
+    return _pretoken.findall(" " + key)
 
 
 class TrieCodec:
@@ -30,36 +48,45 @@ class TrieCodec:
     def __init__(self, path: str):
         self.model = load_model(path)
         self.split = special_split(self.model.special) if self.model.special else None
-        self.cache = PieceCache(_pretoken.findall, self.model.encode_words, b"".join)
-        n = int(max([*self.model.ids, *self.model.special.values()])) + 1
-        self.bytes = [b""] * n
-        for text, i in zip(self.model.text, self.model.ids):
-            self.bytes[i] = text.encode("latin-1")
-        for text, i in self.model.special.items():
-            self.bytes[i] = text.encode()
+        self.cache = PieceCache(_cut, self.model.encode_words, b"".join)
 
     def chunks(self, text: str) -> list[str]:
         """Parts whose pretokens are those of the text: a border before white space is one between pretokens."""
-        if text[:1] == " " or "  " in text or _inner.search(text):
-            return [c for c in regex.split(f"(?<=[^{SPACE}])(?=[{SPACE}])", text) if c]
-        first, *rest = text.split(" ")
-        return [first, *(" " + c for c in rest)]
+        if text[:1] == " " or any(x in text for x in _SPACED) or not text.isascii() and _inner.search(text):
+            return [" " + c for c in regex.split(f"(?<=[^{SPACE}])(?=[{SPACE}])", text) if c]
+        found = text.split(" ")
+        found[0] = " " + found[0]
+        return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, special strings in texts included as the library's default has it."""
-        parts = []
+        special, parts = self.model.special, []
         for t in texts:
             t = t or ""
-            segments = self.split.split(t) if self.split else [t]
-            parts.append([self.model.special[s] if k % 2 else self.chunks(s) for k, s in enumerate(segments) if s])
-        value = self.cache.values({c for p in parts for x in p if not isinstance(x, int) for c in x})
-        mark = {i: np.uint32(i).astype("<u4").tobytes() for i in self.model.special.values()}
-        return [np.frombuffer(b"".join(b"".join([value[c] for c in x]) if not isinstance(x, int) else mark[x] for x in p), dtype="<u4") for p in parts]
+            segments = self.split.split(t) if any(x in t for x in special) else [t]
+            parts.append([special[s] if k % 2 else self.chunks(s) for k, s in enumerate(segments) if s])
+        value = self.cache.values(set().union(*(x for p in parts for x in p if not isinstance(x, int))))
+        get, mark = value.__getitem__, {i: np.uint32(i).astype("<u4").tobytes() for i in special.values()}
+        return [np.frombuffer(b"".join([mark[x] if isinstance(x, int) else b"".join(map(get, x)) for x in p]), dtype="<u4") for p in parts]
 
-    def decode(self, ids) -> str:
+
+class Decoder:
+    """Bytes of each id of a tokenizer file, special tokens included."""
+
+    def __init__(self, path: str):
+        spec = json.load(open(path, encoding="utf-8"))
+        alphabet = byte_alphabet()
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.bytes = [b""] * (max([*spec["model"]["vocab"].values(), *special.values()]) + 1)
+        for token, i in spec["model"]["vocab"].items():
+            if token not in special:
+                self.bytes[i] = bytes(alphabet[c] for c in token)
+        for token, i in special.items():
+            self.bytes[i] = token.encode()
+
+    def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
-        table = self.bytes
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -67,6 +94,11 @@ def codec(path: str) -> TrieCodec:
     return TrieCodec(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids`` (array of int) of each text; other columns pass through."""
 
@@ -88,7 +120,12 @@ def decode(docs: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decod
     """Add the text of each row's ids (null: no ids); special tokens are kept."""
 
     def make():
-        c = codec(tokenizer)
-        return lambda rows: [pa.array([c.decode(x or ()) for x in rows], pa.string())]
+        c = decoder(tokenizer)
+
+        def f(rows: pa.ListArray) -> list:
+            at, flat = rows.offsets.to_pylist(), rows.values.to_numpy(zero_copy_only=False)
+            return [pa.array([c.decode(flat[i:j].tolist()) for i, j in zip(at, at[1:])], pa.string())]
+
+        return f
 
-    return map_text(docs, ids, T.StructType([T.StructField(text, T.StringType(), False)]), make)
+    return map_text(docs, ids, T.StructType([T.StructField(text, T.StringType(), False)]), make, raw=True)
