@@ -74,7 +74,7 @@ def _long(source: str, pairs, left: str, right: str, keys: str = "trading_day, e
 
 
 def _corr(x: str, y: str) -> str:
-    return f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
+    return f"round(covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0), 12)"
 
 
 def _raw(source: str, by: str) -> str:
