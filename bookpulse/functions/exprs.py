@@ -130,3 +130,12 @@ def month_of(day: str = "trading_day") -> Column:
 def family(name: Column) -> Column:
     """A factor's name up to its first numbered part."""
     return F.regexp_replace(name, "_[0-9].*$", "")
+
+
+def opaque(columns: dict[str, Column]) -> Column:
+    """Named columns as a generator's output: filters aren't pushed through it and constraints not derived from it.
+
+    Catalyst otherwise substitutes whole factor expressions into filters and constraints of later steps, which grows
+    until the driver runs out of memory.
+    """
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))

@@ -35,7 +35,7 @@ def book_factors(
     added |= {f"oir_{k}": X.oir(k) for k in oir_depths} | {f"book_slope_{k}": X.book_slope(k) for k in book_slope_depths}
     added |= {f"voi_{k}": X.voi(k) for k in flow_levels} | {f"ofi_{k}": X.ofi(k) for k in flow_levels}
     lagged = lags(frame, flow_levels, tiebreak)
-    return lagged.select(*frame.columns, *(c.alias(n) for n, c in added.items()))
+    return lagged.select(*frame.columns, X.opaque(added))
 
 
 def trade_imbalance(trades: DataFrame, window_ms: int = 3000, windows=X.AUCTION_WINDOWS) -> DataFrame:

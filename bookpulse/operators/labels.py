@@ -43,13 +43,13 @@ def forward_returns(frame: DataFrame, horizons_ms: Sequence[int] = (3000, 30000)
     wall, the lunch break isn't.
     """
     schema.check_labels(frame, price)
-    out = frame.withColumns({"_t": X.clock_ms(), "_p": base_price(frame, price)})
+    out = frame.select("*", X.opaque({"_t": X.clock_ms(), "_p": base_price(frame, price)}))
     for h in schema.horizons(horizons_ms):
         builds = out.select(*DAY, "_t", *tiebreak, F.struct(F.col("_t").alias("t"), F.col("_p").alias("p")).alias("_at"))
         found = asof_forward(out.withColumn("_want", F.col("_t") + h), builds, DAY, "_want", "_t", "_at", tiebreak)
         later = F.col("_at.p")
         ret = F.when((F.col("_p") > 0) & (later > 0), later / F.col("_p") - 1)
-        out = found.withColumns({f"label_time_ms_{h}ms": F.col("_at.t"), f"label_price_{h}ms": later, f"fwd_ret_{h}ms": ret}).drop("_want", "_at")
+        out = found.select("*", X.opaque({f"label_time_ms_{h}ms": F.col("_at.t"), f"label_price_{h}ms": later, f"fwd_ret_{h}ms": ret})).drop("_want", "_at")
     return out.drop("_t", "_p")
 
 
