@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from bookpulse.llm.common import map_text
 
 BUCKETS, SAMPLE, FEATURES, SKETCH = 1 << 22, 8_000, 4096, 4
-#: A feature stands in LEAST_ROWS rows at least, and in that many of a thousand.
-CHI, LEAST_ROWS, FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 40.0, 4, 4, 40, 256, 0.5, 1e-6, 7
+#: A feature stands in LEAST_ROWS rows at least, and in one of 500.
+CHI, LEAST_ROWS, FACTORS, STEPS, BATCH, RATE, DECAY, SEED = 40.0, 4, 4, 1500, 256, 0.5, 1e-6, 7
 PREFIXES = range(3, 7)
 
 # Lower-case ASCII letters and everything beyond ASCII are letters; the rest separates.
@@ -97,7 +97,7 @@ def select(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     n, k = np.bincount(where), np.bincount(where, y)
     rate = labels.mean()
     chi = (k - n * rate) ** 2 / (n * rate * (1 - rate))
-    ok = np.flatnonzero((k > n * rate) & (n >= LEAST_ROWS) & (1000 * n >= LEAST_ROWS * len(rows)) & (chi >= CHI))
+    ok = np.flatnonzero((k > n * rate) & (n >= LEAST_ROWS) & (500 * n >= len(rows)) & (chi >= CHI))
     best = ok[np.lexsort((buckets[ok], -chi[ok]))][:FEATURES]
     return np.sort(buckets[best])
 
@@ -114,9 +114,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
     x = [np.searchsorted(buckets, np.intersect1d(r, buckets)) for r in rows]
     random = np.random.default_rng(SEED)
     m = Machine(buckets, float(np.log(labels.mean() / (1 - labels.mean()))), np.zeros(len(buckets)), random.normal(0, 0.01, (len(buckets), FACTORS)))
-    weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
+    weight = np.ones(len(labels))
     seen_w, seen_v = np.full(len(buckets), 1e-8), np.full(m.factors.shape, 1e-8)
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS // max(1, len(x) // BATCH))):  # as many steps for small samples as for large ones
         for part in np.array_split(random.permutation(len(x)), max(1, len(x) // BATCH)):
             batch = [x[i] for i in part]
             p = 1 / (1 + np.exp(-np.clip(m.raw(batch), -30, 30)))
