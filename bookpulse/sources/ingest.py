@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,13 +66,24 @@ def _typed(raw: str, kind: str) -> Column:
     return F.when(~F.col(f"`{raw}`").isin(*NULL_TOKENS), F.col(f"`{raw}`")).cast(kind)
 
 
-def scan(spark: SparkSession, source, dataset: str, month: str) -> DataFrame:
+def by_header(spark: SparkSession, files: Iterable[str]) -> list[list[str]]:
+    """Files in groups of equal header lines; Spark takes the columns of all files of one read from the first."""
+    groups: dict[str, list[str]] = {}
+    for f in files:
+        first = spark.read.text(f).limit(1).collect() if "://" in f else [[next(open(f, encoding="utf-8"), "").rstrip("\r\n")]]
+        groups.setdefault(first[0][0] if first else "", []).append(f)
+    return list(groups.values())
+
+
+def scan(spark: SparkSession, source: str | Iterable[str], dataset: str, month: str) -> DataFrame:
     """Typed, renamed rows with ``symbol`` and ``source_month`` first. Columns are found by header name, never by place."""
-    raw = spark.read.option("header", "true").option("mode", "FAILFAST").option("emptyValue", "").csv(source)
-    columns = SCHEMAS[dataset]
-    if missing := [c for c in columns if c not in raw.columns]:
-        raise ValueError(f"{dataset}: missing columns {', '.join(missing)}")
-    typed = raw.select(*[_typed(r, kind).alias(name) for r, (kind, name) in columns.items()])
+    columns, parts = SCHEMAS[dataset], []
+    for files in by_header(spark, [source] if isinstance(source, str) else source):
+        raw = spark.read.option("header", "true").option("mode", "FAILFAST").option("emptyValue", "").csv(files)
+        if missing := [c for c in columns if c not in raw.columns]:
+            raise ValueError(f"{dataset}: missing columns {', '.join(missing)}")
+        parts.append(raw.select(*[_typed(r, kind).alias(name) for r, (kind, name) in columns.items()]))
+    typed = reduce(DataFrame.unionByName, parts)
     return typed.select(zero_padded(F.col("secu_code")).alias("symbol"), F.lit(month).alias("source_month"), *typed.columns)
 
 
