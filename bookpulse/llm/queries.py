@@ -25,7 +25,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_trie_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode ``documents`` through the prefix trie, decode the ids, and give digests of both."""
     path = tokenizer_path("byte_bpe_50k.json")
-    return digests(trie_codec.decode(trie_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path))
+    return digests(trie_codec.recode(table(spark, sf_dir, "documents").select("doc_id", "text"), path))
 
 
 def digests(coded: DataFrame) -> DataFrame:

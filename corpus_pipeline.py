@@ -41,7 +41,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = queries.tokenizer_path("byte_bpe_50k.json")
-    return queries.digests(trie_codec.decode(trie_codec.encode(docs.select("doc_id", "text"), path), path))
+    return queries.digests(trie_codec.recode(docs.select("doc_id", "text"), path))
 
 
 STAGES = [("quality", keep_quality), ("near_dedup", near_dedup), ("decontaminate", drop_contaminated), ("secrets", redact_secrets), ("encode", encode)]
