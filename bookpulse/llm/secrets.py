@@ -1,7 +1,8 @@
 """Secret scans: candidate strings, judged by a random forest that removes false positives.
 
 Candidates are strings that could be credentials: values assigned to credential-like names, strings with a provider's
-prefix, private-key blocks, and free-standing runs of 20 or more key characters that hold a digit. Each is described by
+prefix, private-key blocks (PGP's too), and free-standing runs of 20 or more key characters that hold a digit. A candidate
+ends where its run or block ends, whatever its length. Each is described by
 its length, its character transitions (mean log probability of its letter pairs under plain text, share of changes
 between kinds of characters), entropy, dictionary coverage, its path (test and example paths), and neighbouring words
 that announce a credential or an example. The forest is trained from labelled findings: those given, or
@@ -35,12 +36,14 @@ FINDINGS = 20_000
 MARK = "<SECRET>"
 
 # Prefixes of providers' keys, names of credentials, words that announce secrets or examples.
-_PREFIX = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|npm_[A-Za-z0-9]{30,}|hf_[A-Za-z0-9]{30,}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"
+_PREFIX = r"AKIA[0-9A-Z]{16,}|ASIA[0-9A-Z]{16,}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{30,}|eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,}){2,}|npm_[A-Za-z0-9]{30,}|hf_[A-Za-z0-9]{30,}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"
 _NAME = r"(?:api[_-]?key|apikey|access[_-]?key|secret[_-]?key|client[_-]?secret|secret|token|auth[_-]?token|password|passwd|pwd|passphrase|private[_-]?key|credentials?)"
-_ASSIGNED = rf"{_NAME}\b[\"']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}[\"']?(?P<value>[^\s\"'<>,;]{{6,200}})"
-_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]{20,4000}?-----END [A-Z ]*PRIVATE KEY-----"
-_FREE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,60}[0-9])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_=-])"
-_CANDIDATE = re.compile(rf"(?P<block>{_BLOCK})|(?i:{_ASSIGNED})|(?<![A-Za-z0-9])(?P<prefix>{_PREFIX})|(?P<free>{_FREE})")
+# Nothing bounds a candidate from above: it ends where its run ends.
+_ASSIGNED = rf"{_NAME}\b[\"']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}[\"']?(?P<value>[^\s\"'<>,;]{{6,}}+)"
+_LABEL = r"[A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+_FREE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
+_CANDIDATE = re.compile(rf"(?P<block>-----BEGIN {_LABEL})|(?i:{_ASSIGNED})|(?<![A-Za-z0-9])(?P<prefix>{_PREFIX})|(?P<free>{_FREE})")
+_EDGE = re.compile(rf"-----(?P<edge>BEGIN|END) {_LABEL}")
 _ANNOUNCE = re.compile(rf"{_NAME}|\bkey\b|\bauth|bearer|login|credential", re.I)
 _EXAMPLE = re.compile(r"example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test|fake|redacted|todo|lorem|<|\$\{|%\(", re.I)
 _HASHLIKE = re.compile(r"sha-?\d*|md5|checksum|digest|commit|integrity|etag|uuid|guid|hash|revision", re.I)
@@ -74,11 +77,27 @@ class Candidate(NamedTuple):
     kind: str  # block, value, prefix, free
 
 
+def _blocks(text: str) -> dict[int, int]:
+    """Start and end of each private-key block of any length; a BEGIN line that meets another one before an END is none."""
+    edges = list(_EDGE.finditer(text))
+    return {m.start(): n.end() for m, n in zip(edges, edges[1:]) if (m["edge"], n["edge"]) == ("BEGIN", "END") and n.start() - m.end() >= 20}
+
+
 def candidates(text: str | None) -> list[Candidate]:
     """Non-overlapping candidates from the left."""
     if not text or not _SIGN.search(text):
         return []
-    return [Candidate(*m.span(m.lastgroup), m.lastgroup) for m in _CANDIDATE.finditer(text) if m.lastgroup]
+    blocks = _blocks(text) if "-----BEGIN" in text else {}
+    out, m = [], _CANDIDATE.search(text)
+    while m:
+        kind = m.lastgroup
+        start, end = m.span(kind)
+        if kind == "block":
+            end = blocks.get(start, 0)
+        if end:
+            out.append(Candidate(start, end, kind))
+        m = _CANDIDATE.search(text, end or start + 1)
+    return out
 
 
 def _kind(c: str) -> int:
