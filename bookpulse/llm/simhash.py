@@ -193,8 +193,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row of ``docs``: doc_id, fp (long), component_id (smallest doc_id that links reach, its own included)."""
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", component: str | None = None) -> DataFrame:
+    """For each row of ``docs``: doc_id, fp (long), component_id (smallest doc_id that links reach, its own included).
+
+    ``component`` names a further column, the component's smallest fingerprint: it tells components apart whatever their
+    doc_ids are.
+    """
     marked = materialize(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).drop("text"))
     least = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(least))
@@ -202,8 +206,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     joined = least.join(roots, least.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     joined = materialize(joined)
     smallest = materialize(joined.groupBy("root").agg(F.min("first").alias("component_id")))
-    known = materialize(joined.join(smallest, "root").select("fp", "component_id"))
-    return marked.join(known, "fp").select("doc_id", "fp", "component_id")
+    known = materialize(joined.join(smallest, "root").select("fp", "component_id", "root"))
+    return marked.join(known, "fp").select("doc_id", "fp", "component_id", *([F.col("root").alias(component)] if component else []))
 
 
 def hex_digits(fp: str = "fp"):

@@ -1,13 +1,13 @@
 """The corpus pipeline: five stages, each applying one training-data operator to all that the stage before kept.
 
 1. quality: rows that the current policy of the quality rules rejects go
-2. near_dedup: of each group of SimHash near duplicates the document with the smallest doc_id stays
+2. near_dedup: of each group of SimHash near duplicates the row with the smallest doc_id stays, then the smallest text
 3. decontaminate: documents that the benchmark contaminates go
 4. secrets: found secrets are replaced in the text, n_chars follows; no document goes
 5. encode: BPE ids of each text, decoded again; gives their number and digests
 
-A doc_id names one document: of rows that share one, the second stage keeps one. All but the last stage return the
-columns of their input.
+Rows are told apart by their texts, not by doc_id: rows that share a doc_id, or have none, stay or go each by its own
+group. A null doc_id comes after all others. All but the last stage return the columns of their input.
 """
 
 from __future__ import annotations
@@ -24,8 +24,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stay = simhash.classes(docs).select(F.col("component_id").alias("_stays")).distinct()
-    return docs.join(stay, docs.doc_id.eqNullSafe(stay["_stays"]), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    stay = simhash.classes(docs, component="_group").where(first).select(F.col("doc_id").alias("_stays"), F.col("fp").alias("_fp_stays"), "_group").distinct()
+    marked = simhash.fingerprints(docs, into="_fp")
+    found = marked.join(stay, marked.doc_id.eqNullSafe(stay["_stays"]) & (marked["_fp"] == stay["_fp_stays"]))
+    # (several rows of a group are left only where they share its smallest doc_id; minima are combined before the shuffle)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = found.groupBy("_group").agg(F.min(F.struct("doc_id", "text", *rest)).alias("_row"))
+    return least.select("_row.*").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

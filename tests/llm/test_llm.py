@@ -415,5 +415,15 @@ def test_pipeline(spark, odd_dir):
         assert stage(spark, docs, odd_dir).columns == docs.columns
 
 
+def test_near_dedup_of_shared_and_null_ids(spark):
+    """Rows with equal or no doc_id stay or go by their own texts; of a group the smallest (doc_id, text) stays."""
+    r = random.Random(4)
+    a, b, c, d, e, f, g = (" ".join(r.choice(ALPHABET[:8]) + str(r.randrange(999)) for _ in range(60)) for _ in range(7))
+    rows = [(3, a), (7, a), (7, b), (None, c), (None, d), (None, d), (None, a), (8, e), (8, e.upper()), (9, f), (None, f), (5, g), (5, None), (5, "")]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in rows], "doc_id long, lang string, text string").repartition(4)
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(3, a), (7, b), (None, c), (None, d), (8, min(e, e.upper())), (9, f), (5, g), (5, None)], key=str)
+
+
 def test_pipeline_of_no_documents(spark, empty_dir):
     assert corpus_pipeline.run(spark, empty_dir).count() == 0
