@@ -246,6 +246,15 @@ def steps(text: str) -> list[Rewritten]:
     return out
 
 
+def _covered(s: Span, by: list[Span]) -> bool:
+    """Whether spans of the same kind hold every character of a span."""
+    at = s.start
+    for b in sorted((b for b in by if b.kind == s.kind), key=lambda b: b.start):
+        if b.start <= at < b.end:
+            at = b.end
+    return at >= s.end
+
+
 def all_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     """(base spans, base and added spans), each by kind as in KINDS, then start."""
     text = text or ""
@@ -259,7 +268,7 @@ def all_spans(text: str | None) -> tuple[list[Span], list[Span]]:
         for r in reversed(chain):
             changed = changed or r.touched(start, end)
             start, end = r.source(start, end)
-        if changed and end > start and not any(b.start < end and start < b.end for b in base):
+        if changed and not _covered(Span(kind, start, end), base):
             added.append(Span(kind, start, end))
     return base, sorted([*base, *added], key=lambda s: (KINDS.index(s.kind), s.start, s.end))
 

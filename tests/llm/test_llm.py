@@ -390,6 +390,21 @@ def test_disguises(text, kind, source):
     assert base == [] and [(s.kind, text[s.start : s.end]) for s in spans] == [(kind, source)]
 
 
+@pytest.mark.parametrize(
+    "text, kind, base, source",
+    [
+        ("to jane [dot] doe@example.com now", "email", ["doe@example.com"], "jane [dot] doe@example.com"),
+        ("to bob@mail.example [dot] com now", "email", ["bob@mail.example"], "bob@mail.example [dot] com"),
+        ("call +1 202 555 12 three four five ok", "phone", ["+1 202 555 12"], "+1 202 555 12 three four five"),
+        ("bob@example.com\u200b and", "email", ["bob@example.com"], "bob@example.com"),
+    ],
+)
+def test_partly_disguised(text, kind, base, source):
+    found, spans = pii.all_spans(text)
+    assert [(s.kind, text[s.start : s.end]) for s in found] == [(kind, x) for x in base]
+    assert {(s.kind, text[s.start : s.end]) for s in spans} == {(kind, x) for x in [*base, source]}
+
+
 @pytest.mark.parametrize("text", ["look at example.com", "one two three people", "see at the dot of", "été à la mode", "at the dot the", "double five"])
 def test_plain_texts_stay_clean(text):
     assert pii.all_spans(text) == ([], [])
