@@ -2,7 +2,8 @@
 
 Base patterns (fixed by contract) run over the text itself. Then transducers rewrite the text: look-alike characters to
 the Latin letter or digit they imitate, zero-width characters to nothing, runs of spelled digits to digits, disguised
-``at``, ``dot`` and ``plus`` to their signs. Each rewriting step gives, besides its output, where every output piece came
+``at``, ``dot`` and ``plus`` to their signs. A second reading also takes single spelled digits and bare dots that touch
+digits; it adds spans to those of the first. Each rewriting step gives, besides its output, where every output piece came
 from (``Rewritten``), so a span found in the normal form maps back to source characters. A span is added only if it
 touches a rewritten place and no base span; base spans stay as they are.
 
@@ -193,10 +194,82 @@ _BARE = re.compile(
     rf"((?:(?:\s+{_DOT}\s+|_{_DOT}_|\s?\.\s?)[A-Za-z0-9-]+)*(?:\s+{_DOT}\s+|_{_DOT}_|\s?\.\s?)(?:{_ENDINGS.replace(' ', '|')})(?![\w-]))",
     re.I,
 )
+# Where at and dot are spelled out any ending counts. The host is no word that stands between at and dot in prose, and the
+# ending none that prose goes on with. English has "at some point he" but no "at some dot he", so after at and point an
+# ending that isn't listed has two letters and is no word.
+# Words of prose; endings of host names among them are only in the second list.
+_BEFORE = "the a an this that these those which what some any one each every no my your his her its our their der die das dem den el la los las le les un une una ein eine"
+_AFTER = "the an this that these those of on or and but if he she we they was were are has had have for from with when where which who el los las y que por con para un una lo der die das den dem und oder ist sind war ein eine zu auf mit von le les des ou est sont dans sur par pour avec une aux"
+_WORDS_OF_TWO = _AFTER + " ah am as by do eh go hi ha is la ma mm my oh ok pa so to up al du et je ja ne ni se si su tu va ya"
+_none_of = lambda words: rf"(?!(?:{words.replace(' ', '|')})(?![\w-]))"
+
+
+def _spelled_out(at: str, dot: str, ending: str) -> re.Pattern:
+    spelled, label = rf"(?:\s+{dot}\s+|_{dot}_)", "[A-Za-z0-9-]+"
+    return re.compile(
+        rf"(?<![\w.%+-])([A-Za-z0-9._%+-]+(?:\s+{_DOT}\s+[A-Za-z0-9._%+-]+)*)(\s+_?{at}_?\s+|_{at}_|\s*@\s*)({_none_of(_BEFORE)}{label})"
+        rf"((?:\.{label})*{spelled}(?:{label}(?:{spelled}|\.))*(?:{ending})(?![\w-]))",
+        re.I,
+    )
+
+
+_ANY_ENDING = [
+    _spelled_out(_AT, "(?:dot|punto|punkt)", _none_of(_AFTER) + "[a-z]{2,}"),
+    _spelled_out("(?:arroba|arobase)", _DOT, _none_of(_AFTER) + "[a-z]{2,}"),
+    _spelled_out(_AT, _DOT, _none_of(_WORDS_OF_TWO) + "[a-z]{2}"),
+]
 _BARE_DOT = re.compile(rf"\s+{_DOT}\s+|_{_DOT}_", re.I)
 _SPACED_AT = re.compile(r"\s@|@\s")
 _TRIGGER_DIGIT = re.compile(rf"(?<!\w)(?:{_WORD}){_JOIN}(?:plus\s+|double\s+|triple\s+)?(?:{_WORD}|\d)", re.I)
 
+# The second reading: spelled digits in any number that touch digits, and a bare dot between digits.
+_ONE_WORD = rf"(?:(?:double|triple)\s+)?(?:{_WORD})(?![^\W\d_])"
+_NEXT = rf"(?:\s+{_DOT}\s+|_{_DOT}_|[\x20().-]{{0,3}})"
+_FEW = re.compile(rf"(?<![^\W\d_]){_ONE_WORD}(?:{_NEXT}{_ONE_WORD})*", re.I)
+_FEW_ITEM = re.compile(rf"(double|triple)\s+|({_WORD})|\s+{_DOT}\s+|_{_DOT}_|\x20+|.", re.I | re.S)
+_DIGIT_BEFORE = re.compile(rf"(?:[0-9+]|(?<!\w)plus){_NEXT}$", re.I)
+_DIGIT_AFTER = re.compile(rf"{_NEXT}[0-9]", re.I)
+_DIGIT_DOT = re.compile(rf"(?<=[0-9])(?:\s+{_DOT}\s+|_{_DOT}_)(?=[0-9])", re.I)
+_NUMBER = re.compile(r"\d+")
+_WORD_BEFORE = re.compile(r"([^\W\d_]+)[\W_]*$")
+_WORD_AFTER = re.compile(r"[\W_]{0,6}([^\W\d_]+)")
+_AFTER_PLUS = re.compile(rf"(?:\+|(?<!\w)plus)[\W_]{{1,6}}(?:{_WORD})|\+(?:{_WORD})")
+_NEAR_DIGITS = {*_SPELLED, "dot", "punto", "point", "punkt", "double", "triple"}
+
+
+def _second(text: str) -> bool:
+    """Whether a number of any script stands by a spelled digit or dot, or a spelled digit by a plus."""
+    for m in _NUMBER.finditer(text):
+        after = _WORD_AFTER.match(text, m.end())
+        if after and after[1].lower() in _NEAR_DIGITS:
+            return True
+        before = _WORD_BEFORE.search(text[max(0, m.start() - 16) : m.start()])
+        if before and before[1].lower() in _NEAR_DIGITS:
+            return True
+    return ("+" in text or "plus" in text.lower()) and bool(_AFTER_PLUS.search(text.lower()))
+
+
+# Digits that are other words as well; they count between digits only.
+_OTHER_WORDS = {"one", "un", "uno", "oh", "null", "dos", "sept"}
+
+
+def _few(m: re.Match) -> str | None:
+    left = _DIGIT_BEFORE.search(m.string[max(0, m.start() - 24) : m.start()])
+    right = _DIGIT_AFTER.match(m.string[m.end() : m.end() + 24])
+    if not (left or right) or not (left and right) and m[0].lower() in _OTHER_WORDS:
+        return None
+    out, times = "", 1
+    for x in _FEW_ITEM.finditer(m[0]):
+        if x[1]:
+            times = 2 if x[1].lower() == "double" else 3
+        elif x[2]:
+            out, times = out + _SPELLED[x[2].lower()] * times, 1
+        elif x[0].isspace():
+            continue
+        else:
+            out += x[0] if len(x[0]) == 1 else "."
+    return out
+
 
 def _digits(m: re.Match) -> str:
     out, times = "", 1
@@ -220,8 +293,11 @@ def _bare(m: re.Match) -> str | None:
     return f"{plain(local)}@{host}{plain(rest)}"
 
 
-def steps(text: str) -> list[Rewritten]:
-    """The transducers that apply to a text, in order; each one reads the output of the one before."""
+def steps(text: str, wide: bool = False) -> list[Rewritten]:
+    """The transducers that apply to a text, in order; each one reads the output of the one before.
+
+    ``wide`` is the second reading; it is empty where none of its own steps applies.
+    """
     out: list[Rewritten] = []
 
     def step(pattern: re.Pattern, by) -> None:
@@ -233,6 +309,16 @@ def steps(text: str) -> list[Rewritten]:
 
     if not text.isascii() and _STRANGE.search(text):
         step(_STRANGE, lambda m: _imitates[m[0]])
+    if wide:
+        if not _second(text):
+            return []
+        if any(c in text for c in "([{<"):
+            step(_DOT_BRACKET, lambda m: ".")
+        plain = text
+        step(_FEW, _few)
+        step(_DIGIT_DOT, lambda m: ".")
+        if text == plain:
+            return []
     lower = text.lower()
     if _TRIGGER_DIGIT.search(lower):
         step(_RUN, _digits)
@@ -242,6 +328,8 @@ def steps(text: str) -> list[Rewritten]:
         step(_AT_BRACKET, lambda m: "@")
         step(_DOT_BRACKET, lambda m: ".")
     if _BARE_DOT.search(text) or "@" in text and _SPACED_AT.search(text):
+        for pattern in _ANY_ENDING:
+            step(pattern, _bare)
         step(_BARE, _bare)
     return out
 
@@ -259,17 +347,16 @@ def all_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     """(base spans, base and added spans), each by kind as in KINDS, then start."""
     text = text or ""
     base = base_spans(text)
-    chain = steps(text)
-    if not chain:
-        return base, base
-    added = []
-    for kind, start, end in base_spans(chain[-1].text):
-        changed = False
-        for r in reversed(chain):
-            changed = changed or r.touched(start, end)
-            start, end = r.source(start, end)
-        if changed and not _covered(Span(kind, start, end), base):
-            added.append(Span(kind, start, end))
+    added = set()
+    for chain in (steps(text), steps(text, True)):
+        for kind, start, end in base_spans(chain[-1].text) if chain else []:
+            changed = False
+            for r in reversed(chain):
+                changed = changed or r.touched(start, end)
+                start, end = r.source(start, end)
+            if changed and not _covered(Span(kind, start, end), base):
+                added.add(Span(kind, start, end))
+    added = [s for s in added if not any(s != x and s.kind == x.kind and x.start <= s.start and s.end <= x.end for x in added)]
     return base, sorted([*base, *added], key=lambda s: (KINDS.index(s.kind), s.start, s.end))
 
 

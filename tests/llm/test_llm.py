@@ -405,6 +405,36 @@ def test_partly_disguised(text, kind, base, source):
     assert {(s.kind, text[s.start : s.end]) for s in spans} == {(kind, x) for x in [*base, source]}
 
 
+@pytest.mark.parametrize(
+    "text, kind, source",
+    [
+        ("ip 192 dot 168 dot 1 dot 7!", "ip", "192 dot 168 dot 1 dot 7"),
+        ("ip 192.168 dot one.7!", "ip", "192.168 dot one.7"),
+        ("ip 192 dot one six eight dot 1 dot seven!", "ip", "192 dot one six eight dot 1 dot seven"),
+        ("ip 192[.]168[.]one[.]7!", "ip", "192[.]168[.]one[.]7"),
+        *((f"write bob at example dot {x} today", "email", f"bob at example dot {x}") for x in "gr kr tr ua cz ro hu sg tw shop is".split()),
+        ("write bob arobase exemple point gr.", "email", "bob arobase exemple point gr"),
+        ("write bob at mail dot example.gr. Then", "email", "bob at mail dot example.gr"),
+        ("call plus 1 202 five five 0143 ok", "phone", "plus 1 202 five five 0143"),
+        ("call plus 1 202 555 01four3 ok", "phone", "plus 1 202 555 01four3"),
+        ("card 4111 one111 1111 1111 ok", "card", "4111 one111 1111 1111"),
+        ("un ４１１１ 1111 1111 1111", "card", "４１１１ 1111 1111 1111"),
+    ],
+)
+def test_more_disguises(text, kind, source):
+    assert [(s.kind, text[s.start : s.end]) for s in pii.all_spans(text)[1]] == [(kind, source)]
+
+
+@pytest.mark.parametrize("text", ["arrive at some point after", "look at the dot product", "at one point he", "stare at red dot and go", "in 2019 two of 3 people", "3 point 5 percent"])
+def test_more_plain_texts_stay_clean(text):
+    assert pii.all_spans(text) == ([], [])
+
+
+def test_words_after_a_phone_are_not_digits():
+    text = "ring +49 172 5551234 one of us"
+    assert pii.all_spans(text)[0] == pii.all_spans(text)[1] == [("phone", 5, 20)]
+
+
 @pytest.mark.parametrize("text", ["look at example.com", "one two three people", "see at the dot of", "été à la mode", "at the dot the", "double five"])
 def test_plain_texts_stay_clean(text):
     assert pii.all_spans(text) == ([], [])
