@@ -6,7 +6,8 @@ insult beside a mention of a group counts for more than both alone, which additi
 
 Fit: a bounded sample of labelled rows (at most ``SAMPLE`` rows, those of smallest hash, whatever their number) gives
 its rows' hashes to the driver. Terms that speak for label 1 (chi-square over ``CHI``, in ``LEAST_ROWS`` rows at
-least, ``FEATURES`` at most) become features; the bias is the sample's log odds; weights and factors are fitted by mini-batch Adagrad on the logistic loss
+least, ``FEATURES`` at most) become features, and so do both terms of a pair that stands for label 1 by more than
+either term alone (``pair_terms``), however neutral or clean they are alone; such terms' weights may be negative. The bias is the sample's log odds; weights and factors are fitted by mini-batch Adagrad on the logistic loss
 with classes weighted evenly. The model's size is bounded by FEATURES. Scoring reads every whole text.
 
 Null and empty texts have no terms and get the bias's score. Rows with a null label or no text row aren't used to
@@ -89,17 +90,68 @@ class Machine:
         return np.searchsorted(self.buckets, found)
 
 
-def select(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Buckets met more in rows of label 1 than chance has it: largest chi-square first, ties by bucket; sorted."""
+def select(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature buckets, sorted, and the least weight of each.
+
+    First the buckets met more in rows of label 1 than chance has it (largest chi-square first, ties by bucket; least
+    weight 0), then, while there is room, those of ``pair_terms`` (no least weight).
+    """
     flat = np.concatenate(rows)
-    y = np.repeat(labels, [len(r) for r in rows])
+    sizes = [len(r) for r in rows]
+    y = np.repeat(labels, sizes)
     buckets, where = np.unique(flat, return_inverse=True)
     n, k = np.bincount(where), np.bincount(where, y)
     rate = labels.mean()
     chi = (k - n * rate) ** 2 / (n * rate * (1 - rate))
-    ok = np.flatnonzero((k > n * rate) & (n >= LEAST_ROWS) & (500 * n >= len(rows)) & (chi >= CHI))
+    often = (n >= LEAST_ROWS) & (500 * n >= len(rows))
+    ok = np.flatnonzero((k > n * rate) & often & (chi >= CHI))
     best = ok[np.lexsort((buckets[ok], -chi[ok]))][:FEATURES]
-    return np.sort(buckets[best])
+    # A pair with all its k rows of label 1 has G = 2k log(1 / rate) against the overall rate; each of its terms needs as many.
+    able = np.flatnonzero(often & (k >= 1) & (2 * k * np.log(1 / rate) >= CHI))
+    at = np.full(len(buckets), -1)
+    at[able] = np.arange(len(able))
+    inside = at[where] >= 0
+    strength = pair_terms(np.repeat(np.arange(len(rows)), sizes)[inside], at[where][inside], labels, len(able))
+    strength[np.isin(able, best)] = 0
+    more = np.flatnonzero(strength > 0)
+    more = able[more[np.lexsort((buckets[able[more]], -strength[more]))]][: FEATURES - len(best)]
+    chosen = np.concatenate([best, more])
+    order = np.argsort(buckets[chosen])
+    return buckets[chosen][order], np.where(np.arange(len(chosen)) < len(best), 0.0, -np.inf)[order]
+
+
+def pair_terms(row: np.ndarray, term: np.ndarray, labels: np.ndarray, n_terms: int, block: int = 256) -> np.ndarray:
+    """For each term the largest G of a pair that it is in, or 0 without a pair whose G is large enough.
+
+    A pair counts if its rows have label 1 more often than those of either term; G is the likelihood ratio against the
+    larger of the two rates. All pairs are counted, a block of terms at a time. So many pairs are tested that CHI alone
+    lets chance in: G must pass it by 2 log of their number, which makes it as rare over all pairs as CHI is for one.
+    """
+    enough = CHI + 2 * np.log(max(1, n_terms * (n_terms - 1) / 2))
+    out = np.zeros(n_terms)
+    order = np.argsort(-labels, kind="stable")  # label 1 first
+    ones, place = int(labels.sum()), np.empty(len(labels), np.int64)
+    place[order] = np.arange(len(labels))
+    held = np.zeros((len(labels), n_terms), np.uint8)
+    held[place[row], term] = 1
+    n, k = held.sum(0, dtype=np.int64), held[:ones].sum(0, dtype=np.int64)
+    rate = (k / np.maximum(n, 1)).astype(np.float32)
+    cuts = [*range(0, ones, 1024), *range(ones, len(labels), 1024), len(labels)]
+    for i in range(0, n_terms, block):
+        j = min(i + block, n_terms)
+        both = [np.zeros((j - i, n_terms - i), np.float32) for _ in range(2)]  # in rows of label 1, in the others
+        for a, b in zip(cuts, cuts[1:]):
+            x = held[a:b, i:].astype(np.float32)
+            both[int(a >= ones)] += x[:, : j - i].T @ x
+        top = np.maximum(rate[i:j, None], rate[None, i:])
+        s, t = np.nonzero((both[0] > top * (both[0] + both[1])) & (-2 * both[0] * np.log(np.maximum(top, 1e-9)) >= CHI))
+        kp, np_, r = both[0][s, t].astype(float), (both[0] + both[1])[s, t].astype(float), top[s, t].astype(float)
+        miss = np_ - kp
+        g = 2 * (kp * np.log(kp / np_ / r) + miss * np.log(np.maximum(miss, 1e-9) / np_ / (1 - r)))
+        g[(g < enough) | (np_ < LEAST_ROWS) | (500 * np_ < len(labels))] = 0
+        np.maximum.at(out, i + s, g)
+        np.maximum.at(out, i + t, g)
+    return out
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
@@ -110,7 +162,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
     rows, labels = [rows[i] for i in once], labels[once]
     if not len(labels) or labels.min() == labels.max():
         return Machine(np.zeros(0, np.int64), -30.0, np.zeros(0), np.zeros((0, FACTORS)))
-    buckets = select(rows, labels)
+    buckets, least = select(rows, labels)
     x = [np.searchsorted(buckets, np.intersect1d(r, buckets)) for r in rows]
     random = np.random.default_rng(SEED)
     m = Machine(buckets, float(np.log(labels.mean() / (1 - labels.mean()))), np.zeros(len(buckets)), random.normal(0, 0.01, (len(buckets), FACTORS)))
@@ -130,7 +182,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
                 s = np.bincount(at, v[flat], len(batch))
                 gv[:, k] = np.bincount(flat, g[at] * (s[at] - v[flat]), len(buckets)) + DECAY * v
             seen_v += gv**2
-            m.weights = np.maximum(m.weights - RATE * gw / np.sqrt(seen_w), 0)  # selected as evidence for label 1, never against it
+            m.weights = np.maximum(m.weights - RATE * gw / np.sqrt(seen_w), least)  # what is selected alone is evidence for label 1, never against it
             m.factors -= RATE * gv / np.sqrt(seen_v)
     return m
 

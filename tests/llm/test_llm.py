@@ -265,6 +265,20 @@ def test_interactions_are_learned():
     assert ab > 0.7 > max(a, b) > neither - 1e-9
 
 
+def test_pairs_of_neutral_terms_are_learned():
+    """A word in 100 of 8,000 rows, 20 of them with a mention and toxic, and a mention that is mostly clean alone."""
+    r = np.random.default_rng(5)
+    toxic = r.random(8000) < 0.11
+    word, mention = np.arange(8000) < 100, (np.arange(8000) < 20) | (np.arange(8000) >= 7000)
+    toxic[:100] = np.arange(100) < 20
+    toxic[7000:] &= r.random(1000) < 0.5
+    rows = [np.unique(np.concatenate([r.integers(100, 4000, 20), [1] * int(word[i]), [2] * int(mention[i]), [3] * int(toxic[i] and i >= 100)]).astype(np.int64)) for i in range(8000)]
+    m = toxicity.fit(rows, toxic.astype(int))
+    a, b, ab = m.scores([{1}, {2}, {1, 2}])
+    assert ab > 0.7 > 0.3 > max(a, b)
+    assert set(m.buckets.tolist()) == {1, 2, 3}
+
+
 def fp(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
     s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else ([" ".join(w)] if w else [])
