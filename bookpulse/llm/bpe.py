@@ -168,10 +168,12 @@ class PieceCache:
     """Values of space-free chunks of text, computed from their pieces; both kept up to a bound.
 
     ``cut(chunk)`` gives pieces, ``solve(pieces)`` values of distinct unseen pieces, ``join(values)`` a chunk's value.
-    A full cache keeps its entries (frequent words come early) and computes what it lacks anew: the bound changes
-    time, never results.
+    A full cache keeps its entries (frequent words come early) and computes what it lacks anew, and chunks and pieces
+    beyond ``LONG`` characters are never kept: both bounds change time, never results.
     """
 
+    LONG = 64
+
     def __init__(self, cut: Callable, solve: Callable, join: Callable, bound: int = 240_000):
         self.cut, self.solve, self.join, self.bound = cut, solve, join, bound
         self.chunks: dict = {}
@@ -186,9 +188,9 @@ class PieceCache:
         for c, ps in cuts.items():
             out[c] = join([fresh[p] if p in fresh else have[p] for p in ps])
         if len(have) < 2 * self.bound:
-            have.update(fresh)
+            have.update((p, v) for p, v in fresh.items() if len(p) <= self.LONG)
         if len(known) < self.bound:
-            known.update((c, out[c]) for c in cuts)
+            known.update((c, out[c]) for c in cuts if len(c) <= self.LONG)
         return out
 
 

@@ -10,8 +10,9 @@ A file holds segments, each of a run of documents in ascending doc_id order:
     arrays: doc_id int64 and first token int64 of each document; per level the chunks, the continuation bitmap
     (bits from the lowest), and the number of set bits before each block of RANK_BITS bits (uint32)
 
-Documents of a dataset are range-partitioned by doc_id (ties by text), so file names in order give ascending ids. A
-null doc_id comes first and a null or empty text has the end id only. Files are renamed when complete; a task that is
+Documents of a dataset are range-partitioned by doc_id, then by the text's hash, so file names in order give ascending
+ids and rows of one doc_id, or of none, are dealt over files; rows equal in both are repeated rows. A null doc_id comes
+first and a null or empty text has the end id only. Files are renamed when complete; a task that is
 run again writes an equal file. ``manifest`` has one row a file.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bookpulse.llm.bpe import PieceCache, space_free, special_split, word_normal, word_pieces
-from bookpulse.llm.common import SLICE_ROWS, filesystem, put_atomically
+from bookpulse.llm.common import SLICE_ROWS, filesystem, put_atomically, slices
 
 MAGIC, WIDTH, RANK_BITS = b"DACS", 8, 512
 #: Tokens after which a writer closes a segment; a document is never divided.
@@ -189,8 +190,7 @@ def write(docs: DataFrame, path: str, make_encoder: Callable, end_id: int | None
                 total[1] += int(sizes.sum())
 
             for whole in batches:
-                for i in range(0, whole.num_rows, SLICE_ROWS):
-                    b = whole.slice(i, SLICE_ROWS)
+                for b in slices(whole, 1):
                     for d, e in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
                         ids.append(_NULL_ID if d is None else d)
                         parts.append(e + end)
@@ -204,7 +204,8 @@ def write(docs: DataFrame, path: str, make_encoder: Callable, end_id: int | None
         size = put_atomically(target, body)
         yield pa.RecordBatch.from_pydict({"path": [target], "docs": [total[0]], "tokens": [total[1]], "bytes": [size]})
 
-    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
+    ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     done = ordered.mapInArrow(run, _WRITTEN).collect()  # one row a file; this is the write job
     manifest = sorted(r for r in done if r["docs"])
     return docs.sparkSession.createDataFrame(manifest, _WRITTEN)

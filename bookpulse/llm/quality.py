@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bookpulse.llm.common import sealed
+
 _BLANK, _SYMBOL = r"[ \t-\r]+", r"[#*$%&|<>]"
 _BLANKS = " \t\n\u000b\u000c\r"
 #: Added columns besides fail_bits.
@@ -41,14 +43,16 @@ CURRENT = "v2"
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the measurements; a column of that name is replaced.
+    """Add the measurements; a column of that name is replaced, any other passes through whatever its name.
 
     Windows found twice are found by sorting (hash, position) packed into 64-bit numbers; where two windows of equal
     hash differ, which the distinct texts of the found ones tell, the row is done over with the windows' own texts.
     """
-    keep = [c for c in docs.columns if c.lower() not in {*MEASURES, "fail_bits"}]
+    plain, names, _ = sealed(docs)
+    back = {n: c for c, n in names.items() if c.lower() not in {*MEASURES, "fail_bits"}}
+    keep = list(back)
     # Each step reads the columns of the one before; Catalyst doesn't inline what is dear and used more than once.
-    step = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    step = plain.select(*keep, F.coalesce(F.col(names[text]), F.lit("")).alias("_text"))
     step = step.select(
         *keep, "_text",
         F.array_remove(F.split("_text", _BLANK), "").alias("_words"),
@@ -82,7 +86,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     slow = f"transform(array({named}), s -> transform(filter(s, (p, k) -> p.w = get(s, k + 1).w or (k > 0 and p.w = get(s, k - 1).w)), p -> p.i))[0]"
     repeats = F.expr(f"cast(case when _exact then {covered.format('_at')} else {covered.format(slow)} end as long)")
     # As a generator's output the measurements aren't recomputed by filters on them, which would be pushed below a projection.
-    return step.select(*keep, F.inline(F.array(F.struct(*MEASURES[:5], repeats.alias("n_repeat_words")))))
+    return step.select(*(F.col(n).alias(c) for n, c in back.items()), F.inline(F.array(F.struct(*MEASURES[:5], repeats.alias("n_repeat_words")))))
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
