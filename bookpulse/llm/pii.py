@@ -7,8 +7,9 @@ digits; it adds spans to those of the first. Each rewriting step gives, besides
 from (``Rewritten``), so a span found in the normal form maps back to source characters. A span is added only if it
 touches a rewritten place and no base span; base spans stay as they are.
 
-Offsets are code points of the source, ends exclusive. Null texts are empty. Texts of any length are read whole; texts
-without any trigger of a pattern or transducer are passed over by plain searches.
+Offsets are code points of the source, ends exclusive. Null texts are empty; repeated rows give equal results, each its
+own. Texts of any length are read whole, in time that grows with their length, blanks and digits included; texts without
+any trigger of a pattern or transducer are passed over by plain searches.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -29,7 +31,8 @@ KINDS = ["email", "ip", "card", "phone"]
 
 # The base patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# (A match begins where a run of digits does: what fails there fails at every later digit of the run.)
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -119,10 +122,10 @@ class Rewritten(NamedTuple):
         return any(e[1] > start or e[0] >= start for e in self.edits[max(0, k - 1) : k])
 
 
-def rewrite(text: str, pattern: re.Pattern, by) -> Rewritten:
-    """One transducer step: each match of the pattern becomes ``by(match)``, unless that is None."""
+def rewrite(text: str, matches: Iterable[re.Match], by) -> Rewritten:
+    """One transducer step: each match becomes ``by(match)``, unless that is None. Matches come in order, apart from each other."""
     parts, edits, done, length = [], [], 0, 0
-    for m in pattern.finditer(text):
+    for m in matches:
         new = by(m)
         if new is None or new == m[0]:
             continue
@@ -176,22 +179,24 @@ _SPELLED = {
 }
 _WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _AT, _DOT = r"(?:at|arroba|arobase)", r"(?:dot|punto|point|punkt)"
-_JOIN = rf"(?:\s+{_DOT}\s+|[\x20,./-]{{0,3}})"
-_ONE = rf"(?:plus\s+)?(?:(?:double|triple)\s+)?(?:{_WORD})(?!\w)(?:{_JOIN}\d(?!\w)){{0,19}}"
+_JOIN = rf"(?:\s++{_DOT}\s++|[\x20,./-]{{0,3}})"
+_ONE = rf"(?:plus\s++)?(?:(?:double|triple)\s++)?(?:{_WORD})(?!\w)(?:{_JOIN}\d(?!\w)){{0,19}}"
 # Runs of at least three spelled digits, single digits in between allowed.
 _RUN = re.compile(rf"(?<!\w){_ONE}(?:{_JOIN}{_ONE}){{2,}}", re.I)
 _ITEM = re.compile(rf"plus|double|triple|{_DOT}|{_WORD}|\d", re.I)
 _PLUS = re.compile(r"(?<!\w)[(\[]?plus[)\]]?[\x20]*(?=[0-9])", re.I)
 
-_OPEN, _CLOSE = r"[(\[{<]\s*", r"\s*[)\]}>]"
-_AT_BRACKET = re.compile(rf"\s*{_OPEN}(?:{_AT}|@){_CLOSE}\s*", re.I)
-_DOT_BRACKET = re.compile(rf"\s*{_OPEN}(?:{_DOT}|\.){_CLOSE}\s*", re.I)
+# White space is tried from the start of its run only, and never given back: a text of blanks takes linear time.
+_OPEN, _CLOSE = r"(?:(?<!\s)\s++)?[(\[{<]\s*+", r"\s*+[)\]}>]\s*+"
+_AT_BRACKET = re.compile(rf"{_OPEN}(?:{_AT}|@){_CLOSE}", re.I)
+_DOT_BRACKET = re.compile(rf"{_OPEN}(?:{_DOT}|\.){_CLOSE}", re.I)
 # Bare words count only in the shape of an address: name at host dot ... ending, with a common ending.
 # Common endings of host names.
 _ENDINGS = "com org net edu gov mil int info biz name io co ai app dev me tv cc xyz online site de fr es uk us eu ch at be nl it pl pt ru jp cn in br mx ar au ca se no dk fi ie nz za example test invalid local"
+_LOCAL_PART = rf"[A-Za-z0-9._%+-]+(?:\s++{_DOT}\s++[A-Za-z0-9._%+-]+)*"
 _BARE = re.compile(
-    rf"(?<![\w.%+-])([A-Za-z0-9._%+-]+(?:\s+{_DOT}\s+[A-Za-z0-9._%+-]+)*)(\s+_?{_AT}_?\s+|_{_AT}_|\s*@\s*)([A-Za-z0-9-]+)"
-    rf"((?:(?:\s+{_DOT}\s+|_{_DOT}_|\s?\.\s?)[A-Za-z0-9-]+)*(?:\s+{_DOT}\s+|_{_DOT}_|\s?\.\s?)(?:{_ENDINGS.replace(' ', '|')})(?![\w-]))",
+    rf"({_LOCAL_PART})(\s++_?{_AT}_?\s++|_{_AT}_|\s*+@\s*+)([A-Za-z0-9-]+)"
+    rf"((?:(?:\s++{_DOT}\s++|_{_DOT}_|\s?\.\s?)[A-Za-z0-9-]+)*(?:\s++{_DOT}\s++|_{_DOT}_|\s?\.\s?)(?:{_ENDINGS.replace(' ', '|')})(?![\w-]))",
     re.I,
 )
 # Where at and dot are spelled out any ending counts. The host is no word that stands between at and dot in prose, and the
@@ -205,9 +210,9 @@ _none_of = lambda words: rf"(?!(?:{words.replace(' ', '|')})(?![\w-]))"  # noqa:
 
 
 def _spelled_out(at: str, dot: str, ending: str) -> re.Pattern:
-    spelled, label = rf"(?:\s+{dot}\s+|_{dot}_)", "[A-Za-z0-9-]+"
+    spelled, label = rf"(?:\s++{dot}\s++|_{dot}_)", "[A-Za-z0-9-]+"
     return re.compile(
-        rf"(?<![\w.%+-])([A-Za-z0-9._%+-]+(?:\s+{_DOT}\s+[A-Za-z0-9._%+-]+)*)(\s+_?{at}_?\s+|_{at}_|\s*@\s*)({_none_of(_BEFORE)}{label})"
+        rf"({_LOCAL_PART})(\s++_?{at}_?\s++|_{at}_|\s*+@\s*+)({_none_of(_BEFORE)}{label})"
         rf"((?:\.{label})*{spelled}(?:{label}(?:{spelled}|\.))*(?:{ending})(?![\w-]))",
         re.I,
     )
@@ -218,18 +223,21 @@ _ANY_ENDING = [
     _spelled_out("(?:arroba|arobase)", _DOT, _none_of(_AFTER) + "[a-z]{2,}"),
     _spelled_out(_AT, _DOT, _none_of(_WORDS_OF_TWO) + "[a-z]{2}"),
 ]
-_BARE_DOT = re.compile(rf"\s+{_DOT}\s+|_{_DOT}_", re.I)
+_BARE_DOT = re.compile(rf"(?<!\s)\s++{_DOT}\s++|_{_DOT}_", re.I)
+# What can stand before an at as a whole, and whether an at follows.
+_CHAIN = re.compile(rf"(?<![\w.%+-])[A-Za-z0-9._%+-]++(?:\s++{_DOT}\s++[A-Za-z0-9._%+-]++)*+", re.I)
+_AT_NEXT, _AT_WITHIN = re.compile(rf"\s++_?{_AT}_?\s|\s*+@", re.I), re.compile(rf"_{_AT}_", re.I)
 _SPACED_AT = re.compile(r"\s@|@\s")
-_TRIGGER_DIGIT = re.compile(rf"(?<!\w)(?:{_WORD}){_JOIN}(?:plus\s+|double\s+|triple\s+)?(?:{_WORD}|\d)", re.I)
+_TRIGGER_DIGIT = re.compile(rf"(?<!\w)(?:{_WORD}){_JOIN}(?:(?:plus|double|triple)\s++)?(?:{_WORD}|\d)", re.I)
 
 # The second reading: spelled digits in any number that touch digits, and a bare dot between digits.
-_ONE_WORD = rf"(?:(?:double|triple)\s+)?(?:{_WORD})(?![^\W\d_])"
-_NEXT = rf"(?:\s+{_DOT}\s+|_{_DOT}_|[\x20().-]{{0,3}})"
+_ONE_WORD = rf"(?:(?:double|triple)\s++)?(?:{_WORD})(?![^\W\d_])"
+_NEXT = rf"(?:\s++{_DOT}\s++|_{_DOT}_|[\x20().-]{{0,3}})"
 _FEW = re.compile(rf"(?<![^\W\d_]){_ONE_WORD}(?:{_NEXT}{_ONE_WORD})*", re.I)
 _FEW_ITEM = re.compile(rf"(double|triple)\s+|({_WORD})|\s+{_DOT}\s+|_{_DOT}_|\x20+|.", re.I | re.S)
 _DIGIT_BEFORE = re.compile(rf"(?:[0-9+]|(?<!\w)plus){_NEXT}$", re.I)
 _DIGIT_AFTER = re.compile(rf"{_NEXT}[0-9]", re.I)
-_DIGIT_DOT = re.compile(rf"(?<=[0-9])(?:\s+{_DOT}\s+|_{_DOT}_)(?=[0-9])", re.I)
+_DIGIT_DOT = re.compile(rf"(?<=[0-9])(?:\s++{_DOT}\s++|_{_DOT}_)(?=[0-9])", re.I)
 _NUMBER = re.compile(r"\d+")
 _WORD_BEFORE = re.compile(r"([^\W\d_]+)[\W_]*$")
 _WORD_AFTER = re.compile(r"[\W_]{0,6}([^\W\d_]+)")
@@ -293,6 +301,22 @@ def _bare(m: re.Match) -> str | None:
     return f"{plain(local)}@{host}{plain(rest)}"
 
 
+def _addresses(text: str, pattern: re.Pattern) -> Iterator[re.Match]:
+    """Leftmost matches of a pattern that begins with a local part.
+
+    It is tried only where a whole chain of words and dots begins with an at after it or inside: a match from a later word
+    of the chain would be one from its first word as well. So a long chain is read once, not once from each of its words.
+    """
+    chain = _CHAIN.search(text)
+    while chain:
+        m = None
+        if _AT_NEXT.match(text, chain.end()) or _AT_WITHIN.search(text, *chain.span()):
+            m = pattern.match(text, chain.start())
+            if m:
+                yield m
+        chain = _CHAIN.search(text, (m or chain).end())
+
+
 def steps(text: str, wide: bool = False) -> list[Rewritten]:
     """The transducers that apply to a text, in order; each one reads the output of the one before.
 
@@ -302,7 +326,7 @@ def steps(text: str, wide: bool = False) -> list[Rewritten]:
 
     def step(pattern: re.Pattern, by) -> None:
         nonlocal text
-        r = rewrite(text, pattern, by)
+        r = rewrite(text, _addresses(text, pattern) if by is _bare else pattern.finditer(text), by)
         if r.edits:
             out.append(r)
             text = r.text
@@ -334,30 +358,51 @@ def steps(text: str, wide: bool = False) -> list[Rewritten]:
     return out
 
 
-def _covered(s: Span, by: list[Span]) -> bool:
+def _merged(spans: list[Span]) -> dict[str, tuple[list[int], list[int]]]:
+    """Starts and ends of the stretches that spans of each kind cover, spans that touch taken together."""
+    out: dict[str, tuple[list[int], list[int]]] = {k: ([], []) for k in KINDS}
+    for s in sorted(spans, key=lambda s: s.start):
+        starts, ends = out[s.kind]
+        if ends and s.start <= ends[-1]:
+            ends[-1] = max(ends[-1], s.end)
+        else:
+            starts.append(s.start)
+            ends.append(s.end)
+    return out
+
+
+def _covered(s: Span, by: dict[str, tuple[list[int], list[int]]]) -> bool:
     """Whether spans of the same kind hold every character of a span."""
-    at = s.start
-    for b in sorted((b for b in by if b.kind == s.kind), key=lambda b: b.start):
-        if b.start <= at < b.end:
-            at = b.end
-    return at >= s.end
+    starts, ends = by[s.kind]
+    k = bisect_right(starts, s.start) - 1
+    return k >= 0 and s.end <= ends[k]
+
+
+def _widest(spans: set[Span]) -> list[Span]:
+    """Without those that lie inside another one of their kind."""
+    out, reach = [], dict.fromkeys(KINDS, -1)
+    for s in sorted(spans, key=lambda s: (s.start, -s.end)):
+        if s.end > reach[s.kind]:
+            out.append(s)
+            reach[s.kind] = s.end
+    return out
 
 
 def all_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     """(base spans, base and added spans), each by kind as in KINDS, then start."""
     text = text or ""
     base = base_spans(text)
-    added = set()
+    added, known = set(), None
     for chain in (steps(text), steps(text, True)):
         for kind, start, end in base_spans(chain[-1].text) if chain else []:
             changed = False
             for r in reversed(chain):
                 changed = changed or r.touched(start, end)
                 start, end = r.source(start, end)
-            if changed and not _covered(Span(kind, start, end), base):
+            known = known or _merged(base)
+            if changed and not _covered(Span(kind, start, end), known):
                 added.add(Span(kind, start, end))
-    added = [s for s in added if not any(s != x and s.kind == x.kind and x.start <= s.start and s.end <= x.end for x in added)]
-    return base, sorted([*base, *added], key=lambda s: (KINDS.index(s.kind), s.start, s.end))
+    return base, sorted([*base, *_widest(added)], key=lambda s: (KINDS.index(s.kind), s.start, s.end))
 
 
 _SPAN = T.StructType([T.StructField("kind", T.StringType(), False), T.StructField("start", T.LongType(), False), T.StructField("end", T.LongType(), False)])
