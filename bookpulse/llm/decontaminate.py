@@ -2,18 +2,21 @@
 
 Texts are lower-cased (A-Z) and cut into words of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A window is ``WINDOW``
 consecutive words of a benchmark item; an item of fewer words, but not none, is one window. A shard is what a task holds
-at a time (``SHARD_ROWS`` documents at most). Its words are turned into symbols of the benchmark's vocabulary. A word
-outside it lies in no window, so it only separates: runs of vocabulary words too short for the shortest window are left
-out and runs are joined by a separator, which changes no occurrence. Windows are then searched backward in the FM-index
-of that text, occurrences located by sampled suffix positions, and spans of hit words merged.
+at a time (``SHARD_BYTES`` of text or ``SHARD_ROWS`` documents at most). Its words are turned into symbols of the
+benchmark's vocabulary. A word outside it lies in no window, so it only separates: runs of vocabulary words too short for
+the shortest window are left out and runs are joined by a separator, which changes no occurrence. Windows whose words all
+occur in the shard are then searched backward in the FM-index of that text, occurrences located by sampled suffix
+positions, and spans of hit words merged.
 
 The benchmark is taken in blocks of at most ``BLOCK_CHARS`` characters of items (a query set, never a function of the
-corpus); each block is one pass over all documents and passes are merged per document. Null texts, on either side, have
-no words; null item_ids are left out; equal item_ids are one item.
+corpus), or one item. Each block is one pass over all documents; with more than one, a pass's results are written before
+the next begins, so one block is in memory at a time. Null texts, on either side, have no words; the windows of an item
+without an id are searched and hit words, the missing id isn't listed; equal item_ids are one item.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,12 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from bookpulse.llm.common import map_text
+from bookpulse.llm.common import discard, map_text, materialize, sealed
 from bookpulse.llm.fm_index import FMIndex
 
 WINDOW = 13
 BLOCK_CHARS = 8 << 20
-SHARD_ROWS = 512  # common.SLICE_ROWS
+SHARD_ROWS, SHARD_BYTES = 4096, 8 << 20
 
 # Word characters are 0-9, a-z and everything beyond ASCII; others separate.
 _WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else (b + 32 if 0x41 <= b <= 0x5A else 0x20) for b in range(256))
@@ -51,11 +54,11 @@ class Benchmark:
         of: dict[tuple, set] = defaultdict(set)
         for item, text in items:
             found = word_list(text)
-            if item is None or not found:
+            if not found:
                 continue
             symbols = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in found]
             for i in range(max(1, len(symbols) - WINDOW + 1)):
-                of[tuple(symbols[i : i + WINDOW])].add(item)
+                of[tuple(symbols[i : i + WINDOW])] |= {item} - {None}
         self.items = [sorted(s) for s in of.values()]
         self.lengths = np.array([len(w) for w in of], np.int64)
         self.patterns = np.zeros((len(of), WINDOW), np.int64)
@@ -86,12 +89,16 @@ class Benchmark:
         held = end - begin + 1
         where = np.repeat(begin - (np.cumsum(held) - held), held) + np.arange(held.sum())
         index = FMIndex(symbols[where], len(self.vocabulary) + 2)
-        low, high = index.search(self.patterns, self.lengths)
-        found = np.flatnonzero(high > low)
-        times = (high - low)[found]
+        present = np.zeros(len(self.vocabulary) + 2, bool)
+        present[0] = True  # pads short windows
+        present[symbols[where]] = True
+        able = np.flatnonzero(present[self.patterns].all(1))
+        low, high = index.search(self.patterns[able], self.lengths[able])
+        some = np.flatnonzero(high > low)
+        found, low, times = able[some], low[some], (high - low)[some]
         if not len(found):
             return out
-        rows = np.repeat(low[found] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        rows = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
         window = np.repeat(found, times)
         at = where[index.locate(rows)]
         text = np.searchsorted(starts, at, side="right") - 1
@@ -135,13 +142,24 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.array().cast(T.ArrayType(_SPAN)), add)
 
 
+_built: dict[str, Benchmark] = {}
+
+
+def _benchmark(key: str, block) -> Benchmark:
+    """The worker's one block at hand, built once however many tasks it runs."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = Benchmark(block.value)
+    return _built[key]
+
+
 def _find_block(docs: DataFrame, block: list[tuple], kind: T.DataType, text: str, names: list[str]) -> DataFrame:
     fields = [T.StructField(names[0], T.LongType(), False), T.StructField(names[1], T.ArrayType(_SPAN, False), False), T.StructField(names[2], T.ArrayType(kind, False), False)]
     arrow = [to_arrow_type(f.dataType) for f in fields]
-    shared = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_CHARS of text
+    shared, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex  # at most BLOCK_CHARS of text, or one item
 
     def make():
-        built = Benchmark(shared.value)
+        built = _benchmark(key, shared)
 
         def f(texts: list) -> list:
             found = built.hits(texts)
@@ -150,19 +168,25 @@ def _find_block(docs: DataFrame, block: list[tuple], kind: T.DataType, text: str
 
         return f
 
-    return map_text(docs, text, T.StructType(fields), make)
+    return map_text(docs, text, T.StructType(fields), make, rows=SHARD_ROWS, size=SHARD_BYTES)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Add n_words, hit_spans (merged spans in words), items (ids of items that occur); other columns pass through."""
-    kind, out = benchmark.schema[item_id].dataType, None
+    plain, name, _ = sealed(docs)
+    kind, out, before = benchmark.schema[item_id].dataType, None, None
     for block in blocks(benchmark, item_id, item_text):
         if out is None:
-            out = _find_block(docs, block, kind, text, ["n_words", "hit_spans", "items"])
-        else:
-            more = _find_block(out, block, kind, text, ["_n", "_spans", "_items"])
-            out = more.withColumns({"hit_spans": _merged(F.concat("hit_spans", "_spans")), "items": F.array_sort(F.array_union("items", "_items"))}).drop("_n", "_spans", "_items")
-    return out
+            out = _find_block(plain, block, kind, name[text], ["n_words", "hit_spans", "items"])
+            continue
+        out = materialize(out)
+        if before:
+            discard(before)
+        before = out
+        more = _find_block(out, block, kind, name[text], ["n", "spans", "more"])
+        out = more.withColumns({"hit_spans": _merged(F.concat("hit_spans", "spans")), "items": F.array_sort(F.array_union("items", "more"))})
+    new = ["n_words", "hit_spans", "items"]
+    return out.select(*(F.col(n).alias(c) for c, n in name.items() if c.lower() not in new), *new)
 
 
 def hit_words() -> Column:
