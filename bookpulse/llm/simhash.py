@@ -9,11 +9,13 @@ Inside a posting list the shared positional bytes of each pair are tallied, pair
 their differing bits counted.
 
 Only distinct fingerprints are indexed: copies are one class with its smallest doc_id from the start. A posting list
-gives no pairs but a spanning forest of its links. One longer than ``POSTING`` fingerprints is not tallied; its
-fingerprints take an exact way of linear size instead: two fingerprints link exactly if some number lies within one
-bit of both, so each emits the 65 numbers within one bit, and those that meet at a number are linked to its smallest.
+gives no pairs but a spanning forest of its links. Lists are counted first, which combines before the shuffle; one longer
+than ``POSTING`` fingerprints is not gathered in one task. Its fingerprints take an exact way of linear size instead: two
+fingerprints link exactly if some number lies within one bit of both, so each emits the 65 numbers within one bit, and
+those that meet at a number are linked to its smallest.
 
-Components come from alternating large-star and small-star steps over the links, each written to the shared folder.
+Components come from alternating large-star and small-star steps over the links, each written to the shared folder and
+deleted when a later step no longer reads it.
 
 Null and empty texts and texts without words have fingerprint zero and link like any other. A null doc_id takes part;
 the smallest doc_id of its class is the smallest that isn't null.
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bookpulse.llm.common import map_text, materialize
+from bookpulse.llm.common import discard, map_text, materialize
 
 RADIUS, MATCHES, SHINGLE, SEED = 2, 6, 3, 42
 #: Fingerprints of a posting list that are tallied pair by pair; longer lists take the linear way.
@@ -109,7 +111,7 @@ def link_posting(fps: np.ndarray) -> list[tuple[int, int]]:
 
 
 _KEYED = T.StructType([T.StructField("posting", T.LongType(), False), T.StructField("fp", T.LongType(), False)])
-_LINK = T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.LongType())])
+_LINK = T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.LongType(), False)])
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,12 +121,16 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of postings that come sorted by key; (fp, null) for the fingerprints of those that are too long."""
+    """Links of postings that come sorted by key, none of them longer than POSTING."""
     held: list[np.ndarray] = []
-    size, key, long = 0, None, False
+    key = None
 
     def close() -> list:
-        return link_posting(np.concatenate(held).view(np.uint64)) if held and not long and size > 1 else []
+        fps = np.concatenate(held) if held else []
+        return link_posting(fps.view(np.uint64)) if len(fps) > 1 else []
+
+    def batch(found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     for b in batches:
         keys = b.column(0).to_numpy(zero_copy_only=False)
@@ -136,28 +142,24 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
             if key is None or keys[i] != key:
                 found += close()
-                held, size, key, long = [], 0, keys[i], False
+                held, key = [], keys[i]
             held.append(fps[i:j])
-            size += j - i
-            if size > POSTING:
-                long = True
-            if long:
-                found += [(x, None) for part in held for x in part.tolist()]
-                held = []
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+            yield batch(found)
     if found := close():
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+        yield batch(found)
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) that connect exactly the linked classes among the distinct fingerprints of column ``fp``."""
-    postings = distinct.select("fp").mapInArrow(_index, _KEYED).repartition("posting").sortWithinPartitions("posting")
-    found = materialize(postings.mapInArrow(_tally, _LINK).distinct())
-    short = found.where(F.col("b").isNotNull())
+    postings = distinct.select("fp").mapInArrow(_index, _KEYED)
+    size = postings.groupBy("posting").agg(F.count("*").alias("n")).where("n > 1")  # a list of one has no links
+    sized = materialize(postings.join(size, "posting"))
+    short = sized.where(F.col("n") <= POSTING).select("posting", "fp").repartition("posting").sortWithinPartitions("posting").mapInArrow(_tally, _LINK).distinct()
     # The long postings' fingerprints: all numbers within one bit, and the smallest fingerprint that meets there.
+    long = sized.where(F.col("n") > POSTING).select(F.col("fp").alias("a")).distinct()
     near = F.concat(F.array("a"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("a").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    spread = found.where(F.col("b").isNull()).select("a", F.explode(near).alias("at"))
+    spread = long.select("a", F.explode(near).alias("at"))
     # (the minimum of a number's meeting is combined before the shuffle; a link is in both ends' numbers, so one link an end and number)
     least = spread.groupBy("at").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = spread.join(least, "at").where("a <> b").select("a", "b").distinct()
@@ -168,28 +170,27 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Nodes with the smallest node of their component: (node, root), nodes with an edge only.
+    """Nodes (u) with the smallest node (v) of their component, nodes with an edge only; a materialized table.
 
     Large-star and small-star steps alternate until nothing changes; each halves paths, so their number grows with the
     logarithm of the longest one. Minima are combined before the shuffle, and hot nodes' joins can be split.
     """
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    pairs = materialize(pairs)
+    pairs = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = None
     while True:
         # Large star: every larger neighbour of a node is linked to the node's smallest neighbour (or the node). The
         # minima are a table of their own, so the join's two sides are plain exchanges and a hot node's can be split.
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("m")))
-        large = pairs.join(least, pairs.v == least.node).select("u", F.col("m").alias("v")).where("u <> v").distinct()
+        nearest = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("m")))
+        large = materialize(pairs.join(nearest, pairs.v == nearest.node).select("u", F.col("m").alias("v")).where("u <> v").distinct())
         # Small star: a node and its smaller neighbours are linked to the smallest of them.
-        large = materialize(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        pairs = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        done, pairs = pairs, materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(done, nearest, large)
         now = pairs.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
         if now == before:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return pairs
         before = now
 
 
@@ -203,10 +204,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", compone
     least = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(least))
     # Of each component the smallest doc_id, given to its fingerprints; fingerprints without links keep their own.
-    joined = least.join(roots, least.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    joined = materialize(joined)
+    joined = materialize(least.join(roots, least.fp == roots.u, "left").select("fp", "first", F.coalesce("v", "fp").alias("root")))
     smallest = materialize(joined.groupBy("root").agg(F.min("first").alias("component_id")))
     known = materialize(joined.join(smallest, "root").select("fp", "component_id", "root"))
+    discard(least, roots, joined, smallest)
     return marked.join(known, "fp").select("doc_id", "fp", "component_id", *([F.col("root").alias(component)] if component else []))
 
 
