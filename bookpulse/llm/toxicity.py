@@ -4,14 +4,18 @@ Terms of a text are its distinct lower-case words and the first 3 to 6 letters o
 ``BUCKETS``. The machine scores bias + sum of weights + sum over pairs of the dot products of their factors, so an
 insult beside a mention of a group counts for more than both alone, which additive weights can't say.
 
-Fit: a bounded sample of labelled rows (at most ``SAMPLE`` rows, those of smallest hash, whatever their number) gives
-its rows' hashes to the driver. Terms that speak for label 1 (chi-square over ``CHI``, in ``LEAST_ROWS`` rows at
-least, ``FEATURES`` at most) become features, and so do both terms of a pair that stands for label 1 by more than
-either term alone (``pair_terms``), however neutral or clean they are alone; such terms' weights may be negative. The bias is the sample's log odds; weights and factors are fitted by mini-batch Adagrad on the logistic loss
-with classes weighted evenly. The model's size is bounded by FEATURES. Scoring reads every whole text.
-
-Null and empty texts have no terms and get the bias's score. Rows with a null label or no text row aren't used to
-fit; repeated labelled rows count as often as they occur. Without any positive or negative row all scores are 0.
+Fit: a bounded sample of labelled rows (at most ``SAMPLE`` rows, those of smallest hash, whatever their number; of each
+the ``TERMS`` smallest hashes at most) gives its rows' hashes to the driver. Terms that speak for label 1 (chi-square over
+``CHI``, in ``LEAST_ROWS`` rows and one row of 500 at least, ``FEATURES`` at most) become features, and so do both terms
+of a pair that stands for label 1 by more than either term alone (``pair_terms``), however neutral or clean they are
+alone; such terms' weights may be negative. The bias is the sample's log odds; weights and factors are fitted by
+mini-batch Adagrad on the logistic loss, each row counting the same. The model's size is bounded by FEATURES. Scoring
+reads every whole text.
+
+Null and empty texts have no terms and get the bias's score. Rows with a null label or no text row aren't used to fit. Of
+labelled rows that are near copies (equal label, equal smallest hashes and ``ALIKE`` of their terms shared) the first
+counts, as a text's copies would make its odd words look telling. With labels of one kind only, every text scores as the
+share of label 1 among them says (one of each kind added), so all-positive labels score high; without any, a half.
 """
 
 from __future__ import annotations
@@ -26,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bookpulse.llm.common import map_text
+from bookpulse.llm.common import map_text, slices
 
-BUCKETS, SAMPLE, FEATURES, SKETCH = 1 << 22, 8_000, 4096, 4
-#: A feature stands in LEAST_ROWS rows at least, and in one of 500.
+BUCKETS, SAMPLE, TERMS, FEATURES, SKETCH, ALIKE = 1 << 22, 8_000, 2048, 4096, 4, 0.5
+#: A feature stands in LEAST_ROWS rows at least, and in one of 500. Chosen by fits to one half of the rows outside the held-out third, judged on the other half.
 CHI, LEAST_ROWS, FACTORS, STEPS, BATCH, RATE, DECAY, SEED = 40.0, 4, 4, 1500, 256, 0.5, 1e-6, 7
 PREFIXES = range(3, 7)
 
@@ -154,25 +158,34 @@ def pair_terms(row: np.ndarray, term: np.ndarray, labels: np.ndarray, n_terms: i
     return out
 
 
+def first_copies(rows: list[np.ndarray], labels: np.ndarray) -> list[int]:
+    """Rows without those that are near copies of an earlier one of their label."""
+    seen: dict[tuple, list[int]] = {}
+    for i, (r, y) in enumerate(zip(rows, labels.tolist())):
+        like = seen.setdefault((y, *r[:SKETCH].tolist()), [])
+        shared = (len(np.intersect1d(r, rows[j], assume_unique=True)) for j in like)
+        if not any(n >= ALIKE * (len(r) + len(rows[j]) - n) for n, j in zip(shared, like)):
+            like.append(i)
+    return sorted(i for like in seen.values() for i in like)
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
-    """Fit to rows of term hashes (sorted) and their 0/1 labels; of rows that look like copies the first counts."""
-    # Copies of one text would make its odd words look telling: rows with the same smallest hashes and label are one.
-    first = {(y, *r[:SKETCH].tolist()): i for i, (r, y) in reversed(list(enumerate(zip(rows, labels.tolist()))))}
-    once = sorted(first.values())
+    """Fit to rows of distinct term hashes (sorted) and their 0/1 labels."""
+    once = first_copies(rows, labels)
     rows, labels = [rows[i] for i in once], labels[once]
     if not len(labels) or labels.min() == labels.max():
-        return Machine(np.zeros(0, np.int64), -30.0, np.zeros(0), np.zeros((0, FACTORS)))
+        ones = int(labels.sum())
+        return Machine(np.zeros(0, np.int64), float(np.log((ones + 1) / (len(labels) - ones + 1))), np.zeros(0), np.zeros((0, FACTORS)))
     buckets, least = select(rows, labels)
     x = [np.searchsorted(buckets, np.intersect1d(r, buckets)) for r in rows]
     random = np.random.default_rng(SEED)
     m = Machine(buckets, float(np.log(labels.mean() / (1 - labels.mean()))), np.zeros(len(buckets)), random.normal(0, 0.01, (len(buckets), FACTORS)))
-    weight = np.ones(len(labels))
     seen_w, seen_v = np.full(len(buckets), 1e-8), np.full(m.factors.shape, 1e-8)
     for _ in range(-(-STEPS // max(1, len(x) // BATCH))):  # as many steps for small samples as for large ones
         for part in np.array_split(random.permutation(len(x)), max(1, len(x) // BATCH)):
             batch = [x[i] for i in part]
             p = 1 / (1 + np.exp(-np.clip(m.raw(batch), -30, 30)))
-            g = (p - labels[part]) * weight[part] / len(part)
+            g = (p - labels[part]) / len(part)
             sizes = np.array([len(r) for r in batch])
             flat, at = np.concatenate([np.zeros(0, np.int64), *batch]).astype(np.int64), np.repeat(np.arange(len(batch)), sizes)
             gw = np.bincount(flat, g[at], len(buckets)) + DECAY * m.weights
@@ -196,17 +209,18 @@ def sample(labels: DataFrame, doc_id: str = "doc_id", label: str = "label") -> D
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "label") -> Machine:
-    """Fit on labelled texts: a ``sample`` with its texts. More than SAMPLE rows (labels repeated) are used as they come."""
+    """Fit on labelled texts: a ``sample`` with its texts. Of more than SAMPLE rows (doc_ids repeated) those of smallest hash count."""
     chosen = labelled.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
-        for b in batches:
-            # (hashes only: bounded by the sample, and far smaller than texts)
-            found = [sorted(terms.of_text(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=_ROW.fieldNames())
+        for whole in batches:
+            for b in slices(whole, 1):
+                # (hashes only: bounded by SAMPLE and TERMS)
+                found = [sorted(terms.of_text(t))[:TERMS] for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=_ROW.fieldNames())
 
-    got = chosen.mapInArrow(run, _ROW).orderBy("label", "terms").toArrow()
+    got = chosen.mapInArrow(run, _ROW).orderBy(F.xxhash64("terms"), "label", "terms").limit(SAMPLE).toArrow()
     lists = got.column("terms").combine_chunks()
     flat, at = (np.zeros(0, np.int64), [0]) if not got.num_rows else (lists.values.to_numpy(), lists.offsets.to_pylist())
     return fit([flat[i:j].astype(np.int64) for i, j in zip(at, at[1:])], np.array(got.column("label").to_pylist(), np.int64))
