@@ -16,6 +16,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each rule of the current policy: documents that it rejects, and that only it rejects."""
+    return quality.ablation(quality.ledger(table(spark, sf_dir, "documents").select("text")))
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookpulse.llm import dac, decontaminate, pii, q_quality, secrets, simhash, token_counts, toxicity, trie_codec, warc
+from bookpulse.llm import dac, decontaminate, pii, q_quality, q_sql, secrets, simhash, token_counts, toxicity, trie_codec, warc
 from bookpulse.llm.common import shared_dir, table
 
 
@@ -58,10 +58,14 @@ def op2_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write ``pages`` as WARC records with revisits, salvage-read the archives, give what the records say."""
+    """Write ``pages`` as WARC records with revisits, salvage-read the archives, give what the records say.
+
+    A gap in the archives fails the query: no page is lost in silence.
+    """
     manifest = warc.write(warc.plan_revisits(table(spark, sf_dir, "pages")), shared_dir(spark))
     head = lambda name: F.element_at("headers", name)
-    return warc.read(spark, manifest, payloads=False).where("kind = 'record'").select(
+    lost = F.raise_error(F.concat(F.lit("quarantined: "), "path", F.lit(" at "), F.col("offset").cast("string"), F.lit(", "), "reason"))
+    return warc.read(spark, manifest, payloads=False).where(F.when(F.col("kind") == "record", True).otherwise(lost.cast("boolean"))).select(
         F.expr("try_cast(headers['x-page-id'] as long)").alias("page_id"),
         head("x-payload-length").cast("long").alias("payload_bytes"),
         F.substring_index(head("warc-payload-digest"), ":", -1).alias("payload_digest"),
@@ -72,7 +76,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates and found secrets of each document; the digest of its redacted text (null text: null)."""
-    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), secrets.train())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secrets.scan(docs, secrets.train(words=secrets.dictionary(docs)))
     return found.select(
         "doc_id",
         F.size("secret_candidates").cast("long").alias("n_candidates"),
@@ -105,10 +110,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(pii.count("base_spans", k).alias(f"n_{k}") for k in pii.KINDS),
         F.sha2(pii.joined("base_spans").cast("binary"), 256).alias("base_sha256"),
         pii.joined("pii_spans").alias("spans"),
+        F.size("pii_spans").cast("long").alias("n_spans"),
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_fm_decontamination, op3_warc, op4_trie_codec, op5_secret_scan, op6_toxicity, op7_simhash_classes, op8_token_counts, q_quality.op9_quality_rules, op10_pii)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_files, op2_fm_decontamination, op3_warc, op4_trie_codec, op5_secret_scan, op6_toxicity, op7_simhash_classes, op8_token_counts, q_quality.op9_quality_rules, op10_pii,
+        q_quality.quality_ablation,
+    )
+}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op9_quality_rules": q_quality.ORACLE}
+ORACLES: dict[str, str] = {"op2_fm_decontamination": q_sql.DECONTAMINATION, "op3_warc": q_sql.WARC, "op9_quality_rules": q_quality.ORACLE, "quality_ablation": q_sql.ABLATION}

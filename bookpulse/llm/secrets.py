@@ -3,13 +3,15 @@
 Candidates are strings that could be credentials: values assigned to credential-like names, strings with a provider's
 prefix, private-key blocks (PGP's too), and free-standing runs of 20 or more key characters that hold a digit. A candidate
 ends where its run or block ends, whatever its length. Each is described by
-its length, its character transitions (mean log probability of its letter pairs under plain text, share of changes
+its length, its character transitions (mean log probability of its letter pairs in dictionary words, share of changes
 between kinds of characters), entropy, dictionary coverage, its path (test and example paths), and neighbouring words
-that announce a credential or an example. The forest is trained from labelled findings: those given, or
-``labelled_findings``, a generated set of real-looking secrets and of what scanners take for them (hashes of files,
-UUIDs, placeholders, long words, card numbers, encoded data).
+that announce a credential or an example. The dictionary holds the words that stand in most documents of the corpus
+(``dictionary``: counted over all documents, ``WORDS`` of them at most) and a few frequent English ones. The forest is
+trained from labelled findings: those given, or ``labelled_findings``, a generated set of real-looking secrets and of what
+scanners take for them (hashes of files, UUIDs, placeholders, long words, card numbers, encoded data).
 
-Null and empty texts have no candidates. Offsets are code points, ends exclusive. ``redact`` replaces found secrets.
+Null and empty texts have no candidates. Repeated rows are scanned each. Offsets are code points, ends exclusive.
+``redacted`` replaces found secrets.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import math
 import random
 import re
 from collections import Counter
-from functools import lru_cache
+from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -28,11 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bookpulse.llm import forest
-from bookpulse.llm.common import map_text
+from bookpulse.llm.common import map_text, sealed
 
 THRESHOLD = 0.5
 #: Labelled findings used to fit, at most (the generated set is smaller).
 FINDINGS = 20_000
+#: Words of the dictionary, at most, and documents that each has to stand in.
+WORDS, WORD_ROWS = 20_000, 3
 MARK = "<SECRET>"
 
 # Prefixes of providers' keys, names of credentials, words that announce secrets or examples.
@@ -60,13 +64,26 @@ _COMMON = (
     "three must because does part even place well such here take why things help put years different away again off went old number password secret token example changeme default user admin test "
     "key value config server client access private public name data file string null true false return import class function var let const def self path host port license version copyright"
 ).split()
-_DICTIONARY = frozenset(w for w in _COMMON if len(w) > 2)
+_ENGLISH = frozenset(w for w in _COMMON if len(w) > 2)
 
 
-@lru_cache(maxsize=1)
-def _pairs() -> dict[str, float]:
-    """Log probability of letter pairs in plain words."""
-    n = Counter(w[i : i + 2] for w in _COMMON for i in range(len(w) - 1))
+def dictionary(docs: DataFrame, text: str = "text") -> frozenset[str]:
+    """The WORDS words of 3 to 24 letters a to z that stand in most documents, ties by word: counted in the JVM, combined before the shuffle."""
+    words = F.array_distinct(F.split(F.lower(text), "[^a-z]+"))
+    counted = docs.select(F.explode(words).alias("word")).where(F.char_length("word").between(3, 24)).groupBy("word").agg(F.count("*").alias("n"))
+    return frozenset(r[0] for r in counted.where(F.col("n") >= WORD_ROWS).orderBy(F.desc("n"), "word").limit(WORDS).collect())
+
+
+class Model(NamedTuple):
+    """A forest, the dictionary, and the log probability of letter pairs in its words."""
+
+    forest: forest.Forest
+    words: frozenset[str]
+    pairs: dict[str, float]
+
+
+def _pairs(words: Iterable[str]) -> dict[str, float]:
+    n = Counter(w[i : i + 2] for w in words for i in range(len(w) - 1))
     total = sum(n.values())
     return {a + b: math.log((n[a + b] + 0.2) / (total + 0.2 * 676)) for a in map(chr, range(97, 123)) for b in map(chr, range(97, 123))}
 
@@ -107,15 +124,14 @@ def _kind(c: str) -> int:
 FEATURES = ["length", "pair_score", "changes", "entropy", "digits", "upper", "dictionary", "hex", "kind_block", "kind_value", "kind_prefix", "announced", "example", "hashlike", "test_path", "distinct"]
 
 
-def features(text: str, c: Candidate, path: str | None) -> list[float]:
+def features(text: str, c: Candidate, path: str | None, known: frozenset[str], pairs: dict[str, float]) -> list[float]:
     value = text[c.start : c.end]
     n, low = len(value), value.lower()
-    pairs = _pairs()
     scored = [pairs[p] for p in (low[i : i + 2] for i in range(n - 1)) if p in pairs]
     kinds = [_kind(x) for x in value]
     counts = Counter(value)
     words = [w for w in _PIECES.findall(low)]
-    covered = sum(max((len(d) for d in (w[i:j] for i in range(len(w)) for j in range(i + 3, len(w) + 1)) if d in _DICTIONARY), default=0) for w in words if len(w) < 40)
+    covered = sum(max((len(d) for d in (w[i:j] for i in range(len(w)) for j in range(i + 3, len(w) + 1)) if d in known), default=0) for w in words if len(w) < 40)
     before = text[max(0, c.start - 60) : c.start]
     around = before + " " + text[c.end : c.end + 40]
     return [
@@ -180,15 +196,17 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, int]
     return out
 
 
-def train(findings: list[tuple[str, str, int]] | None = None) -> forest.Forest:
-    """Fit to findings: each text's candidates get its label. At most FINDINGS are used."""
+def train(findings: list[tuple[str, str, int]] | None = None, words: frozenset[str] = frozenset()) -> Model:
+    """Fit to findings: each text's candidates get its label. At most FINDINGS are used. ``words``: the corpus's dictionary."""
     rows = (findings if findings is not None else labelled_findings())[:FINDINGS]
+    known = words | _ENGLISH
+    pairs = _pairs(sorted(known))
     x, y = [], []
     for text, path, label in rows:
         for c in candidates(text):
-            x.append(features(text, c, path))
+            x.append(features(text, c, path, known, pairs))
             y.append(label)
-    return forest.fit(np.array(x), np.array(y))
+    return Model(forest.fit(np.array(x), np.array(y)), known, pairs)
 
 
 class Finding(NamedTuple):
@@ -198,11 +216,11 @@ class Finding(NamedTuple):
     score: float
 
 
-def judge(texts: list, paths: list, model: forest.Forest) -> list[list[Finding]]:
+def judge(texts: list, paths: list, model: Model) -> list[list[Finding]]:
     """All candidates of each text with their scores."""
     found = [candidates(t) for t in texts]
-    x = np.array([features(t, c, p) for t, p, cs in zip(texts, paths, found) for c in cs])
-    scores = iter(model.scores(x).tolist() if len(x) else [])
+    x = np.array([features(t, c, p, model.words, model.pairs) for t, p, cs in zip(texts, paths, found) for c in cs])
+    scores = iter(model.forest.scores(x).tolist() if len(x) else [])
     return [[Finding(*c, next(scores)) for c in cs] for cs in found]
 
 
@@ -216,11 +234,12 @@ def redacted(text: str | None, findings: list[Finding]) -> str | None:
 _FOUND = T.ArrayType(T.StructType([T.StructField("start", T.LongType(), False), T.StructField("end", T.LongType(), False), T.StructField("kind", T.StringType(), False), T.StructField("score", T.DoubleType(), False)]), False)
 
 
-def scan(docs: DataFrame, model: forest.Forest, text: str = "text", path: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, model: Model, text: str = "text", path: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
     """Add secret_candidates and secrets (arrays of start, end, kind, score), redacted (text); other columns pass through."""
     kind = pa.list_(pa.struct([pa.field("start", pa.int64(), False), pa.field("end", pa.int64(), False), pa.field("kind", pa.string(), False), pa.field("score", pa.float64(), False)]))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by trees and depth
-    both = docs.withColumn("_scanned", F.struct(F.col(text).alias("text"), (F.col(path) if path else F.lit(None)).cast("string").alias("path")))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by trees, depth and WORDS
+    plain, name, _ = sealed(docs)
+    both = plain.withColumn("scanned", F.struct(F.col(name[text]).alias("text"), (F.col(name[path]) if path else F.lit(None)).cast("string").alias("path")))
 
     def make():
         m = shared.value
@@ -234,4 +253,5 @@ def scan(docs: DataFrame, model: forest.Forest, text: str = "text", path: str |
         return f
 
     new = T.StructType([T.StructField("secret_candidates", _FOUND, False), T.StructField("secrets", _FOUND, False), T.StructField("redacted", T.StringType())])
-    return map_text(both, "_scanned", new, make, raw=True).drop("_scanned")
+    found = map_text(both, "scanned", new, make, raw=True)
+    return found.select(*(F.col(n).alias(c) for c, n in name.items() if c.lower() not in new.fieldNames()), *new.fieldNames())

@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from bookpulse.llm import dac, decontaminate, fm_index, pii, q_quality, quality, queries, secrets, simhash, token_counts, toxicity, trie_codec, warc
+from bookpulse.llm import common, dac, decontaminate, fm_index, pii, q_quality, quality, queries, secrets, simhash, token_counts, toxicity, trie_codec, warc
 
 BYTE, WORD = queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
@@ -45,8 +46,13 @@ def empty_dir(spark, odd_dir, tmp_path_factory):
     return at
 
 
+def odd_rows(d):
+    """Whether a folder's tables are the directories that these tests wrote."""
+    return not d.startswith("/root/testdata")
+
+
 def read(d, table, columns):
-    f = f"{d}/{table}.parquet" + ("" if d == SF else "/*.parquet")
+    f = f"{d}/{table}.parquet" + ("/*.parquet" if odd_rows(d) else "")
     return duckdb.connect().execute(f"SELECT {columns} FROM '{f}'").fetchall()
 
 
@@ -93,8 +99,8 @@ def windows(bench):
     of = defaultdict(set)
     for item, text in bench:
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
-        for k in range(max(1, len(w) - 12) if w and item is not None else 0):
-            of[tuple(w[k : k + 13])].add(item)
+        for k in range(max(1, len(w) - 12) if w else 0):
+            of[tuple(w[k : k + 13])] |= {item} - {None}
     return of
 
 
@@ -103,8 +109,8 @@ def contamination(text, of):
     hit, items = set(), set()
     for n in {len(k) for k in of}:
         for k in range(len(w) - n + 1):
-            if found := of.get(tuple(w[k : k + n])):
-                items |= found
+            if tuple(w[k : k + n]) in of:
+                items |= of[tuple(w[k : k + n])]
                 hit |= set(range(k, k + n))
     return len(w), len(hit), items
 
@@ -176,6 +182,69 @@ def test_salvage():
             assert set(ids) >= set(left)
 
 
+def test_salvage_of_many_records_a_member():
+    records = [warc.record("response", warc._urn(i), "http://x/", b"page %d " % i * 50 * i, None, [("X-Page-ID", str(i))]) for i in range(20)]
+    ids = lambda found: [int(x.headers["x-page-id"]) for x in found if isinstance(x, warc.Record)]
+    covered = lambda found: sum(x.length for x in found)
+    blob = warc.member(b"".join(records))
+    found = list(warc.salvage(io.BytesIO(blob)))
+    assert ids(found) == list(range(20)) and covered(found) == len(blob)
+    damaged = bytearray(b"".join(records))
+    damaged[len(records[0]) + len(records[1]) - 20] ^= 1
+    blob = warc.member(bytes(damaged)) + warc.member(records[3])
+    found = list(warc.salvage(io.BytesIO(blob)))
+    assert ids(found) == [0, *range(2, 20), 3] and covered(found) == len(blob) and [x.reason for x in found if isinstance(x, warc.Gap)] == ["block digest differs"]
+    whole = warc.member(b"".join(records))
+    blob = whole[: len(whole) // 2] + warc.member(records[3])
+    found = list(warc.salvage(io.BytesIO(blob)))
+    assert ids(found)[-1] == 3 and len(found) > 3 and covered(found) == len(blob)
+
+
+def test_salvage_of_lengths_headers_and_digests(monkeypatch):
+    good = warc.record("response", warc._urn(1), "http://x/", b"x" * 5000)
+    size = next(x for x in good.split(b"\r\n") if x.startswith(b"Content-Length"))
+    for wrong in (b"Content-Length: 99999999", b"Content-Length: 99999999999999999999", b"Content-Length: 17", b"Content-Length: -1"):
+        monkeypatch.setattr(warc, "PIECE", 1 << 10)
+        file = io.BytesIO(good.replace(size, wrong) + good * 400)
+        reader = warc.salvage(file)
+        first = next(reader)
+        assert isinstance(first, warc.Gap) and file.tell() < 1 << 16  # the length isn't read through
+        assert sum(isinstance(x, warc.Record) for x in reader) == 400
+    tall = good.replace(b"\r\nWARC-Date", b"\r\nX-Long: " + b"y" * (3 << 20) + b"\r\nWARC-Date")
+    assert [type(x) for x in warc.salvage(io.BytesIO(tall + good))] == [warc.Record] * 2
+    block = good.split(b"\r\n\r\n", 1)[1][:-4]
+    digest = hashlib.sha1(block)
+    base32 = base64.b32encode(digest.digest())
+    for other in (base32.lower(), digest.hexdigest().encode()):
+        (x,) = warc.salvage(io.BytesIO(good.replace(b"Block-Digest: sha1:" + base32, b"Block-Digest: sha1:" + other)))
+        assert isinstance(x, warc.Record)
+    far = warc.record("response", warc._urn(2), "http://x/", bytes(40 << 20))
+    assert [len(x.payload) for x in warc.salvage(io.BytesIO(warc.member(far + good)))] == [40 << 20, 5000]
+
+
+def test_damaged_archives_fail_the_query(spark, odd_dir, monkeypatch):
+    write = warc.write
+
+    def damage(planned, path):
+        manifest = write(planned, path)
+        name = manifest.first()["path"].removeprefix("file://")
+        data = bytearray(open(name, "rb").read())
+        data[len(data) // 2] ^= 0xFF
+        open(name, "wb").write(data)
+        return manifest
+
+    monkeypatch.setattr(warc, "write", damage)
+    with pytest.raises(Exception, match="quarantined"):
+        queries.op3_warc(spark, SF).collect()
+
+
+def test_repeated_pages(spark, tmp_path):
+    rows = [(1, "u", "a"), (3, "u", "a"), (3, "u", "a"), (None, "u", "a"), (None, "u", "b"), (None, "u", "b"), (4, "v", "b")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.page_id, r.record_type, r.refers_to) for r in queries.op3_warc(spark, str(tmp_path)).collect()]
+    assert Counter(got) == Counter([(1, "revisit", 3), (3, "response", None), (3, "response", None), (None, "revisit", 3), (None, "revisit", 4), (None, "revisit", 4), (4, "response", None)])
+
+
 def texts(seed, n=400):
     r = random.Random(seed)
     return [t or "" for t in ODD] + ["".join(r.choice(ALPHABET) for _ in range(r.randint(1, 80))) for _ in range(n)]
@@ -203,9 +272,18 @@ def test_op4(spark, odd_dir):
         assert sorted(got) == coded(read(d, "documents", "doc_id, text"))
 
 
+def frequent_words(texts):
+    """The dictionary by brute force (fewer words than its bound)."""
+    n = Counter(w for t in texts for w in set(re.split("[^a-z]+", (t or "").lower())) if 3 <= len(w) <= 24)
+    return frozenset(w for w, k in n.items() if k >= secrets.WORD_ROWS)
+
+
 def test_op5(spark, odd_dir):
     for d, got in both(spark, odd_dir, "op5_secret_scan"):
-        model = secrets.train()
+        words = secrets.dictionary(spark.read.parquet(f"{d}/documents.parquet"))
+        counted = frequent_words(t for (t,) in read(d, "documents", "text"))
+        assert words == counted if len(counted) <= secrets.WORDS else words < counted
+        model = secrets.train(words=words)
         want = []
         for i, t, s in read(d, "documents", "doc_id, text, source"):
             (found,) = secrets.judge([t], [s], model)
@@ -215,6 +293,39 @@ def test_op5(spark, odd_dir):
         assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_planted_secrets(spark):
+    """Of the tokens that the documents hold all are found and redacted whole, and nothing else is."""
+    d = "/root/testdata/sf0.01"
+    got = {r.doc_id: r.spans for r in queries.op5_secret_scan(spark, d).collect()}
+    planted = 0
+    for i, t in read(d, "documents", "doc_id, text"):
+        want = [f"value:{m.start(1)}:{m.end(1)}" for m in re.finditer(r'token = "([0-9a-f]{40})"', t or "", re.I)]
+        planted += len(want)
+        assert got[i] == ",".join(want)
+    assert planted > 5
+
+
+# Findings written by hand, not by the generator: (text, path, whether the candidate is a secret).
+FINDINGS = [
+    ('aws_secret_access_key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzq1Lo9dWvT"', "deploy/prod.env", 1),
+    ("password: hunter2Xq9!vB", "config/db.yml", 1),
+    ("export GITHUB_TOKEN=ghp_16C7e42F292c6912E7710c838347Ae178B4a", "setup.sh", 1),
+    ('"client_secret": "9f86d081884c7d659a2feaa0c55ad015"', "app.json", 1),
+    ("password: example-password", "docs/readme.md", 0),
+    ("api_key = 'YOUR_API_KEY_HERE'", "docs/start.md", 0),
+    ("the token: something_else_here", "notes", 0),
+    ("checksum sha256 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08", "release.txt", 0),
+    ("see src/components/navigation/sidebar/index2 for more", "notes", 0),
+    ("id 123e4567-e89b-12d3-a456-426614174000 was seen", "log", 0),
+]
+
+
+def test_forest_on_findings_by_hand():
+    judged = secrets.judge([t for t, _, _ in FINDINGS], [p for _, p, _ in FINDINGS], secrets.train())
+    wrong = [t for (t, _, y), fs in zip(FINDINGS, judged) if any(f.score >= secrets.THRESHOLD for f in fs) != bool(y)]
+    assert len(wrong) <= 1, wrong
+
+
 def test_forest_on_unseen_findings():
     model, right, unseen = secrets.train(), 0, secrets.labelled_findings(600, seed=77)
     for text, path, label in unseen:
@@ -245,15 +356,21 @@ def test_op6(spark, odd_dir):
         assert len(got) == len(read(d, "documents", "doc_id"))
 
 
-def test_toxicity_held_out():
-    rows = duckdb.connect().execute("SELECT d.doc_id, text, toxic FROM '/root/testdata/sf0.1/documents.parquet' d JOIN '/root/testdata/sf0.1/labels.parquet' USING (doc_id) ORDER BY 1").fetchall()
-    terms = toxicity.Terms()
-    found, y = [terms.of_text(t) for _, t, _ in rows], np.array([r[2] for r in rows])
-    held = np.array([zlib.crc32(str(r[0]).encode()) % 3 == 1 for r in rows])
-    fit = np.flatnonzero(~held)
-    m = toxicity.fit([np.array(sorted(found[i]), np.int64) for i in fit], y[fit])
-    predicted = m.scores([found[i] for i in np.flatnonzero(held)]) >= 0.7
-    assert (predicted == y[held]).mean() > 0.98 and predicted[y[held] == 0].mean() < 0.01
+def test_op6_held_out(spark):
+    """The query's own rows of the held-out third against their labels, which no fit and no choice of settings has seen."""
+    d = "/root/testdata/sf0.1"
+    got = {r.doc_id: r.predicted for r in queries.op6_toxicity(spark, d).where("held_out").collect()}
+    y = {i: t for i, t in read(d, "labels", "doc_id, toxic") if i in got and t is not None}
+    wrong = [i for i in y if got[i] != y[i]]
+    assert len(wrong) < 0.03 * len(y) and sum(got[i] for i in wrong) < 0.01 * len(y)
+
+
+def test_toxicity_of_one_kind_and_copies():
+    rows = [np.array([1, 2]), np.array([3, 4])]
+    low, none, high = (toxicity.fit(rows[:n], np.full(n, v)).scores([set()])[0] for n, v in ((2, 0), (0, 0), (2, 1)))
+    assert low < none == 0.5 < high
+    a = np.arange(100)
+    assert toxicity.first_copies([a, a, a[:90], np.concatenate([a[:4], a[4:] + 500]), a], np.array([1, 1, 1, 1, 0])) == [0, 3, 4]
 
 
 def test_interactions_are_learned():
@@ -320,7 +437,7 @@ def test_chains_of_links(spark):
         x ^= 1 << b
     df = spark.createDataFrame([(v,) for v in path], "fp long")
     roots = simhash.components(simhash.links(df)).collect()
-    assert {r.root for r in roots} == {0} and len(roots) == 40
+    assert {r.v for r in roots} == {0} and len(roots) == 40
 
 
 def test_op8(spark, odd_dir, monkeypatch):
@@ -332,14 +449,45 @@ def test_op8(spark, odd_dir, monkeypatch):
     monkeypatch.setattr(token_counts, "STATES", 50)
     c = token_counts.Counter(WORD)
     assert c.counts(texts(4)) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts(4)]
-    a, b, x = (token_counts.BlockMap(*v) for v in (("ab", 3, "c"), ("de",), ("f", 1, "")))
-    assert c.compose(c.compose(a, b), x) == c.compose(a, c.compose(b, x))
+
+
+def test_state_maps():
+    """Maps of a long pretoken's blocks compose to the same whichever two are taken first, and give the library's count."""
+    r, tok, c = random.Random(9), Tokenizer.from_file(WORD), token_counts.Counter(WORD)
+    word = "".join(r.choice("abcdefé") for _ in range(90_000))
+    maps = c.long_pretoken(word)
+    assert len(maps) > 5 and all(len(m.moves) >= 1 for m in maps)
+    left = right = None
+    for m in maps:
+        left = m if left is None else token_counts.compose(left, m)
+    for m in reversed(maps):
+        right = m if right is None else token_counts.compose(m, right)
+    n = len(tok.encode(word, add_special_tokens=False).ids)
+    for whole in (left, right, token_counts.compose_scan(maps)):
+        assert whole(token_counts.START) == (token_counts.START, n)
+    assert all(m(s) == m.more(s) for m in maps for s in list(m.moves))
+
+
+def test_counts_without_white_space():
+    r, tok, c = random.Random(10), Tokenizer.from_file(WORD), token_counts.Counter(WORD)
+    for t in ("x" * 1_000_000, "don't" * 100_000, "漢字" * 60_000, "".join(r.choice("etaoin") for _ in range(200_000)), "!?" * 200_000):
+        assert c.counts([t]) == [len(tok.encode(t, add_special_tokens=False).ids)]
+
+
+def test_counts_of_all_scripts():
+    """Every thirteenth code point among others, those that Unicode versions class or lower differently, and mixtures."""
+    r, tok, c = random.Random(11), Tokenizer.from_file(WORD), token_counts.Counter(WORD)
+    points = [p for p in (*range(1, 0x110000, 13), 0xA7CB, 0xA7DC, 0x2B73A, 0x2CEA2, 0x32808) if not 0xD800 <= p < 0xE000]
+    rows = [f"a{chr(p)}b1{chr(p)}{chr(p)} x" for p in points]
+    ranges = [(32, 126), (0xA0, 0x250), (0x300, 0x36F), (0x4E00, 0x9FFF), (0x20000, 0x3FFFF), (0x1F300, 0x1FA00), (0xAC00, 0xD7A3), (0xA700, 0xA7FF)]
+    rows += ["".join(chr(r.randint(*r.choice(ranges))) for _ in range(r.randint(1, 30))) for _ in range(5000)]
+    assert c.counts(rows) == [len(e.ids) for e in tok.encode_batch_fast(rows, add_special_tokens=False)]
 
 
 def test_op9(spark, odd_dir):
     for d, got in both(spark, odd_dir, "op9_quality_rules"):
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet{'' if d == SF else '/*.parquet'}'")
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet{'/*.parquet' if odd_rows(d) else ''}'")
         cur = con.execute(q_quality.ORACLE)
         assert sorted(got) == sorted(cur.fetchall())
         for i, n, chars, symbols, dup, repeat, base, kept, bits in got:
@@ -378,13 +526,25 @@ def test_op10(spark, odd_dir):
             n = Counter(k for k, _, _ in b)
             joined = ",".join(f"{k}:{s}:{e}" for k, s, e in b)
             want[i] = (n["email"], n["ip"], n["card"], n["phone"], hashlib.sha256(joined.encode()).hexdigest(), set(joined.split(",")) - {""})
-        for i, *found, spans in got:
-            assert tuple(found) == want[i][:5] and want[i][5] <= set(spans.split(","))
+        for i, *found, spans, n in got:
+            assert tuple(found) == want[i][:5] and want[i][5] <= set(spans.split(",")) and n == len([x for x in spans.split(",") if x])
     r = random.Random(6)
     for t in ["".join(r.choice("ab1.@+- 9(") for _ in range(50)) for _ in range(3000)]:
         assert [tuple(s) for s in pii.base_spans(t)] == base_spans(t)
 
 
+ADVERSE = [" ", "1", "( ", "[", "dot ", "one ", "plus ", "a at ", "1 dot ", "@ ", "+1 ", "1.", "a@b.", "one dot ", "(at) ", "(dot) ", "_at_", "a dot ", "1 one ", "１", "a at b dot ", "x at y.com dot "]
+
+
+@pytest.mark.parametrize("unit", ADVERSE)
+def test_time_grows_with_length(unit):
+    """A quadratic pattern would take minutes on these."""
+    for text in (unit * (200_000 // len(unit)), "bob at x" + unit * (200_000 // len(unit))):
+        before = time.process_time()
+        pii.all_spans(text)
+        assert time.process_time() - before < 10
+
+
 @pytest.mark.parametrize(
     "text, kind, source",
     [
@@ -454,24 +614,86 @@ def test_plain_texts_stay_clean(text):
     assert pii.all_spans(text) == ([], [])
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, odd_dir, empty_dir, name):
+    for d in (SF, odd_dir, empty_dir):
+        con = duckdb.connect()
+        for t in TABLES:
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet{'/*.parquet' if odd_rows(d) else ''}'")
+        cur = con.execute(queries.ORACLES[name])
+        got = queries.QUERIES[name](spark, d)
+        columns = [c[0] for c in cur.description]
+        assert sorted(columns) == sorted(got.columns)
+        assert sorted(map(str, map(tuple, got.select(columns).collect()))) == sorted(map(str, cur.fetchall()))
+
+
 def test_pipeline(spark, odd_dir):
     """Each stage's rule applied by brute force."""
     assert [s for s, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontaminate", "secrets", "encode"]
     for d in (SF, odd_dir):
         rows = {r.doc_id: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
-        kept = {r.doc_id for r in quality.apply_policy(quality.ledger(spark.read.parquet(f"{d}/documents.parquet"))).where("kept").collect()}
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet{'/*.parquet' if odd_rows(d) else ''}'")
+        kept = {i for i, keep in con.execute(f"SELECT doc_id, kept FROM ({q_quality.ORACLE})").fetchall() if keep}
         where = components({i: fp(rows[i].text) for i in kept})
         kept = {i for i in kept if where[i] == i}
         of = windows(read(d, "benchmark", "item_id, text"))
         found = {i: contamination(rows[i].text, of) for i in kept}
         kept = sorted(i for i in kept if not (found[i][1] and 20 * found[i][1] >= found[i][0]))
-        model = secrets.train()
-        judged = secrets.judge([rows[i].text for i in kept], [rows[i].source for i in kept], model)
-        want = coded([(i, secrets.redacted(rows[i].text, [f for f in fs if f.score >= 0.5])) for i, fs in zip(kept, judged)])
+        redacted = {i: re.sub(r'(token = ")[0-9a-f]{40}"', rf'\1{secrets.MARK}"', rows[i].text or "", flags=re.I) for i in kept}
+        want = coded(sorted(redacted.items()))
         assert sorted(map(tuple, corpus_pipeline.run(spark, d).collect())) == want
-    docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, odd_dir).columns == docs.columns
+
+
+#: Names of columns that operators add or use inside.
+CLASHES = "n_words items hit_spans secrets secret_candidates redacted word_chars fail_bits kept fp group component_id _words _text _lines _bits _packed _twice _at row scanned n spans more stays _in0".split()
+
+
+def test_stages_keep_all_columns(spark, odd_dir):
+    """Columns of any name and type pass through the stages with their values; rows with null and repeated doc_ids too."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.xxhash64("text").cast("string")) for c in CLASHES}).withColumn("tags", F.create_map("lang", F.array("source")))
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 1, 5).otherwise(F.col("doc_id")).cast("long"))
+    docs = common.materialize(docs)
+    before = {r.text: r.asDict() for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        for r in out.collect():
+            was = before.get(r.text)
+            if was is None:  # a redacted text
+                assert name == "secrets" and secrets.MARK in r.text
+            else:
+                assert {k: v for k, v in r.asDict().items() if k != "doc_id"} == {k: v for k, v in was.items() if k != "doc_id"}
+
+
+def test_operators_keep_columns_of_their_own_names(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 30, "mine", 7)], "doc_id long, text string, _words string, _bits int")
+    for out in (quality.ledger(docs), pii.find(docs), secrets.scan(docs, secrets.train(), path=None), decontaminate.find(docs, spark.createDataFrame([(1, "a b c")], "item_id long, text string"))):
+        r = out.first()
+        assert (r["doc_id"], r["_words"], r["_bits"]) == (1, "mine", 7)
+
+
+def test_shared_folder_is_required_on_clusters(spark, monkeypatch):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Cluster)
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_pydict({"t": ["x" * 100, None, "y" * 900, "z" * 10, "", "w" * 5000, "v"]})
+    sizes = [[len(t or "") for t in x.column(0).to_pylist()] for x in common.slices(b, 0, rows=3, size=1000)]
+    assert sizes == [[100, 0, 900], [10, 0], [5000], [1]]
+    lists = pa.RecordBatch.from_pydict({"t": [[1, 2], None, [3]]})
+    assert [x.num_rows for x in common.slices(lists, 0, size=2)] == [2, 1]
 
 
 def test_near_dedup_of_shared_and_null_ids(spark):
