@@ -39,18 +39,25 @@ def asof_forward(probes: DataFrame, builds: DataFrame, by: Sequence[str], at: st
 def forward_returns(frame: DataFrame, horizons_ms: Sequence[int] = (3000, 30000), price: str = "mid_price_1", tiebreak: Sequence[str] = ()) -> DataFrame:
     """Add label_time_ms_{h}ms, label_price_{h}ms and fwd_ret_{h}ms for each horizon.
 
-    The match is by time only: a matched row without a valid price gives NULL, and no later row is tried. The day is a
-    wall, the lunch break isn't.
+    The match is by time only: a matched row without a valid price gives NULL, and no later row is tried; of rows at one
+    time the smallest by ``tiebreak``, then by price counts. The day is a wall, the lunch break isn't. A frame that is
+    matched with itself needs no union: sorted downwards by time, a horizon's match is the minimum of what stands a
+    horizon or more before a row, which runs along. One exchange and one sort for all horizons.
     """
     schema.check_labels(frame, price)
-    out = frame.select("*", X.opaque({"_t": X.clock_ms(), "_p": base_price(frame, price)}))
-    for h in schema.horizons(horizons_ms):
-        builds = out.select(*DAY, "_t", *tiebreak, F.struct(F.col("_t").alias("t"), F.col("_p").alias("p")).alias("_at"))
-        found = asof_forward(out.withColumn("_want", F.col("_t") + h), builds, DAY, "_want", "_t", "_at", tiebreak)
-        later = F.col("_at.p")
-        ret = F.when((F.col("_p") > 0) & (later > 0), later / F.col("_p") - 1)
-        out = found.select("*", X.opaque({f"label_time_ms_{h}ms": F.col("_at.t"), f"label_price_{h}ms": later, f"fwd_ret_{h}ms": ret})).drop("_want", "_at")
-    return out.drop("_t", "_p")
+    steps = schema.horizons(horizons_ms)
+    timed = frame.select("*", X.opaque({"_t": X.clock_ms(), "_p": base_price(frame, price)}))
+    w = Window.partitionBy(*DAY).orderBy(F.desc("_t"))
+    row = F.when(F.col("_t").isNotNull(), F.struct("_t", *tiebreak, "_p"))
+    found = timed.withColumns({f"_at_{h}": F.min(row).over(w.rangeBetween(Window.unboundedPreceding, -h)) for h in steps})
+    # (a generator is given plain columns: Catalyst loses count of its input's columns when it prunes a struct below one)
+    at = lambda h, field: F.when(F.col("_t").isNotNull(), F.col(f"_at_{h}.{field}")).alias(f"{field}_{h}")
+    found = found.select(*frame.columns, "_t", "_p", *(at(h, field) for h in steps for field in ("_t", "_p")))
+    added = {}
+    for h in steps:
+        later = F.col(f"_p_{h}")
+        added |= {f"label_time_ms_{h}ms": F.col(f"_t_{h}"), f"label_price_{h}ms": later, f"fwd_ret_{h}ms": F.when((F.col("_p") > 0) & (later > 0), later / F.col("_p") - 1)}
+    return found.select(*frame.columns, X.opaque(added))
 
 
 def panel(frame: DataFrame, factors: Sequence[str] | None = None, labels: Sequence[str] | None = None, base: Sequence[str] = ("source_month",)) -> DataFrame:

@@ -5,32 +5,61 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookpulse.functions.exprs import zero_padded
-from bookpulse.sources.tables import exists, write_parquet
+from bookpulse.sources.tables import exists, file_system, write_parquet
 
 BOOK_DEPTH = 10
 NULL_TOKENS = ("", "None", "null", "NULL")
 
-# Raw column names, their types, and our names.
-_KEYS = {"SecuCode": ("bigint", "secu_code"), "TradingDay": ("int", "trading_day"), "TickTime": ("bigint", "event_time")}
+# Raw column names, their types, and our names. Each dataset has its own name for the time.
+_SECURITY = {"SecuCode": ("bigint", "secu_code"), "TradingDay": ("int", "trading_day")}
 _SNAPSHOT = {
-    "TickTimeDiff": "tick_time_diff", "Price": "last_price", "DealNum": "deal_num", "Volume": "volume", "Turnover": "turnover", "TotalDealNum": "total_deal_num",
-    "TotalVolume": "total_volume", "TotalTurnover": "total_turnover", "TotalBidVolume": "total_bid_volume", "TotalAskVolume": "total_ask_volume",
-    "WeightBidPrice": "weight_bid_price", "WeightAskPrice": "weight_ask_price",
-}
+    "TickTime": ("bigint", "event_time"),
+    "TickTimeDiff": ("int", "tick_time_diff"),
+    "Price": ("double", "last_price"),
+    "DealNum": ("double", "deal_num"),
+    "Volume": ("double", "volume"),
+    "Turnover": ("double", "turnover"),
+    "TotalDealNum": ("double", "total_deal_num"),
+    "TotalVolume": ("double", "total_volume"),
+    "TotalTurnover": ("double", "total_turnover"),
+    "TotalBidVolume": ("double", "total_bid_volume"),
+    "TotalAskVolume": ("double", "total_ask_volume"),
+    "WeightBidPrice": ("double", "weight_bid_price"),
+    "WeightAskPrice": ("double", "weight_ask_price"),
+}
 _LEVEL = {"AskPrice": "ask_price", "AskVolume": "ask_volume", "BidPrice": "bid_price", "BidVolume": "bid_volume", "BidOrder": "bid_order", "AskOrder": "ask_order"}
-_ORDER = {"OrderID": "bigint order_id", "Price": "double price", "Volume": "double volume", "OrderType": "int order_type", "Channel": "int channel", "BizIndex": "bigint biz_index", "DBOrderID": "bigint db_order_id", "LastPrice": "double last_price"}
-_TRADE = {"BuyID": "bigint buy_id", "SellID": "bigint sell_id", "DealID": "bigint deal_id", "Price": "double price", "Volume": "double volume", "Side": "int side", "Channel": "int channel", "BizIndex": "bigint biz_index"}
+_ORDER = {
+    "OrderTime": ("bigint", "event_time"),
+    "OrderID": ("bigint", "order_id"),
+    "Price": ("double", "price"),
+    "Volume": ("double", "volume"),
+    "OrderType": ("int", "order_type"),
+    "Channel": ("int", "channel"),
+    "BizIndex": ("bigint", "biz_index"),
+    "DBOrderID": ("bigint", "db_order_id"),
+    "LastPrice": ("double", "last_price"),
+}
+_TRADE = {
+    "DealTime": ("bigint", "event_time"),
+    "BuyID": ("bigint", "buy_id"),
+    "SellID": ("bigint", "sell_id"),
+    "DealID": ("bigint", "deal_id"),
+    "Price": ("double", "price"),
+    "Volume": ("double", "volume"),
+    "Side": ("int", "side"),
+    "Channel": ("int", "channel"),
+    "BizIndex": ("bigint", "biz_index"),
+}
 
 SCHEMAS: dict[str, dict[str, tuple[str, str]]] = {
-    "snapshot": _KEYS | {k: ("int" if k == "TickTimeDiff" else "double", v) for k, v in _SNAPSHOT.items()} | {f"{r}{k}": ("double", f"{n}_{k}") for k in range(1, BOOK_DEPTH + 1) for r, n in _LEVEL.items()},
-    "order": _KEYS | {k: tuple(v.split(" ")) for k, v in _ORDER.items()},
-    "trade": _KEYS | {k: tuple(v.split(" ")) for k, v in _TRADE.items()},
+    "snapshot": _SECURITY | _SNAPSHOT | {f"{r}{k}": ("double", f"{n}_{k}") for k in range(1, BOOK_DEPTH + 1) for r, n in _LEVEL.items()},
+    "order": _SECURITY | _ORDER,
+    "trade": _SECURITY | _TRADE,
 }
 
 
@@ -44,11 +73,12 @@ class IngestJob:
     target: str
 
 
-def csv_files(folder: str) -> list[str]:
-    """The folder's CSV files, sorted; not those of folders below."""
-    if not Path(folder).is_dir():
+def csv_files(spark: SparkSession, folder: str) -> list[str]:
+    """The folder's CSV files, sorted; not those of folders below. Any file system that Spark reads will do."""
+    fs, p = file_system(spark, folder)
+    if not fs.exists(p):
         raise FileNotFoundError(folder)
-    return sorted(str(p) for p in Path(folder).glob("*.csv"))
+    return sorted(f.getPath().toString() for f in fs.listStatus(p) if f.isFile() and f.getPath().getName().endswith(".csv"))
 
 
 def plan(sources: Mapping[str, Mapping[str, str]], root: str, months: Iterable[str] | None = None, datasets: Iterable[str] | None = None) -> list[IngestJob]:
@@ -70,7 +100,7 @@ def by_header(spark: SparkSession, files: Iterable[str]) -> list[list[str]]:
     """Files in groups of equal header lines; Spark takes the columns of all files of one read from the first."""
     groups: dict[str, list[str]] = {}
     for f in files:
-        first = spark.read.text(f).limit(1).collect() if "://" in f else [[next(open(f, encoding="utf-8"), "").rstrip("\r\n")]]
+        first = spark.read.text(f).limit(1).collect()
         groups.setdefault(first[0][0] if first else "", []).append(f)
     return list(groups.values())
 
@@ -91,6 +121,6 @@ def run(spark: SparkSession, jobs: Iterable[IngestJob], force: bool = False) ->
     done = []
     for j in jobs:
         if force or not exists(spark, j.target):
-            write_parquet(scan(spark, csv_files(j.source), j.dataset, j.month), j.target, sort_by=["symbol", "trading_day", "event_time"])
+            write_parquet(scan(spark, csv_files(spark, j.source), j.dataset, j.month), j.target, sort_by=["symbol", "trading_day", "event_time"])
         done.append(j.target)
     return done

@@ -17,10 +17,22 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), so
     return path
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it takes it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a dataset was written to its end."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    fs, p = file_system(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
+def version(spark: SparkSession, path: str) -> tuple:
+    """Size and time of change of a file or of the files in a folder."""
+    fs, p = file_system(spark, path)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p)))
 
 
 def stage(spark: SparkSession, outputs: dict[str, str], build: Callable[[], dict[str, DataFrame]], force: bool = False) -> dict[str, str]:
@@ -36,14 +48,21 @@ def read_many(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").parquet(root)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the folder that all executors share and read back. Cuts deep plans, whose constraints Catalyst can't digest."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a temporary one only in a session of one process, where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         if not _fallback:
             _fallback.append(tempfile.mkdtemp(prefix="bookpulse-"))
         base = "file://" + _fallback[0]
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write to the folder that all executors share and read back. Cuts deep plans, whose constraints Catalyst can't digest."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -82,6 +82,21 @@ def test_asof_takes_the_first_of_equal_times(spark):
     assert {(r.k, r.at): r.v for r in got} == {("a", 5): 10.0, ("a", 6): 30.0, ("a", 8): None, ("b", 1): None}
 
 
+def test_labels_take_one_exchange(spark):
+    """And one scan, for any number of horizons."""
+    frame = snapshots(spark, A)
+    for steps in ([3000], [3000, 6000, 9000, 30000]):
+        plan = L.forward_returns(frame, steps)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Scan") == 1 and plan.count("Sort [") == 1
+
+
+def test_labels_of_equal_and_missing_times(spark):
+    rows = [("000001", 20251103, t, p, 1.0, p + 0.02, 1.0) for t, p in ((93000000, 10.0), (93003000, 12.0), (93003000, 11.0), (93006000, 13.0))]
+    frame = snapshots(spark, rows).withColumn("tie", -F.col("bid_price_1")).unionByName(snapshots(spark, rows[:1]).withColumns({"tie": F.lit(0.0), "event_time": F.lit(None).cast("bigint")}))
+    got = {(r.event_time, r.bid_price_1): r.label_price_3000ms for r in L.forward_returns(frame, [3000], tiebreak=["tie"]).collect()}
+    assert got == {(93000000, 10.0): 12.01, (93003000, 12.0): 13.01, (93003000, 11.0): 13.01, (93006000, 13.0): None, (None, 10.0): None}
+
+
 def test_bucket_edges_and_negative_volume(spark):
     rows = [(93003000, 1.0, 10.0, 0), (93003001, 1.0, 10.0, 1), (93003002, 1.0, -5.0, 1), (93003003, 1.0, None, 0)]
     got = {r.bucket_ms: r.trade_imbalance_3s for r in B.trade_imbalance(trades(spark, rows)).collect()}

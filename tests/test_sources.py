@@ -17,27 +17,47 @@ def _csv(path, rows, columns):
     path.write_text("\n".join([",".join(columns), *(",".join(map(str, r)) for r in rows)]) + "\n")
 
 
+TRADE = "SecuCode,TradingDay,DealTime,BuyID,SellID,DealID,Price,Volume,Side,Channel,BizIndex".split(",")
+ORDER = "SecuCode,TradingDay,OrderTime,OrderID,Price,Volume,OrderType,Channel,BizIndex,DBOrderID,LastPrice".split(",")
+SNAPSHOT = "SecuCode,TradingDay,TickTime,TickTimeDiff,Price,DealNum,Volume,Turnover,TotalDealNum,TotalVolume,TotalTurnover,TotalBidVolume,TotalAskVolume,WeightBidPrice,WeightAskPrice".split(",")
+SNAPSHOT += [f"{f}{k}" for k in range(1, 11) for f in ("AskPrice", "AskVolume", "BidPrice", "BidVolume", "BidOrder", "AskOrder")]
+
+
 def test_ingest(spark, tmp_path):
-    raw = list(ingest.SCHEMAS["trade"])
-    turned = raw[::-1] + ["Unknown"]
-    _csv(tmp_path / "in" / "b.csv", [[*range(len(raw)), "x"][:-1] + ["y"]], turned)
-    _csv(tmp_path / "in" / "a.csv", [[1234567, 20251103, 93000000, "", "None", "null", "NULL", 2.5, 1, 1, 1]], raw)
+    turned = TRADE[::-1] + ["Unknown"]
+    _csv(tmp_path / "in" / "b.csv", [[*range(len(TRADE)), "x"][:-1] + ["y"]], turned)
+    _csv(tmp_path / "in" / "a.csv", [[1234567, 20251103, 93000000, "", "None", "null", "NULL", 2.5, 1, 1, 1]], TRADE)
+    _csv(tmp_path / "in" / "below" / "c.csv", [[1]], ["x"])
+    _csv(tmp_path / "in" / "d.txt", [[1]], ["x"])
     jobs = ingest.plan({"202511": {"trade": str(tmp_path / "in")}}, str(tmp_path / "out"))
     (target,) = ingest.run(spark, jobs)
     assert target.endswith("trade/month=202511")
     rows = {r.secu_code: r for r in spark.read.parquet(target).collect()}
     assert rows[1234567].symbol == "1234567" and rows[1234567].buy_id is None and rows[1234567].price is None and rows[1234567].volume == 2.5
+    assert rows[1234567].event_time == 93000000 and rows[10].event_time == 8
     assert rows[10].symbol == "000010" and rows[10].biz_index == 0 and rows[10].source_month == "202511"
     assert ingest.run(spark, jobs) == [target]
-    _csv(tmp_path / "bad" / "a.csv", [[1, 20251103, "noon", 1, 1, 1, 1, 1, 1, 1, 1]], raw)
+    _csv(tmp_path / "bad" / "a.csv", [[1, 20251103, "noon", 1, 1, 1, 1, 1, 1, 1, 1]], TRADE)
     with pytest.raises(Exception):
         ingest.scan(spark, str(tmp_path / "bad" / "a.csv"), "trade", "202511").collect()
+    with pytest.raises(ValueError, match="DealTime"):
+        ingest.scan(spark, str(tmp_path / "in" / "below" / "c.csv"), "trade", "202511")
     with pytest.raises(FileNotFoundError):
-        ingest.csv_files(str(tmp_path / "none"))
+        ingest.csv_files(spark, str(tmp_path / "none"))
     with pytest.raises(KeyError):
         ingest.plan({}, "x", ["202501"])
 
 
+def test_ingest_of_orders_and_snapshots(spark, tmp_path):
+    _csv(tmp_path / "order.csv", [[12, 20251103, 93000010, 5, 10.5, 300, 2, 1, 7, 8, "None"]], ORDER)
+    _csv(tmp_path / "snapshot.csv", [[12, 20251103, 93003000, 3000, *range(11), *[k / 2 for k in range(60)]]], SNAPSHOT)
+    o = ingest.scan(spark, str(tmp_path / "order.csv"), "order", "202511").first().asDict()
+    assert o == {"symbol": "000012", "source_month": "202511", "secu_code": 12, "trading_day": 20251103, "event_time": 93000010, "order_id": 5, "price": 10.5, "volume": 300.0, "order_type": 2, "channel": 1, "biz_index": 7, "db_order_id": 8, "last_price": None}
+    s = ingest.scan(spark, str(tmp_path / "snapshot.csv"), "snapshot", "202511").first()
+    assert len(s) == 77 and (s.event_time, s.tick_time_diff, s.last_price, s.weight_ask_price) == (93003000, 3000, 0.0, 10.0)
+    assert (s.ask_price_1, s.bid_price_1, s.ask_order_10) == (0.0, 1.0, 29.5)
+
+
 def test_stages_end_to_end(spark, tmp_path):
     d, at = "/root/testdata/sf0.001", lambda n: str(tmp_path / n)
     events.snapshots(spark, d).write.parquet(at("snapshot"))
