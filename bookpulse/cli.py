@@ -55,7 +55,7 @@ def parser() -> argparse.ArgumentParser:
     add("robustness", "timeseries", "root")
     add("grouping", "panel_path", "root", least=int, groups=int, **picks)
     add("redundancy", "panel_path", "timeseries", "summary", "root", least=int, **picks)
-    add("figures", "reports", "root", plots=bool)
+    add("figures", "reports", "root", plots=bool, core=_names, supplementary=_names)
     return top
 
 

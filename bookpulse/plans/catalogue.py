@@ -17,7 +17,7 @@ from bookpulse.operators import groups as G
 from bookpulse.operators import labels as L
 from bookpulse.operators import redundancy as R
 from bookpulse.sources import events
-from bookpulse.sources.tables import materialize
+from bookpulse.sources.tables import materialize, shared_dir, version
 
 WINDOW_MS, HORIZONS = 3_600_000, (3_600_000, 10_800_000)
 FACTORS = ["book_slope_5", "micro_price_1", "ofi_1", "oir_1", "oir_5", "relative_spread_1", "trade_imbalance_3s", "voi_1"]
@@ -26,21 +26,35 @@ PAIRS = list(product(FACTORS, LABELS))
 KEY = ["symbol", "trading_day", "event_time"]
 
 
-def _factored(s: SparkSession, d: str) -> DataFrame:
-    return B.with_trade_imbalance(B.book_factors(events.snapshots(s, d)), B.trade_imbalance(events.trades(s, d), WINDOW_MS))
+_written: dict[tuple, tuple] = {}
+
+
+def shared(s: SparkSession, d: str, name: str, build) -> DataFrame:
+    """A table that several queries read, written by the first of a session that needs it; anew when the events change."""
+    key = (s.sparkContext.applicationId, d, version(s, f"{d}/events.parquet"), name)
+    if key not in _written:
+        df, path = build(), shared_dir(s)
+        df.write.parquet(path)
+        _written[key] = path, df.schema
+    path, schema = _written[key]
+    return s.read.schema(schema).parquet(path)
 
 
-def _labelled(s: SparkSession, d: str) -> DataFrame:
-    return L.forward_returns(materialize(_factored(s, d)), HORIZONS)
+def _factored(s: SparkSession, d: str) -> DataFrame:
+    return B.with_trade_imbalance(B.book_factors(events.snapshots(s, d)), B.trade_imbalance(events.trades(s, d), WINDOW_MS))
 
 
 def _panel(s: SparkSession, d: str) -> DataFrame:
-    return materialize(L.panel(_labelled(s, d), FACTORS, LABELS))
+    return shared(s, d, "panel", lambda: L.panel(L.forward_returns(_factored(s, d), HORIZONS), FACTORS, LABELS))
 
 
 def _ic(s: SparkSession, d: str) -> DataFrame:
     """The time series is written once; all its summaries read it."""
-    return materialize(E.rank_ic(_panel(s, d), FACTORS, LABELS))
+    return shared(s, d, "ic", lambda: E.rank_ic(_panel(s, d), FACTORS, LABELS))
+
+
+def _corr(s: SparkSession, d: str) -> DataFrame:
+    return shared(s, d, "corr", lambda: R.factor_corr(_panel(s, d), FACTORS))
 
 
 def _column(name: str, c) -> "callable":
@@ -103,7 +117,7 @@ def average_rank(s, d):
 
 
 def rank_ic_pair(s, d):
-    p = materialize(L.panel(L.forward_returns(materialize(B.book_factors(events.snapshots(s, d))), HORIZONS[:1])))
+    p = materialize(L.panel(L.forward_returns(B.book_factors(events.snapshots(s, d)), HORIZONS[:1])))
     return S.rounded(E.rank_statistics(E.auction(p), [("oir_1", f"fwd_ret_{HORIZONS[0]}ms")]))
 
 
@@ -140,7 +154,7 @@ def group_id(s, d):
 
 
 def _returns(s, d):
-    return materialize(G.returns(_grouped(s, d)))
+    return shared(s, d, "returns", lambda: G.returns(_grouped(s, d)))
 
 
 def group_returns(s, d):
@@ -188,11 +202,11 @@ def stability(s, d):
 
 
 def factor_corr_timeseries(s, d):
-    return S.rounded(R.factor_corr(_panel(s, d), FACTORS))
+    return S.rounded(_corr(s, d))
 
 
 def factor_corr_summary(s, d):
-    return S.rounded(R.factor_corr_summary(R.factor_corr(_panel(s, d), FACTORS)))
+    return S.rounded(R.factor_corr_summary(_corr(s, d)))
 
 
 def ic_corr_summary(s, d):
@@ -203,25 +217,41 @@ def factor_strength(s, d):
     return S.rounded(R.strength(E.summary(_ic(s, d))))
 
 
+def ic_pair_rollup(s, d):
+    return S.rounded(R.ic_rollup(R.ic_corr(_ic(s, d), FACTORS, LABELS)))
+
+
 def _redundancy(s, d):
-    p = _panel(s, d)
-    ic = materialize(E.rank_ic(p, FACTORS, LABELS))
-    parts = R.factor_corr_summary(R.factor_corr(p, FACTORS)), R.ic_corr(ic, FACTORS, LABELS), E.summary(ic)
+    parts = R.factor_corr_summary(_corr(s, d)), R.ic_corr(_ic(s, d), FACTORS, LABELS), E.summary(_ic(s, d))
     # Rounded before they are compared, so that the last digit of a mean decides nothing.
-    return p, ic, R.recommend(*(S.rounded(materialize(x), 9) for x in parts))
+    return shared(s, d, "redundancy", lambda: R.recommend(*(S.rounded(materialize(x), 9) for x in parts)))
 
 
 def redundancy_recommendation(s, d):
-    return S.rounded(_redundancy(s, d)[2])
+    return S.rounded(_redundancy(s, d))
 
 
 def fig_redundancy_matrix(s, d):
-    return S.rounded(V.redundancy_matrix(_redundancy(s, d)[2], FACTORS))
+    return S.rounded(V.redundancy_matrix(_redundancy(s, d), FACTORS))
 
 
 def fig_coverage_validity(s, d):
-    p = _panel(s, d)
-    return S.rounded(V.coverage_validity(D.coverage(p, FACTORS, LABELS), E.summary(materialize(E.rank_ic(p, FACTORS, LABELS))), LABELS[1], FACTORS))
+    return S.rounded(V.coverage_validity(D.coverage(_panel(s, d), FACTORS, LABELS), E.summary(_ic(s, d)), LABELS[1], FACTORS))
+
+
+def fig_core_monotonicity(s, d):
+    return S.rounded(V.core_monotonicity(G.summary(_returns(s, d)), G.monotonicity(_returns(s, d)), LABELS))
+
+
+def fig_core_rank_ic(s, d):
+    return S.rounded(V.rank_ic(E.summary(_ic(s, d)), V.CORE, LABELS))
+
+
+def fig_single_value(s, d):
+    """One cell of the summary, looked up for each pair of core factor and label."""
+    found = E.summary(_ic(s, d))
+    rows = [(f, y, V.single_value(found, f, y, "valid_ratio")) for f in V.CORE[:2] for y in LABELS]
+    return S.rounded(s.createDataFrame(rows, "factor string, label string, valid_ratio double"))
 
 
 def fig_rank_ic(s, d):
@@ -265,13 +295,13 @@ QUERIES = {
         book_lag, snapshot_factors, auction_filter, session_label, trade_filter, trade_bucket, trade_imbalance, trade_factor_join, label_base_price, forward_label, panel, average_rank, rank_ic_pair,
         rank_ic_timeseries_long, rank_ic_timeseries, rank_ic_summary, rank_ic_monthly, rank_ic_sweep, ordinal_rank, group_id, group_returns, group_summary, group_spread, group_monotonicity,
         column_coverage, symbol_coverage, pair_reason, event_time_reason, session_summary, month_session_summary, stability, factor_corr_timeseries, factor_corr_summary, ic_corr_summary,
-        factor_strength, redundancy_recommendation, fig_redundancy_matrix, fig_coverage_validity, fig_rank_ic, fig_monotonicity, zfill_symbol, month_slice, factor_family, lineitem_rank_ic,
+        factor_strength, ic_pair_rollup, redundancy_recommendation, fig_redundancy_matrix, fig_coverage_validity, fig_core_monotonicity, fig_core_rank_ic, fig_single_value, fig_rank_ic, fig_monotonicity, zfill_symbol, month_slice, factor_family, lineitem_rank_ic,
     )
 }
 
 
 def flagship(spark: SparkSession, sf_dir: str, least: int = 3) -> DataFrame:
     """Snapshots, order imbalance, one-hour forward label, rank IC, summary."""
-    p = materialize(L.panel(L.forward_returns(materialize(B.book_factors(events.snapshots(spark, sf_dir))), HORIZONS[:1])))
+    p = materialize(L.panel(L.forward_returns(B.book_factors(events.snapshots(spark, sf_dir)), HORIZONS[:1])))
     y = [f"fwd_ret_{HORIZONS[0]}ms"]
     return S.rounded(E.summary(E.rank_ic(p, ["oir_1"], y, least=least), pairs=[("oir_1", y[0])]))

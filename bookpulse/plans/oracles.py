@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from bookpulse.operators.figures import CORE
 from bookpulse.plans.catalogue import FACTORS, HORIZONS, LABELS, PAIRS, WINDOW_MS
 
 D = "CAST({} AS DOUBLE)".format
@@ -267,9 +268,13 @@ _FINAL = {
     "factor_corr_summary": _FSUM,
     "ic_corr_summary": _ICC,
     "factor_strength": _POWER,
+    "ic_pair_rollup": f"SELECT factor_left, factor_right, avg(ic_corr) AS ic_corr_mean, avg(ic_corr_abs) AS ic_corr_abs_mean, max(ic_corr_abs) AS ic_corr_abs_max, min(overlap_time_points) AS min_overlap_time_points, max(overlap_time_points) AS max_overlap_time_points FROM ({_ICC}) GROUP BY ALL",
     "redundancy_recommendation": _REC,
     "fig_redundancy_matrix": _MATRIX,
     "fig_coverage_validity": f"SELECT c.\"column\" AS factor, coverage_ratio, valid_ratio FROM ({_coverage('', True)}) c JOIN ({_summary('ts', '')}) s ON c.\"column\" = s.factor AND s.label = '{LABELS[1]}'",
+    "fig_core_monotonicity": f"SELECT g.factor, label, group_id, mean_ret * 10000 AS mean_ret_bps, positive_spread_ratio FROM gsum g JOIN (SELECT factor, positive_spread_ratio FROM ({_MONO}) WHERE label = '{LABELS[0]}') USING (factor) WHERE factor IN {CORE}",
+    "fig_core_rank_ic": "SELECT factor, " + ", ".join(f"max(CASE WHEN label = '{y}' THEN rank_ic_mean END) AS {y}" for y in LABELS) + f" FROM ({_summary('ts', '')}) WHERE factor IN {CORE} GROUP BY factor",
+    "fig_single_value": f"SELECT factor, label, valid_ratio FROM ({_summary('ts', '')}) WHERE factor IN {CORE[:2]}",
     "fig_rank_ic": "SELECT factor, " + ", ".join(f"max(CASE WHEN label = '{y}' THEN rank_ic_mean END) AS {y}" for y in LABELS) + f" FROM ({_summary('ts', '')}) GROUP BY factor",
     "fig_monotonicity": f"SELECT factor, group_id, mean_ret * 10000 AS mean_ret_bps FROM gsum WHERE label = '{LABELS[1]}'",
     "zfill_symbol": "SELECT o_orderkey, CASE WHEN length(CAST(o_orderkey * 7 AS VARCHAR)) < 6 THEN lpad(CAST(o_orderkey * 7 AS VARCHAR), 6, '0') ELSE CAST(o_orderkey * 7 AS VARCHAR) END AS symbol FROM orders",

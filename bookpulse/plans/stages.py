@@ -104,18 +104,13 @@ def redundancy(spark: SparkSession, panel_path: str, timeseries: str, summary: s
     return stage(spark, outputs, build, force)
 
 
-def figures(spark: SparkSession, reports: str, root: str, plots: bool = False) -> dict[str, str]:
-    """Figure data of reports below one root (eval, diagnostics, grouping, redundancy), and plots if asked for."""
+def figures(spark: SparkSession, reports: str, root: str, plots: bool = False, core: Sequence[str] = V.CORE, supplementary: Sequence[str] = V.SUPPLEMENTARY) -> dict[str, str]:
+    """Figure data of reports below one root (eval, diagnostics, grouping, redundancy), and plots if asked for. The shortest horizon is the first label."""
     read = lambda n: spark.read.parquet(f"{reports}/{n}")
-    summary, cover = read("eval/rank_ic_summary"), read("diagnostics/column_coverage")
-    f = sorted(r[0] for r in summary.select("factor").distinct().collect())
-    y = sorted(r[0] for r in summary.select("label").distinct().collect())
-    frames = {
-        "rank_ic_overview": V.rank_ic(summary, f, y),
-        "group_monotonicity": V.monotonicity(read("grouping/group_return_summary"), f, y[-1]),
-        "redundancy_matrix": V.redundancy_matrix(read("redundancy/redundancy_recommendation"), f),
-        "coverage_validity": V.coverage_validity(cover, summary, y[-1], f),
-    }
+    summary = read("eval/rank_ic_summary")
+    found = [r[0] for r in summary.select("label").distinct().collect()]  # one row a horizon
+    y = sorted(found, key=lambda n: (int("".join(filter(str.isdigit, n)) or 0), n))
+    frames = V.bundle(summary, read("grouping/group_return_summary"), read("grouping/group_monotonicity_summary"), read("redundancy/redundancy_recommendation"), read("diagnostics/column_coverage"), y, core, supplementary)
     out = {n: write_parquet(df, f"{root}/{n}") for n, df in frames.items()}
     if plots:
         V.plot(frames, root)

@@ -73,7 +73,7 @@ def test_stages_end_to_end(spark, tmp_path):
     cli.main(["grouping", "--panel-path", at("p"), "--root", at("r/grouping"), "--least", "2", "--groups", "2"])
     cli.main(["redundancy", "--panel-path", at("p"), "--timeseries", ts, "--summary", at("r/eval/rank_ic_summary"), "--root", at("r/redundancy"), "--least", "2"])
     out = cli.main(["figures", "--reports", at("r"), "--root", at("figures")])
-    assert spark.read.parquet(out["redundancy_matrix"]).count() == 8
+    assert spark.read.parquet(out["factor_redundancy_heatmap"]).count() == 8 and len(out) == 4
     assert spark.read.parquet(at("r/eval/rank_ic_summary")).count() == 16
     before = json.dumps(sorted(x.name for x in (tmp_path / "p").iterdir()))
     stages.panel(spark, at("l"), at("p"))
