@@ -6,6 +6,7 @@ from itertools import combinations
 
 from bookpulse.operators.figures import CORE
 from bookpulse.plans.catalogue import FACTORS, HORIZONS, LABELS, PAIRS, WINDOW_MS
+from bookpulse.plans.runs import STAGES
 
 D = "CAST({} AS DOUBLE)".format
 _c = D("0.01")
@@ -285,10 +286,75 @@ _FINAL = {
 
 
 
+# ---- sources, checks and stages -------------------------------------------------------------------------------
+
+_ZFILL = "CASE WHEN length(CAST({0} AS VARCHAR)) < 6 THEN lpad(CAST({0} AS VARCHAR), 6, '0') ELSE CAST({0} AS VARCHAR) END".format
+_SECU = "CASE WHEN deal_id % 5 = 0 THEN 1000000 + CAST(symbol AS BIGINT) ELSE CAST(symbol AS BIGINT) END"
+_INGEST_TRADE = (
+    f"SELECT {_ZFILL('secu_code')} AS symbol, '202401' AS source_month, * FROM (SELECT {_SECU} AS secu_code, trading_day, event_time, 2 * deal_id AS buy_id, CASE WHEN deal_id % 3 <> 0 THEN 2 * deal_id + 1 END AS sell_id,"
+    " deal_id, price, volume, side, CAST(deal_id % 7 AS INTEGER) AS channel, deal_id + 10 AS biz_index FROM trade)"
+)
+_INGEST_ORDER = (
+    f"SELECT {_ZFILL('o_orderkey * 37')} AS symbol, '202401' AS source_month, CAST(o_orderkey * 37 AS BIGINT) AS secu_code, CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS trading_day, CAST(93000000 + o_orderkey % 1000 AS BIGINT) AS event_time,"
+    " CAST(o_orderkey AS BIGINT) AS order_id, CAST(o_totalprice AS DOUBLE) AS price, CAST(o_custkey AS DOUBLE) AS volume, CAST(o_orderkey % 3 AS INTEGER) AS order_type, CAST(o_orderkey % 7 AS INTEGER) AS channel, CAST(o_orderkey + 10 AS BIGINT) AS biz_index,"
+    " CAST(2 * o_orderkey AS BIGINT) AS db_order_id, CAST(NULL AS DOUBLE) AS last_price FROM orders"
+)
+
+
+def _ingest_snapshot() -> str:
+    k = "(event_time // 10000000 + trading_day)"
+    figures = "deal_num volume turnover total_deal_num total_volume total_turnover total_bid_volume total_ask_volume weight_bid_price weight_ask_price".split()
+    cells = [f"CASE WHEN {k} % 5 <> 0 THEN CAST({k} + {i} AS DOUBLE) END AS {name}" for i, name in enumerate(figures)]
+    for n in range(1, 11):
+        cells += [f"{f}_{n}" if n <= 5 else f"CAST(NULL AS DOUBLE) AS {f}_{n}" for f in ("ask_price", "ask_volume", "bid_price", "bid_volume")]
+        cells += [f"CAST({n} AS DOUBLE) AS bid_order_{n}", f"CAST({-n} AS DOUBLE) AS ask_order_{n}"]
+    return f"SELECT symbol, '202401' AS source_month, CAST(symbol AS BIGINT) AS secu_code, trading_day, event_time, 3000 AS tick_time_diff, bid_price_1 AS last_price, {', '.join(cells)} FROM snap"
+
+
+def _rows(columns: str, *rows: tuple) -> str:
+    cell = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") q({columns})"
+
+
+_PAIR_PRODUCT = "factor_n_unique is_valid invalid_reason label_n_unique n_obs rank_ic".split()
+_MISSING = ", ".join(sorted(f"{p}__{f}__{y}" for f, y in (("oir_1", "fwd_ret_30000ms"), ("voi_1", "fwd_ret_3000ms"), ("voi_1", "fwd_ret_30000ms")) for p in _PAIR_PRODUCT if (p, f, y) != ("rank_ic", "voi_1", "fwd_ret_30000ms")))
+_SCHEMA_CHECKS = [
+    ("V1", "two depths", "ask_price_1,ask_price_2,ask_volume_1,ask_volume_2,bid_price_1,bid_price_2,bid_volume_1,bid_volume_2,event_time,symbol,trading_day"),
+    ("V2", "whole", "None"), ("V2", "column missing", "SchemaError: missing columns: ask_volume_1"), ("V2", "not numeric", "SchemaError: not numeric: ask_volume_1"),
+    ("V3", "whole", "None"), ("V3", "columns missing", "SchemaError: missing columns: price, side"), ("V3", "not numeric", "SchemaError: not numeric: side"),
+    ("V4", "quotes", "None"), ("V4", "quote missing", "SchemaError: missing columns: bid_price_1"), ("V4", "price missing", "SchemaError: missing columns: last_price"),
+    ("V5", "repeated", "[3000, 30000]"), ("V5", "none", "ValueError: horizons have to be positive, one at least"), ("V5", "zero", "ValueError: horizons have to be positive, one at least"),
+    ("V6", "inferred", "(['oir_1', 'voi_1'], ['fwd_ret_3000ms'])"), ("V6", "no label", "SchemaError: a factor and a label column are needed"),
+    ("V7", "index missing", "SchemaError: missing columns: symbol"), ("V7", "chosen", "(['voi_1'], ['fwd_ret_3000ms'])"),
+    ("V8", "one", "ValueError: a cross-section needs two rows at least"), ("V8", "repeated", "[8, 10]"),
+    ("V9", "whole", "(['oir_1'], ['fwd_ret_3000ms'])"), ("V9", "field missing", "SchemaError: missing columns: is_valid__oir_1__fwd_ret_3000ms"), ("V10", "product", f"SchemaError: missing columns: {_MISSING}"),
+    ("V11", "raised", "10"), ("V11", "one group", "ValueError: two groups at least are needed"),
+    ("V12", "three", "[('a', 'b'), ('a', 'c'), ('b', 'c')]"), ("V12", "one", "SchemaError: two factors at least are needed"), ("V13", "no pair", "SchemaError: no rank_ic__factor__label column"),
+]
+
+_FINAL |= {
+    "ingest_snapshot": _ingest_snapshot(),
+    "ingest_order": _INGEST_ORDER,
+    "ingest_trade": _INGEST_TRADE,
+    "csv_discovery": _rows("what, files", ("folders", 0), ("after_one", 1), ("after_two", 2)),
+    "ingest_jobs": _rows(
+        "plan, place, dataset, month, source, target",
+        ("chosen", 0, "order", "202512", "raw/o12", "out/order/month=202512"), ("chosen", 1, "order", "202511", "raw/o11", "out/order/month=202511"),
+        ("all", 0, "trade", "202511", "raw/t11", "out/trade/month=202511"), ("all", 1, "order", "202511", "raw/o11", "out/order/month=202511"),
+        ("all", 2, "trade", "202512", "raw/t12", "out/trade/month=202512"), ("all", 3, "order", "202512", "raw/o12", "out/order/month=202512"),
+    ),
+    "idempotent_stage": _rows("step, built", (0, 1), (1, 1), (2, 2), (3, 3), (4, 3)),
+    "read_many_files": "SELECT source_month, count(*) AS rows FROM snap GROUP BY 1",
+    "unpaired_trades": "SELECT DISTINCT symbol, source_month FROM snap WHERE symbol <= '000002'",
+    "schema_checks": _rows("item, \"case\", said", *_SCHEMA_CHECKS),
+    "stage_factors": f"SELECT {K}, {', '.join(FACTORS)} FROM fac2",
+}
+_FINAL |= {name: _FINAL[same] for name, (_, same) in STAGES.items()}
+
 # Columns of the driver's tables that the queries use: enough to tell which results are doubles.
 _TABLES = {
     "events": "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR",
-    "orders": "o_orderkey BIGINT",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, o_orderdate TIMESTAMP",
     "lineitem": "l_shipdate TIMESTAMP, l_quantity DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_extendedprice DOUBLE",
 }
 

@@ -4,8 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from bookpulse.plans.catalogue import QUERIES
 from bookpulse.plans.oracles import oracles
+from bookpulse.plans.runs import ALL as QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SQL = oracles()
