@@ -19,7 +19,12 @@ def dense(value: str, by: list[str]) -> Column:
 
 def correlation(x: str, y: str) -> Column:
     """Pearson, NULL where a side is constant (corr raises there under ANSI mode); at 12 digits, so that a sum of order noise is zero."""
-    return F.round(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), 12)
+    return quotient(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
+def quotient(n: Column, d: Column) -> Column:
+    """n / d at 12 digits, NULL where d is 0."""
+    return F.round(F.try_divide(n, d), 12)
 
 
 def finite(c: Column) -> Column:

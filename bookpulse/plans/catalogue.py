@@ -15,6 +15,7 @@ from bookpulse.operators import factors as B
 from bookpulse.operators import figures as V
 from bookpulse.operators import groups as G
 from bookpulse.operators import labels as L
+from bookpulse.operators import ranks as K
 from bookpulse.operators import redundancy as R
 from bookpulse.sources import events
 from bookpulse.sources.tables import materialize, shared_dir, version
@@ -277,7 +278,8 @@ def factor_family(s, d):
 
 def lineitem_rank_ic(s, d):
     rows = s.read.parquet(f"{d}/lineitem.parquet").select(F.date_format("l_shipdate", "yyyyMM").cast("int").alias("ship_month"), "l_quantity", "l_discount", "l_tax", "l_extendedprice")
-    return S.rounded(E.rank_statistics(rows, [(f, "l_extendedprice") for f in ("l_quantity", "l_discount", "l_tax")], ["ship_month"]))
+    # (a month's lines grow with the table: no group fits a task for certain)
+    return S.rounded(K.rank_statistics(rows, [(f, "l_extendedprice") for f in ("l_quantity", "l_discount", "l_tax")], ["ship_month"]))
 
 
 QUERIES = {

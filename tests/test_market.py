@@ -10,6 +10,7 @@ from bookpulse.operators import evaluate as E
 from bookpulse.operators import factors as B
 from bookpulse.operators import groups as G
 from bookpulse.operators import labels as L
+from bookpulse.operators import ranks as K
 from bookpulse.operators import redundancy as R
 from bookpulse.operators import schema
 from pyspark.sql import functions as F
@@ -150,6 +151,15 @@ def test_rank_statistics_shuffle_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_rank_statistics_of_large_groups(spark):
+    """Ranks by parts of a sort over all tasks equal those of one window, ties, constants and single rows included."""
+    rows = [(1, (i * 7919) % 501 / 4, float((i * 31) % 97)) for i in range(3000)] + [(2, 1.0, float(i)) for i in range(5)] + [(3, 2.0, 3.0), (4, None, 1.0), (5, 1.0, 2.0), (5, 2.0, 1.0), (5, 2.0, 1.0)]
+    df = spark.createDataFrame(rows, "g int, a double, b double")
+    pairs = [("a", "b"), ("b", "a"), ("a", "a")]
+    assert sorted(map(tuple, K.rank_statistics(df, pairs, ["g"]).collect())) == sorted(map(tuple, E.rank_statistics(df, pairs, ["g"]).collect()))
+    assert K.rank_statistics(df.limit(0), pairs, ["g"]).count() == 0
+
+
 def test_group_sizes(spark):
     sizes = spark.range(1, 13).groupBy(X.quantile_group(F.col("id"), F.lit(12), 5).alias("g")).count().orderBy("g").collect()
     assert [r["count"] for r in sizes] == [3, 2, 3, 2, 2]
