@@ -116,16 +116,16 @@ class _Plain:
         return found == CLOSE
 
     def skip(self, n: int) -> None:
-        del self.data[:n]
-        self.start += n
+        self.go(self.start + n)
 
     def go(self, start: int) -> None:
+        """Let the window begin at a place of the file, inside or outside what it holds."""
         if 0 <= start - self.start <= len(self.data):
-            self.skip(start - self.start)
+            del self.data[: start - self.start]
         else:
             self.data.clear()
-            self.start = start
             self.file.seek(start)
+        self.start = start
 
     def peek(self, at: int, n: int) -> bytes:
         """Some of the n bytes at an offset, none at the file's end; the window doesn't grow."""
