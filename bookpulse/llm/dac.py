@@ -10,6 +10,9 @@ A file holds segments, each of a run of documents in ascending doc_id order:
     arrays: doc_id int64 and first token int64 of each document; per level the chunks, the continuation bitmap
     (bits from the lowest), and the number of set bits before each block of RANK_BITS bits (uint32)
 
+It ends with a directory of its segments (JSON: where each begins, its tokens, its documents), the directory's length
+(uint32) and the magic "DACE". So a position is found by reading a file's end, one segment's header and one rank a level.
+
 Documents of a dataset are range-partitioned by doc_id, then by the text's hash, so file names in order give ascending
 ids and rows of one doc_id, or of none, are dealt over files; rows equal in both are repeated rows. A null doc_id comes
 first and a null or empty text has the end id only. Files are renamed when complete; a task that is
@@ -35,7 +38,7 @@ from pyspark.sql import types as T
 from bookpulse.llm.bpe import PieceCache, space_free, special_split, word_normal, word_pieces
 from bookpulse.llm.common import SLICE_ROWS, filesystem, put_atomically, slices
 
-MAGIC, WIDTH, RANK_BITS = b"DACS", 8, 512
+MAGIC, END, WIDTH, RANK_BITS = b"DACS", b"DACE", 8, 512
 #: Tokens after which a writer closes a segment; a document is never divided.
 SEGMENT_TOKENS = 1 << 20
 _NULL_ID = -(1 << 63)  # stands for a null doc_id inside files
@@ -110,13 +113,29 @@ class Segment:
         return value
 
 
+def directory(file) -> list[list[int]]:
+    """Offset, tokens and documents of each segment of an open file."""
+    size = file.seek(0, 2) or file.tell()
+    file.seek(max(0, size - 8))
+    n, end = struct.unpack("<I4s", file.read(8))
+    if end != END:
+        raise ValueError("no directory at the file's end")
+    file.seek(size - 8 - n)
+    return json.loads(file.read(n))
+
+
 def segments(file) -> Iterator[Segment]:
-    file.seek(0, 2)
-    at, end = 0, file.tell()
-    while at < end:
-        s = Segment(file, at)
-        yield s
-        at = s.end
+    for at, _, _ in directory(file):
+        yield Segment(file, at)
+
+
+def token(file, i: int) -> int:
+    """Id number i of an open file."""
+    for at, tokens, _ in directory(file):
+        if i < tokens:
+            return Segment(file, at).token(i)
+        i -= tokens
+    raise IndexError(i)
 
 
 # ---- tokenizing -----------------------------------------------------------------------------------------------
@@ -181,9 +200,10 @@ def write(docs: DataFrame, path: str, make_encoder: Callable, end_id: int | None
         total = [0, 0]
 
         def body(stream) -> None:
-            ids, parts, held = [], [], 0
+            ids, parts, held, listed = [], [], 0, []
 
             def close() -> None:
+                listed.append([stream.tell(), sum(map(len, parts)) // 4, len(ids)])
                 sizes = np.array([len(p) // 4 for p in parts], np.int64)
                 stream.write(encode_segment(np.array(ids, np.int64), np.cumsum(sizes) - sizes, np.frombuffer(b"".join(parts), "<u4")))
                 total[0] += len(ids)
@@ -200,6 +220,8 @@ def write(docs: DataFrame, path: str, make_encoder: Callable, end_id: int | None
                             ids, parts, held = [], [], 0
             if ids:
                 close()
+            tail = json.dumps(listed).encode()
+            stream.write(tail + struct.pack("<I4s", len(tail), END))
 
         size = put_atomically(target, body)
         yield pa.RecordBatch.from_pydict({"path": [target], "docs": [total[0]], "tokens": [total[1]], "bytes": [size]})
@@ -252,19 +274,46 @@ def read(spark: SparkSession, manifest: DataFrame, with_ids: bool = True) -> Dat
 
 
 def token_at(manifest: DataFrame, i: int) -> int:
-    """Id number i of a written dataset, by random access: finds file and segment, then one rank a level."""
+    """Id number i of a written dataset, by random access."""
     for r in manifest.orderBy("path").collect():
-        if i < r["tokens"]:
+        if 0 <= i < r["tokens"]:
             fs, inner = filesystem(r["path"])
             with fs.open_input_file(inner) as file:
-                for s in segments(file):
-                    if i < s.head["tokens"]:
-                        return s.token(i)
-                    i -= s.head["tokens"]
+                return token(file, i)
         i -= r["tokens"]
     raise IndexError(i)
 
 
+def tokens_at(positions: DataFrame, manifest: DataFrame, position: str = "position", into: str = "token_id") -> DataFrame:
+    """Add the id at each position of a written dataset by random access, in parallel; null where there is none.
+
+    Positions are sorted inside their tasks, so a task opens a file once; the manifest, one row a file, goes to all tasks.
+    """
+    rows = manifest.orderBy("path").collect()
+    paths, ends = [r["path"] for r in rows], np.cumsum([0, *(r["tokens"] for r in rows)])
+    at = positions.columns.index(position)
+    schema = T.StructType([*(f for f in positions.schema if f.name.lower() != into.lower()), T.StructField(into, T.LongType())])
+    keep = [i for i, c in enumerate(positions.columns) if c.lower() != into.lower()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple = (None, None)
+        for b in batches:
+            found = []
+            for p in b.column(at).to_pylist():
+                k = -1 if p is None or not 0 <= p < ends[-1] else int(np.searchsorted(ends, p, side="right")) - 1
+                if k >= 0 and held[0] != k:
+                    if held[1]:
+                        held[1].close()
+                    fs, inner = filesystem(paths[k])
+                    held = k, fs.open_input_file(inner)
+                found.append(token(held[1], int(p - ends[k])) if k >= 0 else None)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(found, pa.int64())], names=schema.fieldNames())
+        if held[1]:
+            held[1].close()
+
+    return positions.sortWithinPartitions(position).mapInArrow(run, schema)
+
+
 def crc32(ids: bytes) -> int:
     """Unsigned CRC-32 of ids as they lie in ``ids``."""
     return zlib.crc32(ids)

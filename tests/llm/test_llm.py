@@ -3,8 +3,10 @@
 import base64
 import hashlib
 import io
+import json
 import random
 import re
+import struct
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -93,6 +95,25 @@ def test_dac_random_access(spark, tmp_path):
     manifest = dac.write(docs, str(tmp_path), lambda: dac.word_encoder(WORD).encode, 1)
     flat = np.concatenate([np.frombuffer(r.ids, "<u4") for r in dac.read(spark, manifest).orderBy("start").collect()])
     assert [dac.token_at(manifest, i) for i in range(len(flat))] == flat.tolist()
+    with pytest.raises(IndexError):
+        dac.token_at(manifest, len(flat))
+    asked = spark.createDataFrame([(p,) for p in [*range(len(flat)), None, -1, len(flat), 0]], "position long")
+    assert sorted(map(str, map(tuple, dac.tokens_at(asked, manifest).collect()))) == sorted(map(str, [*enumerate(flat.tolist()), (None, None), (-1, None), (len(flat), None), (0, int(flat[0]))]))
+
+
+def test_positions_in_many_segments():
+    ids = np.random.default_rng(3).integers(0, 1 << 17, 1000).astype("<u4")
+    pieces, at, listed = [], 0, []
+    for k in range(0, 1000, 60):
+        data = dac.encode_segment(np.array([k]), np.array([0]), ids[k : k + 60])
+        pieces.append(data)
+        listed.append([at, len(ids[k : k + 60]), 1])
+        at += len(data)
+    tail = json.dumps(listed).encode()
+    file = io.BytesIO(b"".join(pieces) + tail + struct.pack("<I4s", len(tail), dac.END))
+    assert [dac.token(file, i) for i in range(1000)] == ids.tolist() and len(list(dac.segments(file))) == 17
+    with pytest.raises(ValueError):
+        dac.directory(io.BytesIO(b"nothing of the kind"))
 
 
 def windows(bench):
@@ -222,6 +243,17 @@ def test_salvage_of_lengths_headers_and_digests(monkeypatch):
     assert [len(x.payload) for x in warc.salvage(io.BytesIO(warc.member(far + good)))] == [40 << 20, 5000]
 
 
+def test_archives_of_many_pieces(monkeypatch):
+    """Members end at, before and behind the ends of the pieces that a file is read in."""
+    r = random.Random(7)
+    records = [warc.record("response", warc._urn(i), "http://x/", r.randbytes(r.randint(0, 3000))) for i in range(300)]
+    for piece in (64, 1000, 1 << 14, 1 << 20):
+        monkeypatch.setattr(warc, "PIECE", piece)
+        for parts in (records * 3, [warc.member(x) for x in records] * 3):
+            found = list(warc.salvage(io.BytesIO(b"".join(parts))))
+            assert [x.length for x in found] == [len(p) for p in parts] and all(isinstance(x, warc.Record) for x in found)
+
+
 def test_damaged_archives_fail_the_query(spark, odd_dir, monkeypatch):
     write = warc.write
 
