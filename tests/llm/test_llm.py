@@ -646,6 +646,61 @@ def test_plain_texts_stay_clean(text):
     assert pii.all_spans(text) == ([], [])
 
 
+LONG = ["lorem ipsum, " * 30_000, "y" * 300_000, "7" * 200_000, "漢字é" * 50_000, " " * 200_000, "\n" * 100_000 + "end"]
+#: Rows whose ids repeat or are missing, rows that repeat wholly, very long texts.
+SHARED_IDS = [(1, "a b c"), (1, "a b c"), (1, "other words, +49 172 5551234"), (None, "x y"), (None, "x y"), (None, None), (None, ""), (2, None), (2, None), (3, "call +49 172 5551234"), *((4, t) for t in LONG), (5, ODD[-1]), (5, ODD[-1]), (None, LONG[0])]
+
+
+@pytest.fixture(scope="module")
+def shared_ids_dir(spark, odd_dir, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("shared"))
+    spark.createDataFrame([(i, t, "en", "s") for i, t in SHARED_IDS], "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{at}/documents.parquet")
+    for t in TABLES[1:]:
+        spark.read.parquet(f"{odd_dir}/{t}.parquet").write.parquet(f"{at}/{t}.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(queries.QUERIES) if n.startswith("op") and n not in ("op1_token_files", "op3_warc", "op6_toxicity", "op7_simhash_classes")])
+def test_shared_ids_and_long_texts(spark, shared_ids_dir, name):
+    """Every row gets the result of its own text, whatever its id: equal texts equal results, as many rows as there are."""
+    got = defaultdict(list)
+    for r in queries.QUERIES[name](spark, shared_ids_dir).collect():
+        got[r.doc_id].append(tuple(r)[1:])
+    assert {i: len(rows) for i, rows in got.items()} == Counter(i for i, _ in SHARED_IDS)
+    assert len(set(got[1])) == len({t for i, t in SHARED_IDS if i == 1}) == 2 and max(Counter(got[1]).values()) == 2
+    assert len(set(got[2])) == 1 and len(set(got[5])) == 1
+    assert set(got[4]) & set(got[None])  # the long text stands under both
+
+
+def test_tokens_of_shared_ids_and_long_texts(spark, shared_ids_dir):
+    word, byte = Tokenizer.from_file(WORD), Tokenizer.from_file(BYTE)
+    ids = {t: [*word.encode(t or "", add_special_tokens=False).ids, 1] for _, t in SHARED_IDS}
+    want = Counter((i, len(ids[t]), zlib.crc32(np.array(ids[t], "<u4").tobytes())) for i, t in SHARED_IDS)
+    got = queries.op1_token_files(spark, shared_ids_dir).orderBy("start").collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert [r.doc_id for r in got] == sorted((i for i, _ in SHARED_IDS), key=lambda i: (i is not None, i or 0))
+    assert Counter((r.doc_id, r.n_tokens) for r in queries.op8_token_counts(spark, shared_ids_dir).collect()) == Counter((i, len(ids[t]) - 1) for i, t in SHARED_IDS)
+    assert Counter((r.doc_id, r.n_tokens) for r in queries.op4_trie_codec(spark, shared_ids_dir).collect()) == Counter((i, len(byte.encode(t or "", add_special_tokens=False).ids)) for i, t in SHARED_IDS)
+
+
+def test_classes_of_shared_ids(spark, shared_ids_dir):
+    fps = [(i, fp(t)) for i, t in SHARED_IDS]
+    where = components({f: f for _, f in fps})
+    smallest = {}
+    for i, f in fps:
+        if i is not None:
+            smallest[where[f]] = min(i, smallest.get(where[f], i))
+    want = Counter((i, f"{f:016x}", smallest.get(where[f])) for i, f in fps)
+    assert Counter(map(tuple, queries.op7_simhash_classes(spark, shared_ids_dir).collect())) == want
+
+
+def test_toxicity_of_shared_ids(spark, shared_ids_dir):
+    got = queries.op6_toxicity(spark, shared_ids_dir).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in SHARED_IDS)
+    assert len({r.score for r in got if r.doc_id == 2}) == 1 and not any(r.held_out for r in got if r.doc_id is None)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, odd_dir, empty_dir, name):
     for d in (SF, odd_dir, empty_dir):
