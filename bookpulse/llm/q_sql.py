@@ -1,4 +1,4 @@
-"""DuckDB SQL of the queries of decontamination, WARC files and the rules' ablation."""
+"""DuckDB SQL of the queries of decontamination, WARC files, the rules' ablation and the base spans of personal data."""
 
 from bookpulse.llm import q_quality
 
@@ -46,3 +46,28 @@ SELECT rule, CAST(sum(CASE WHEN fail_bits & bit <> 0 THEN 1 ELSE 0 END) AS BIGIN
 FROM ({q_quality.ORACLE}) AS ledger, (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('short_words', 8), ('long_words', 16), ('repeated_lines', 32)) AS v(rule, bit)
 GROUP BY rule
 """
+
+_PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+_FOUND = " UNION ALL ".join(f"SELECT r, {o} AS o, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gaps FROM d" for o, p in enumerate(_PATTERNS, 1))
+_FROM_RIGHT = "CAST(substr(digits, CAST(length(digits) - i + 1 AS INTEGER), 1) AS INTEGER)"
+_LUHN = f"list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {_FROM_RIGHT} ELSE 2 * {_FROM_RIGHT} - CASE WHEN {_FROM_RIGHT} > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+
+PII_BASE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), m AS (
+  {_FOUND}
+), s AS (
+  SELECT r, o, ms[i] AS m, regexp_replace(ms[i], '[^0-9]', '', 'g') AS digits,
+         CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1 : i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM m, unnest(range(1, len(ms) + 1)) AS u(i)
+), ok AS (
+  SELECT r, o, start, start + length(m) AS stop FROM s WHERE CASE o WHEN 1 THEN true
+    WHEN 2 THEN len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INTEGER), 0) > 255)) = 0
+    WHEN 3 THEN length(digits) BETWEEN 13 AND 19 AND {_LUHN} ELSE length(digits) BETWEEN 9 AND 15 END
+), g AS (
+  SELECT r, {", ".join(f"count(*) FILTER (WHERE o = {o}) AS n_{k}" for o, k in enumerate(("email", "ip", "card", "phone"), 1))},
+         string_agg(['email', 'ip', 'card', 'phone'][o] || ':' || start || ':' || stop, ',' ORDER BY o, start) AS spans FROM ok GROUP BY r
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("email", "ip", "card", "phone"))}, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN g USING (r)
+"""

@@ -114,13 +114,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of ``op10_pii``, which SQL can express."""
+    return op10_pii(spark, sf_dir).drop("spans", "n_spans")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_files, op2_fm_decontamination, op3_warc, op4_trie_codec, op5_secret_scan, op6_toxicity, op7_simhash_classes, op8_token_counts, q_quality.op9_quality_rules, op10_pii,
-        q_quality.quality_ablation,
+        q_quality.quality_ablation, pii_base,
     )
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op2_fm_decontamination": q_sql.DECONTAMINATION, "op3_warc": q_sql.WARC, "op9_quality_rules": q_quality.ORACLE, "quality_ablation": q_sql.ABLATION}
+ORACLES: dict[str, str] = {"op2_fm_decontamination": q_sql.DECONTAMINATION, "op3_warc": q_sql.WARC, "op9_quality_rules": q_quality.ORACLE, "quality_ablation": q_sql.ABLATION, "pii_base": q_sql.PII_BASE}
