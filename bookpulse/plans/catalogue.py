@@ -18,7 +18,7 @@ from bookpulse.operators import labels as L
 from bookpulse.operators import ranks as K
 from bookpulse.operators import redundancy as R
 from bookpulse.sources import events
-from bookpulse.sources.tables import materialize, shared_dir, version
+from bookpulse.sources.tables import exists, materialize, shared_dir, version
 
 WINDOW_MS, HORIZONS = 3_600_000, (3_600_000, 10_800_000)
 FACTORS = ["book_slope_5", "micro_price_1", "ofi_1", "oir_1", "oir_5", "relative_spread_1", "trade_imbalance_3s", "voi_1"]
@@ -33,7 +33,7 @@ _written: dict[tuple, tuple] = {}
 def shared(s: SparkSession, d: str, name: str, build) -> DataFrame:
     """A table that several queries read, written by the first of a session that needs it; anew when the events change."""
     key = (s.sparkContext.applicationId, d, version(s, f"{d}/events.parquet"), name)
-    if key not in _written:
+    if key not in _written or not exists(s, _written[key][0]):
         df, path = build(), shared_dir(s)
         df.write.parquet(path)
         _written[key] = path, df.schema

@@ -13,7 +13,7 @@ from bookpulse.operators import schema
 from bookpulse.plans import catalogue, stages
 from bookpulse.plans.catalogue import FACTORS, HORIZONS, KEY, LABELS, WINDOW_MS
 from bookpulse.sources import events, ingest
-from bookpulse.sources.tables import read_many, shared_dir, stage, version
+from bookpulse.sources.tables import exists, read_many, shared_dir, stage, version
 
 MONTH = "202401"
 
@@ -175,7 +175,7 @@ _roots: dict[tuple, str] = {}
 def _reports(s: SparkSession, d: str) -> str:
     """All stages over the adapter's tables, from Parquet to Parquet, once a session and state of the events; gives their folder."""
     key = (s.sparkContext.applicationId, d, version(s, f"{d}/events.parquet"))
-    if key not in _roots:
+    if key not in _roots or not exists(s, f"{_roots[key]}/figures/factor_coverage_validity"):
         at = shared_dir(s)
         events.snapshots(s, d).write.parquet(f"{at}/snapshot/month={MONTH}")
         events.trades(s, d).write.parquet(f"{at}/trade/month={MONTH}")

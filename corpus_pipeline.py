@@ -35,8 +35,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = marked.join(stay, F.col(doc_id).eqNullSafe(F.col("stays")) & (F.col("fp") == F.col("fp_stays")))
     # (several rows of a group are left only where they share its smallest doc_id; minima are combined before the shuffle)
     ordered = [n for n in plain.columns if n not in (doc_id, text) and isinstance(plain.schema[n].dataType, T.AtomicType)]
-    least = found.groupBy("group").agg(F.min_by(F.struct(*plain.columns), F.struct(doc_id, text, *ordered)).alias("row"))
-    return least.select("row.*").select(back)
+    others = [n for n in plain.columns if n not in (doc_id, text, *ordered)]  # maps and the like have no order
+    row = F.struct(doc_id, text, *ordered)
+    least = found.groupBy("group").agg(F.min(row).alias("row"), *([F.min_by(F.struct(*others), row).alias("others")] if others else []))
+    return least.select("row.*", *(["others.*"] if others else [])).select(back)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
