@@ -168,8 +168,8 @@ class PieceCache:
     """Values of space-free chunks of text, computed from their pieces; both kept up to a bound.
 
     ``cut(chunk)`` gives pieces, ``solve(pieces)`` values of distinct unseen pieces, ``join(values)`` a chunk's value.
-    A full cache keeps its entries (frequent words come early) and computes what it lacks anew, and chunks and pieces
-    beyond ``LONG`` characters are never kept: both bounds change time, never results.
+    A full cache keeps its entries (frequent words come early); what comes later, and chunks and pieces beyond ``LONG``
+    characters, stay until the next call only. Both bounds change time, never results.
     """
 
     LONG = 64
@@ -178,20 +178,22 @@ class PieceCache:
         self.cut, self.solve, self.join, self.bound = cut, solve, join, bound
         self.chunks: dict = {}
         self.pieces: dict = {}
+        self.passing: tuple = ((), ())
 
     def values(self, wanted: set) -> dict:
-        """A value for each of the distinct chunks."""
+        """A mapping that has the value of each of the distinct chunks, until the next call."""
         known, have, join = self.chunks, self.pieces, self.join
-        out = {c: known[c] for c in wanted if c in known}
-        cuts = {c: self.cut(c) for c in wanted if c not in out}
-        fresh = self.solve({p for ps in cuts.values() for p in ps if p not in have})
+        for held, gone in zip((known, have), self.passing):
+            for c in gone:
+                del held[c]
+        cuts = {c: self.cut(c) for c in wanted.difference(known)}
+        fresh = self.solve(set().union(*cuts.values()).difference(have))
+        full = len(known) >= self.bound, len(have) >= 2 * self.bound
+        have.update(fresh)
         for c, ps in cuts.items():
-            out[c] = join([fresh[p] if p in fresh else have[p] for p in ps])
-        if len(have) < 2 * self.bound:
-            have.update((p, v) for p, v in fresh.items() if len(p) <= self.LONG)
-        if len(known) < self.bound:
-            known.update((c, out[c]) for c in cuts if len(c) <= self.LONG)
-        return out
+            known[c] = have[ps[0]] if len(ps) == 1 else join([have[p] for p in ps])
+        self.passing = tuple(list(new) if all_ else [c for c in new if len(c) > self.LONG] for new, all_ in zip((cuts, fresh), full))
+        return known
 
 
 #: Separators as tokenizers see them (Unicode White_Space); str.split() also takes the four of _ODD, which they don't.

@@ -159,7 +159,10 @@ class WordEncoder:
         self.cache = PieceCache(self.cut, self.solve, b"".join)
 
     def cut(self, chunk: str) -> list[str]:
-        return word_pieces(word_normal(chunk)) if chunk.isascii() or not self.odd(chunk) else [chunk]
+        if chunk.isascii():
+            low = chunk.lower()
+            return [low] if low.isalpha() else word_pieces(low)
+        return [chunk] if self.odd(chunk) else word_pieces(word_normal(chunk))
 
     def solve(self, pieces: set) -> dict:
         todo = list(pieces)
