@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bookpulse.llm import forest
-from bookpulse.llm.common import map_text, sealed
+from bookpulse.llm.common import discard, map_text, materialize, sealed
 
 THRESHOLD = 0.5
 #: Labelled findings used to fit, at most (the generated set is smaller).
@@ -68,10 +68,24 @@ _ENGLISH = frozenset(w for w in _COMMON if len(w) > 2)
 
 
 def dictionary(docs: DataFrame, text: str = "text") -> frozenset[str]:
-    """The WORDS words of 3 to 24 letters a to z that stand in most documents, ties by word: counted in the JVM, combined before the shuffle."""
+    """The words of 3 to 24 letters a to z that stand in most documents: in so many that they are WORDS at most.
+
+    Documents are counted in the JVM, combined before the shuffle, and the counts written. How many words reach each step
+    of a scale of counts (eighths of a doubling, a few hundred rows) gives the step from which words are taken whole, so
+    the driver never gets more than WORDS of them, however many tasks there are.
+    """
     words = F.array_distinct(F.split(F.lower(text), "[^a-z]+"))
-    counted = docs.select(F.explode(words).alias("word")).where(F.char_length("word").between(3, 24)).groupBy("word").agg(F.count("*").alias("n"))
-    return frozenset(r[0] for r in counted.where(F.col("n") >= WORD_ROWS).orderBy(F.desc("n"), "word").limit(WORDS).collect())
+    found = docs.select(F.explode(words).alias("word")).where(F.char_length("word").between(3, 24)).groupBy("word").agg(F.count("*").alias("n"))
+    counted = materialize(found.where(F.col("n") >= WORD_ROWS).select("word", F.floor(F.log2("n") * 8).alias("step")))
+    held, least = 0, None
+    for step, size in sorted(map(tuple, counted.groupBy("step").agg(F.count("*")).collect()), reverse=True):
+        held += size
+        if held > WORDS:
+            break
+        least = step
+    chosen = frozenset(r[0] for r in counted.where(F.col("step") >= least).select("word").collect()) if least is not None else frozenset()
+    discard(counted)
+    return chosen
 
 
 class Model(NamedTuple):

@@ -204,8 +204,16 @@ _ROW = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("ter
 
 
 def sample(labels: DataFrame, doc_id: str = "doc_id", label: str = "label") -> DataFrame:
-    """At most SAMPLE labelled rows, those whose doc_id has the smallest hash: a bounded top-k, the same on every run."""
-    return labels.where(F.col(label).isNotNull()).orderBy(F.xxhash64(doc_id), doc_id, label).limit(SAMPLE)
+    """At most SAMPLE labelled rows, those whose doc_id has the smallest hash: the same on every run.
+
+    Where there are many, only hashes below a bound that twice as many rows are expected to pass come to the selection, so
+    that it doesn't grow with the number of tasks.
+    """
+    rows = labels.where(F.col(label).isNotNull())
+    share = 2 * SAMPLE / max(1, rows.count())
+    if share < 1:
+        rows = rows.where(F.xxhash64(doc_id) < int(-(1 << 63) + share * (1 << 64)))
+    return rows.orderBy(F.xxhash64(doc_id), doc_id, label).limit(SAMPLE)
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "label") -> Machine:

@@ -325,6 +325,22 @@ def test_op5(spark, odd_dir):
         assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_dictionary_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "WORDS", 3)
+    docs = spark.createDataFrame([(" ".join(w for w, n in (("often", 40), ("mid", 20), ("low", 9), ("tie", 9), ("rare", 2)) if i < n) + " often mid",) for i in range(50)] + [(None,), ("",)], "text string")
+    assert secrets.dictionary(docs) == {"often", "mid"}  # the two of the next step would be one too many
+    monkeypatch.setattr(secrets, "WORDS", 4)
+    assert secrets.dictionary(docs) == {"often", "mid", "low", "tie"}
+    assert secrets.dictionary(docs.limit(0)) == frozenset()
+
+
+def test_sample_of_many_labels(spark, monkeypatch):
+    labels = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("label"))
+    want = {r.doc_id for r in labels.orderBy(F.xxhash64("doc_id")).limit(100).collect()}
+    monkeypatch.setattr(toxicity, "SAMPLE", 100)
+    assert {r.doc_id for r in toxicity.sample(labels).collect()} == want
+
+
 def test_planted_secrets(spark):
     """Of the tokens that the documents hold all are found and redacted whole, and nothing else is."""
     d = "/root/testdata/sf0.01"
