@@ -71,3 +71,70 @@ WITH d AS (
 )
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("email", "ip", "card", "phone"))}, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN g USING (r)
 """
+
+FILL_IN_MIDDLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS us, list_transform(range(0, 4), lambda k: CAST('0x' || substr(h, CAST(8 * k + 1 AS INTEGER), 8) AS BIGINT)) AS hs FROM d
+), c AS (
+  SELECT doc_id, t, us, least(hs[1] % (len(us) + 1), hs[2] % (len(us) + 1)) AS i, greatest(hs[1] % (len(us) + 1), hs[2] % (len(us) + 1)) AS j,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR hs[3] % 100 >= 90 THEN 'plain' WHEN hs[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM u
+), p AS (
+  SELECT *, coalesce(array_to_string(us[1 : i], ''), '') AS pre, coalesce(array_to_string(us[i + 1 : j], ''), '') AS mid, coalesce(array_to_string(us[j + 1 :], ''), '') AS suf FROM c
+)
+SELECT doc_id, CAST(len(us) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256
+FROM p
+"""
+
+
+def _centroids(rounds: int = 3) -> str:
+    """Assignments and centroids of each round, one after the other."""
+    nearest = "SELECT r, vec_id, v.v, k, list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i]))) AS d FROM v, {} AS c QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1"
+    parts = [
+        """v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS k, v FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, v FROM v) ORDER BY k LIMIT 16
+)"""
+    ]
+    for i in range(rounds):
+        parts.append(f"a{i} AS ({nearest.format(f'c{i}')})")
+        sums = f"SELECT k, i, sum(v[i]) AS s, count(*) AS n FROM a{i}, unnest(range(1, 65)) AS u(i) GROUP BY k, i"
+        parts.append(f"m{i} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM ({sums}) GROUP BY k)")
+        parts.append(f"c{i + 1} AS (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{i} AS c LEFT JOIN m{i} AS m ON c.k = m.k)")
+    parts.append(f"a{rounds} AS ({nearest.format(f'c{rounds}')})")
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} AS a JOIN c{rounds} AS c ON a.k = c.k
+"""
+
+
+CENTROIDS = _centroids()
+
+JACCARD = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)) AS g FROM d
+), c AS (
+  SELECT row_number() OVER () AS k, g, min(doc_id) AS first FROM s WHERE len(g) > 0 GROUP BY g
+), e AS (
+  SELECT k, len(g) AS n, unnest(g) AS w FROM c
+), l AS (
+  SELECT a.k AS x, b.k AS y FROM e AS a JOIN e AS b ON a.w = b.w AND a.k < b.k AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), o AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), t AS (
+  SELECT k, k AS z FROM c UNION SELECT t.k, o.y FROM t JOIN o ON t.z = o.x
+), m AS (
+  SELECT t.k, min(first) AS component_id FROM t JOIN c ON t.z = c.k GROUP BY t.k
+)
+SELECT doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM s LEFT JOIN c ON s.g = c.g LEFT JOIN m ON c.k = m.k
+"""

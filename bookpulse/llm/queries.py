@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookpulse.llm import dac, decontaminate, pii, q_quality, q_sql, secrets, simhash, token_counts, toxicity, trie_codec, warc
+from bookpulse.llm import centroids, dac, decontaminate, fim, jaccard, pii, q_quality, q_sql, secrets, simhash, token_counts, toxicity, trie_codec, warc
 from bookpulse.llm.common import shared_dir, table
 
 
@@ -114,6 +114,30 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut and rearrange each document; digests of the output and of the text restored from it."""
+    made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id",
+        F.col("fim_units").alias("n"),
+        F.col("fim_form").alias("form"),
+        F.col("fim_prefix_chars").alias("prefix_chars"),
+        F.col("fim_middle_chars").alias("middle_chars"),
+        F.sha2(F.col("fim_output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fim.restore().cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and squared distance of each vector, inertias, digest of its centroid."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("n_exact")
+
+
+def op13_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of each document's set of shingles and its component of Jaccard links."""
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base columns of ``op10_pii``, which SQL can express."""
     return op10_pii(spark, sf_dir).drop("spans", "n_spans")
@@ -123,9 +147,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_files, op2_fm_decontamination, op3_warc, op4_trie_codec, op5_secret_scan, op6_toxicity, op7_simhash_classes, op8_token_counts, q_quality.op9_quality_rules, op10_pii,
+        op11_fill_in_middle, op12_centroid_clusters, op13_jaccard_classes,
         q_quality.quality_ablation, pii_base,
     )
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op2_fm_decontamination": q_sql.DECONTAMINATION, "op3_warc": q_sql.WARC, "op9_quality_rules": q_quality.ORACLE, "quality_ablation": q_sql.ABLATION, "pii_base": q_sql.PII_BASE}
+ORACLES: dict[str, str] = {"op2_fm_decontamination": q_sql.DECONTAMINATION, "op3_warc": q_sql.WARC, "op9_quality_rules": q_quality.ORACLE, "quality_ablation": q_sql.ABLATION, "pii_base": q_sql.PII_BASE, "op11_fill_in_middle": q_sql.FILL_IN_MIDDLE, "op12_centroid_clusters": q_sql.CENTROIDS, "op13_jaccard_classes": q_sql.JACCARD}
