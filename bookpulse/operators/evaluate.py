@@ -82,33 +82,61 @@ def valid_n(what=F.avg) -> Column:
     return what(F.when(F.col("is_valid"), F.col("n_obs")))
 
 
+def sums(ic: str = "rank_ic") -> list[Column]:
+    """All that any summary of an IC series holds, as aggregates that are combined before the shuffle."""
+    return [
+        F.count("*").alias("groups_total"), F.count_if("is_valid").alias("groups_valid"), F.count_if(~F.col("is_valid")).alias("groups_invalid"), *counted(),
+        F.avg(ic).alias("rank_ic_mean"), F.stddev_samp(ic).alias("rank_ic_std"), F.count(ic).alias("time_points"), S.share_positive(F.col(ic)).alias("positive_ratio"),
+        valid_n().alias("avg_n_obs"), valid_n(F.min).alias("min_n_obs"), valid_n(F.max).alias("max_n_obs"),
+    ]
+
+
+#: Groupings of the summaries, besides factor and label.
+LEVELS: dict[str, tuple[str, ...]] = {"pair": (), "month": ("month",), "event_time": ("event_time",), "session": ("session",), "month_session": ("month", "session")}
+PAIR = ["factor", "label"]
+
+
+def cube(long: DataFrame, *levels: str) -> DataFrame:
+    """``sums`` of the IC series at each of the levels (all of LEVELS, if none is named): one scan, one exchange.
+
+    Columns: level, factor, label, month, session and event_time (NULL where they aren't of the level), and the sums. Rows
+    outside both sessions have none at the levels of sessions.
+    """
+    chosen = levels or tuple(LEVELS)
+    keys = [*PAIR, "month", "session", "event_time"]
+    rows = long.withColumns({"month": X.month_of(), "session": X.session()})
+    found = rows.groupingSets([[F.col(c) for c in (*PAIR, *LEVELS[n])] for n in chosen], *keys).agg(F.grouping_id().alias("_id"), *sums())
+    number = {n: sum(1 << (len(keys) - 1 - i) for i, c in enumerate(keys) if c not in (*PAIR, *LEVELS[n])) for n in chosen}
+    name = F.create_map(*(F.lit(x) for n, k in number.items() for x in (k, n)))
+    return found.where(~F.col("session").eqNullSafe("off_session")).select(name[F.col("_id").cast("int")].alias("level"), *(c for c in found.columns if c != "_id"))
+
+
+def level(found: DataFrame, name: str) -> DataFrame:
+    """One level of a cube, with its own keys only."""
+    others = [c for c in ("month", "session", "event_time") if c not in LEVELS[name]]
+    return found.where(F.col("level") == name).drop("level", *others)
+
+
+def summarised(out: DataFrame, pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """Sums with ratios, icir and t_stat; with ``pairs`` each of them has a row even if the series is empty."""
+    out = out.withColumnRenamed("avg_n_obs", "avg_cross_section").drop("min_n_obs", "max_n_obs")
+    if pairs is not None:
+        zero = [c for c, t in out.dtypes if t == "bigint"]
+        out = P.pair_frame(out, pairs, *PAIR).join(out, PAIR, "left").fillna(0, zero)
+    mean, std = F.col("rank_ic_mean"), F.col("rank_ic_std")
+    return out.withColumns({"valid_ratio": F.try_divide(F.col("groups_valid"), F.col("groups_total")), "icir": S.icir(mean, std), "t_stat": S.t_stat(mean, std, F.col("time_points"))})
+
+
 def summary(long: DataFrame, by: Sequence[str] = (), pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """Per factor, label and ``by``: counts by reason, mean, std, share positive, valid ratio, icir, t_stat.
 
     With ``pairs`` each of them has a row even if the time series is empty.
     """
-    keys = [*by, "factor", "label"]
-    out = long.groupBy(*keys).agg(
-        F.count("*").alias("groups_total"), F.count_if("is_valid").alias("groups_valid"), *counted(),
-        F.avg("rank_ic").alias("rank_ic_mean"), F.stddev_samp("rank_ic").alias("rank_ic_std"), F.count("rank_ic").alias("time_points"),
-        S.share_positive(F.col("rank_ic")).alias("positive_ratio"), valid_n().alias("avg_cross_section"),
-    )
-    if pairs is not None and not by:
-        zero = [c for c, t in out.dtypes if t == "bigint"]
-        out = P.pair_frame(long, pairs, "factor", "label").join(out, keys, "left").fillna(0, zero)
-    mean, std = F.col("rank_ic_mean"), F.col("rank_ic_std")
-    return out.withColumns(
-        {
-            "valid_ratio": F.try_divide(F.col("groups_valid"), F.col("groups_total")),
-            "groups_invalid": F.col("groups_total") - F.col("groups_valid"),
-            "icir": S.icir(mean, std),
-            "t_stat": S.t_stat(mean, std, F.col("time_points")),
-        }
-    )
+    return summarised(long.groupBy(*by, *PAIR).agg(*sums()), None if by else pairs)
 
 
 def monthly(long: DataFrame) -> DataFrame:
-    return summary(long.withColumn("month", X.month_of()), ["month"])
+    return summarised(level(cube(long, "month"), "month"))
 
 
 def sweep(df: DataFrame, factors=None, labels=None, sizes: Sequence[int] = SWEEP, keys: Sequence[str] = KEYS, filter_auction: bool = True) -> DataFrame:

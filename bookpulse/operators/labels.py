@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bookpulse.functions import exprs as X
 from bookpulse.operators import schema
 from bookpulse.operators.factors import DAY
+from bookpulse.sources.tables import materialize
 
 
 def base_price(df: DataFrame, price: str = "mid_price_1") -> Column:
@@ -19,21 +20,32 @@ def base_price(df: DataFrame, price: str = "mid_price_1") -> Column:
     return F.when(X.valid_quote(1), X.mid_price(1))
 
 
-def asof_forward(probes: DataFrame, builds: DataFrame, by: Sequence[str], at: str, time: str, carry: str, tiebreak: Sequence[str] = ()) -> DataFrame:
-    """For each probe the first build row with ``time`` >= ``at``: adds ``carry`` (NULL if there is none); keeps all probes.
+def asof_forward(probes: DataFrame, builds: DataFrame, by: Sequence[str], at: str, time: str, carry: Sequence[str], tiebreak: Sequence[str] = ()) -> DataFrame:
+    """For each probe the first build row with ``time`` >= ``at``: adds the columns ``carry`` (NULL if there is none); keeps all probes.
 
-    Probes and builds are one union, sorted downwards by time within ``by``; a build at the probe's very time comes
-    before it, and of builds at one time the smallest by tiebreak is the one seen last. One exchange, one sort.
+    Of builds at one time the smallest by tie-break, then by what is carried, is the match; a match whose carried values
+    are NULL is one, and no later row is tried. A probe without a time, or with a NULL in ``by``, has none.
+
+    Probes and builds are one union, dealt by range of (by, time), so that a day of any size lies in as many tasks as it
+    needs. Inside a part the match is what a minimum over the later times has seen. Where a part has none, it is the first
+    build of the nearest later part of the same ``by``: each part's first build, one row for a part and day, is carried
+    backward over the boundaries.
     """
-    row = F.struct(*[F.col(c) for c in probes.columns])
-    schema_of = probes.select(row.alias("_row")).schema["_row"].dataType
-    ties = [F.col(c).alias(f"_b{i}") for i, c in enumerate(tiebreak)]
-    none = [F.lit(None).cast(builds.schema[c].dataType).alias(f"_b{i}") for i, c in enumerate(tiebreak)]
-    left = probes.select(*by, F.col(at).alias("_k"), F.lit(0).alias("_side"), row.alias("_row"), F.lit(None).cast(builds.schema[carry].dataType).alias("_found"), *none)
-    right = builds.select(*by, F.col(time).alias("_k"), F.lit(1).alias("_side"), F.lit(None).cast(schema_of).alias("_row"), F.col(carry).alias("_found"), *ties)
-    w = Window.partitionBy(*by).orderBy(F.desc("_k"), F.desc("_side"), *(F.desc(f"_b{i}") for i in range(len(ties)))).rowsBetween(Window.unboundedPreceding, 0)
-    seen = left.unionByName(right).withColumn("_hit", F.last("_found", ignorenulls=True).over(w))
-    return seen.where("_side = 0").select("_row.*", F.col("_hit").alias(carry))
+    keys, row = [f"_by{i}" for i in range(len(by))], F.struct(*(F.col(c) for c in probes.columns))
+    build = F.struct(F.col(time).alias("_t"), *(F.col(c).alias(f"_tie{i}") for i, c in enumerate(tiebreak)), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
+    dealt = lambda df, t: [*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col(t).cast("long").alias("_k")]
+    left = probes.select(*dealt(probes, at), row.alias("_row"))
+    right = builds.where(F.col(time).isNotNull()).select(*dealt(builds, time), build.alias("_build"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    # (written, as both readings below have to see the same parts; rows equal in by and time are in one part)
+    placed = materialize(both.repartitionByRange(*keys, "_k").withColumn("_part", F.spark_partition_id()))
+    here = Window.partitionBy("_part", *keys).orderBy(F.desc("_k")).rangeBetween(Window.unboundedPreceding, 0)
+    seen = placed.withColumn("_hit", F.min("_build").over(here)).where("_row is not null").drop("_build")
+    first = placed.groupBy(*keys, "_part").agg(F.min("_build").alias("_b"))
+    after = Window.partitionBy(*keys).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    later = first.select(*keys, "_part", F.first("_b", ignorenulls=True).over(after).alias("_later")).where("_later is not null")
+    found = seen.join(later, [*keys, "_part"], "left").withColumn("_match", F.when(F.array_position(F.array(*(F.col(k).isNull() for k in (*keys, "_k"))), True) == 0, F.coalesce("_hit", "_later")))
+    return found.select("_row.*", *(F.col(f"_match._c{i}").alias(c) for i, c in enumerate(carry)))
 
 
 def forward_returns(frame: DataFrame, horizons_ms: Sequence[int] = (3000, 30000), price: str = "mid_price_1", tiebreak: Sequence[str] = ()) -> DataFrame:

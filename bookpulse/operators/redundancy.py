@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from bookpulse.functions import exprs as X
 from bookpulse.functions import stats as S
-from bookpulse.operators import schema
-from bookpulse.operators.evaluate import KEYS, LEAST, auction, complete_statistics, counted, judged, valid_n
+from bookpulse.operators import gram, schema
+from bookpulse.operators.evaluate import KEYS, LEAST, auction, counted, judged, valid_n
 from bookpulse.plans import pairs as P
 
 PAIR = ["factor_left", "factor_right"]
@@ -21,9 +21,9 @@ REASONS = ("below_min_cross_section", "both_constant", "left_factor_constant", "
 
 def factor_corr(df: DataFrame, factors: Sequence[str], keys: Sequence[str] = KEYS, least: int = LEAST, filter_auction: bool = True) -> DataFrame:
     """Rank correlation of each two factors at each key, long: pairs in the order of the list."""
-    pairs = schema.factor_pairs(list(factors))
+    schema.factor_pairs(list(factors))  # two at least
     schema.need(df, [*keys, *factors])
-    found = complete_statistics(auction(df, filter_auction), pairs, keys, *PAIR)
+    found = gram.rank_statistics(auction(df, filter_auction), list(factors), keys, *PAIR)
     out = judged(found, schema.cross_section(least), "left_factor", "right_factor", "factor_corr")
     return out.select(*keys, *PAIR, "factor_corr", "n_obs", F.col("x_n_unique").alias("left_factor_n_unique"), F.col("y_n_unique").alias("right_factor_n_unique"), "is_valid", "invalid_reason")
 

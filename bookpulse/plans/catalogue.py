@@ -17,12 +17,13 @@ from bookpulse.operators import groups as G
 from bookpulse.operators import labels as L
 from bookpulse.operators import ranks as K
 from bookpulse.operators import redundancy as R
+from bookpulse.operators import states as T
 from bookpulse.sources import events
 from bookpulse.sources.tables import exists, materialize, shared_dir, version
 
 WINDOW_MS, HORIZONS = 3_600_000, (3_600_000, 10_800_000)
 FACTORS = ["book_slope_5", "micro_price_1", "ofi_1", "oir_1", "oir_5", "relative_spread_1", "trade_imbalance_3s", "voi_1"]
-LABELS = [f"fwd_ret_{h}ms" for h in sorted(map(str, HORIZONS))]
+LABELS = [f"fwd_ret_{h}ms" for h in sorted(HORIZONS)]  # the shortest horizon first
 PAIRS = list(product(FACTORS, LABELS))
 KEY = ["symbol", "trading_day", "event_time"]
 
@@ -54,6 +55,15 @@ def _ic(s: SparkSession, d: str) -> DataFrame:
     return shared(s, d, "ic", lambda: E.rank_ic(_panel(s, d), FACTORS, LABELS))
 
 
+def _at(s: SparkSession, d: str, name: str) -> DataFrame:
+    """One level of the summaries of the IC series, of which all levels are made in one scan."""
+    return E.level(shared(s, d, "cube", lambda: E.cube(_ic(s, d))), name)
+
+
+def _summary(s: SparkSession, d: str) -> DataFrame:
+    return E.summarised(_at(s, d, "pair"), PAIRS)
+
+
 def _corr(s: SparkSession, d: str) -> DataFrame:
     return shared(s, d, "corr", lambda: R.factor_corr(_panel(s, d), FACTORS))
 
@@ -108,6 +118,13 @@ def forward_label(s, d):
     return S.rounded(out.select(*KEY, *[f"{p}_{h}ms" for h in HORIZONS for p in ("label_time_ms", "label_price", "fwd_ret")]))
 
 
+def asof_next_quote(s, d):
+    """For each trade the next snapshot of its symbol and day, and its middle price where the quote is valid."""
+    quotes = events.snapshots(s, d).select("symbol", "trading_day", X.clock_ms().alias("quote_ms"), F.when(X.valid_quote(1), X.mid_price(1)).alias("mid"))
+    deals = events.trades(s, d).select("deal_id", "symbol", "trading_day", X.clock_ms().alias("deal_ms"))
+    return S.rounded(L.asof_forward(deals, quotes, ["symbol", "trading_day"], "deal_ms", "quote_ms", ["quote_ms", "mid"]))
+
+
 def panel(s, d):
     return S.rounded(_panel(s, d))
 
@@ -131,11 +148,11 @@ def rank_ic_timeseries(s, d):
 
 
 def rank_ic_summary(s, d):
-    return S.rounded(E.summary(_ic(s, d), pairs=PAIRS))
+    return S.rounded(_summary(s, d))
 
 
 def rank_ic_monthly(s, d):
-    return S.rounded(E.monthly(_ic(s, d)))
+    return S.rounded(E.summarised(_at(s, d, "month")))
 
 
 def rank_ic_sweep(s, d):
@@ -183,23 +200,23 @@ def symbol_coverage(s, d):
 
 
 def pair_reason(s, d):
-    return S.rounded(D.pair_reasons(_ic(s, d)))
+    return S.rounded(D.reasons(_at(s, d, "pair")))
 
 
 def event_time_reason(s, d):
-    return S.rounded(D.event_time_reasons(_ic(s, d)))
+    return S.rounded(D.reasons(_at(s, d, "event_time")))
 
 
 def session_summary(s, d):
-    return S.rounded(D.session_summary(_ic(s, d)))
+    return S.rounded(D.sessions(_at(s, d, "session")))
 
 
 def month_session_summary(s, d):
-    return S.rounded(D.session_summary(_ic(s, d), monthly=True))
+    return S.rounded(D.sessions(_at(s, d, "month_session")))
 
 
 def stability(s, d):
-    return S.rounded(D.stability(D.session_summary(_ic(s, d), monthly=True)))
+    return S.rounded(D.stability(D.sessions(_at(s, d, "month_session"))))
 
 
 def factor_corr_timeseries(s, d):
@@ -215,7 +232,7 @@ def ic_corr_summary(s, d):
 
 
 def factor_strength(s, d):
-    return S.rounded(R.strength(E.summary(_ic(s, d))))
+    return S.rounded(R.strength(_summary(s, d)))
 
 
 def ic_pair_rollup(s, d):
@@ -223,7 +240,7 @@ def ic_pair_rollup(s, d):
 
 
 def _redundancy(s, d):
-    parts = R.factor_corr_summary(_corr(s, d)), R.ic_corr(_ic(s, d), FACTORS, LABELS), E.summary(_ic(s, d))
+    parts = R.factor_corr_summary(_corr(s, d)), R.ic_corr(_ic(s, d), FACTORS, LABELS), _summary(s, d)
     # Rounded before they are compared, so that the last digit of a mean decides nothing.
     return shared(s, d, "redundancy", lambda: R.recommend(*(S.rounded(materialize(x), 9) for x in parts)))
 
@@ -237,7 +254,7 @@ def fig_redundancy_matrix(s, d):
 
 
 def fig_coverage_validity(s, d):
-    return S.rounded(V.coverage_validity(D.coverage(_panel(s, d), FACTORS, LABELS), E.summary(_ic(s, d)), LABELS[1], FACTORS))
+    return S.rounded(V.coverage_validity(D.coverage(_panel(s, d), FACTORS, LABELS), _summary(s, d), LABELS[0], FACTORS))
 
 
 def fig_core_monotonicity(s, d):
@@ -245,22 +262,22 @@ def fig_core_monotonicity(s, d):
 
 
 def fig_core_rank_ic(s, d):
-    return S.rounded(V.rank_ic(E.summary(_ic(s, d)), V.CORE, LABELS))
+    return S.rounded(V.rank_ic(_summary(s, d), V.CORE, LABELS))
 
 
 def fig_single_value(s, d):
     """One cell of the summary, looked up for each pair of core factor and label."""
-    found = E.summary(_ic(s, d))
+    found = _summary(s, d)
     rows = [(f, y, V.single_value(found, f, y, "valid_ratio")) for f in V.CORE[:2] for y in LABELS]
     return S.rounded(s.createDataFrame(rows, "factor string, label string, valid_ratio double"))
 
 
 def fig_rank_ic(s, d):
-    return S.rounded(V.rank_ic(E.summary(_ic(s, d)), FACTORS, LABELS))
+    return S.rounded(V.rank_ic(_summary(s, d), FACTORS, LABELS))
 
 
 def fig_monotonicity(s, d):
-    return S.rounded(V.monotonicity(G.summary(_returns(s, d)), FACTORS, LABELS[1]))
+    return S.rounded(V.monotonicity(G.summary(_returns(s, d)), FACTORS, LABELS[0]))
 
 
 def zfill_symbol(s, d):
@@ -276,12 +293,61 @@ def factor_family(s, d):
     return names.select("factor", X.family(F.col("factor")).alias("family"))
 
 
+_stores: dict[tuple, str] = {}
+
+
+def _store(s: SparkSession, d: str) -> str:
+    """A store of daily states, filled in three runs: half of the days, all days, and the first day once more."""
+    key = (s.sparkContext.applicationId, d, version(s, f"{d}/events.parquet"))
+    if key not in _stores or not T.days(s, _stores[key]):
+        at, p = shared_dir(s), _panel(s, d)
+        found = sorted(r[0] for r in p.select("trading_day").distinct().collect())  # a row a day
+        T.update(s, at, p.where(F.col("trading_day").isin(found[: len(found) // 2])), FACTORS, LABELS)
+        T.update(s, at, p, FACTORS, LABELS)
+        T.update(s, at, p, FACTORS, LABELS, again=found[:1])
+        _stores[key] = at
+    return _stores[key]
+
+
+def store_rank_ic_summary(s, d):
+    return S.rounded(T.ic_summary(s, _store(s, d), pairs=PAIRS))
+
+
+def store_rank_ic_monthly(s, d):
+    return S.rounded(T.ic_summary(s, _store(s, d), ["month"]))
+
+
+def store_group_summary(s, d):
+    return S.rounded(T.group_summary(s, _store(s, d)))
+
+
+def store_column_coverage(s, d):
+    return S.rounded(T.coverage(s, _store(s, d)))
+
+
 def lineitem_rank_ic(s, d):
-    rows = s.read.parquet(f"{d}/lineitem.parquet").select(F.date_format("l_shipdate", "yyyyMM").cast("int").alias("ship_month"), "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    rows = _by_month(s, d, "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     # (a month's lines grow with the table: no group fits a task for certain)
     return S.rounded(K.rank_statistics(rows, [(f, "l_extendedprice") for f in ("l_quantity", "l_discount", "l_tax")], ["ship_month"]))
 
 
+def _by_month(s, d, *columns):
+    return s.read.parquet(f"{d}/lineitem.parquet").select(F.date_format("l_shipdate", "yyyyMM").cast("int").alias("ship_month"), *columns)
+
+
+def lineitem_ordinal_groups(s, d):
+    """Places and quantile groups of a month's lines by price; ties go by order and line."""
+    rows = _by_month(s, d, "l_orderkey", "l_linenumber", "l_extendedprice")
+    return K.ordinal(rows, ["ship_month"], "l_extendedprice", ["l_orderkey", "l_linenumber"], E.LEAST, 5).drop("l_extendedprice")
+
+
+def lineitem_group_returns(s, d):
+    """Discount and quantity of a month's lines by quantile group of their price."""
+    rows = _by_month(s, d, "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount")
+    placed = K.ordinal(rows, ["ship_month"], "l_extendedprice", ["l_orderkey", "l_linenumber"], E.LEAST, 5)
+    return S.rounded(placed.groupBy("ship_month", "group_id").agg(F.avg("l_discount").alias("mean_discount"), F.avg("l_quantity").alias("mean_quantity"), F.count("*").alias("group_n_obs"), F.max("n").alias("cross_section_n_obs")))
+
+
 QUERIES = {
     "micro_price": _column("micro_price_1", X.micro_price),
     "relative_spread": _column("relative_spread_1", X.relative_spread),
@@ -294,10 +360,11 @@ QUERIES = {
 } | {
     f.__name__: f
     for f in (
-        book_lag, snapshot_factors, auction_filter, session_label, trade_filter, trade_bucket, trade_imbalance, trade_factor_join, label_base_price, forward_label, panel, average_rank, rank_ic_pair,
+        book_lag, snapshot_factors, auction_filter, session_label, trade_filter, trade_bucket, trade_imbalance, trade_factor_join, label_base_price, forward_label, asof_next_quote, panel, average_rank, rank_ic_pair,
         rank_ic_timeseries_long, rank_ic_timeseries, rank_ic_summary, rank_ic_monthly, rank_ic_sweep, ordinal_rank, group_id, group_returns, group_summary, group_spread, group_monotonicity,
         column_coverage, symbol_coverage, pair_reason, event_time_reason, session_summary, month_session_summary, stability, factor_corr_timeseries, factor_corr_summary, ic_corr_summary,
-        factor_strength, ic_pair_rollup, redundancy_recommendation, fig_redundancy_matrix, fig_coverage_validity, fig_core_monotonicity, fig_core_rank_ic, fig_single_value, fig_rank_ic, fig_monotonicity, zfill_symbol, month_slice, factor_family, lineitem_rank_ic,
+        factor_strength, ic_pair_rollup, redundancy_recommendation, fig_redundancy_matrix, fig_coverage_validity, fig_core_monotonicity, fig_core_rank_ic, fig_single_value, fig_rank_ic, fig_monotonicity, zfill_symbol, month_slice, factor_family, lineitem_rank_ic, lineitem_ordinal_groups, lineitem_group_returns,
+        store_rank_ic_summary, store_rank_ic_monthly, store_group_summary, store_column_coverage,
     )
 }
 

@@ -272,18 +272,32 @@ _FINAL = {
     "ic_pair_rollup": f"SELECT factor_left, factor_right, avg(ic_corr) AS ic_corr_mean, avg(ic_corr_abs) AS ic_corr_abs_mean, max(ic_corr_abs) AS ic_corr_abs_max, min(overlap_time_points) AS min_overlap_time_points, max(overlap_time_points) AS max_overlap_time_points FROM ({_ICC}) GROUP BY ALL",
     "redundancy_recommendation": _REC,
     "fig_redundancy_matrix": _MATRIX,
-    "fig_coverage_validity": f"SELECT c.\"column\" AS factor, coverage_ratio, valid_ratio FROM ({_coverage('', True)}) c JOIN ({_summary('ts', '')}) s ON c.\"column\" = s.factor AND s.label = '{LABELS[1]}'",
-    "fig_core_monotonicity": f"SELECT g.factor, label, group_id, mean_ret * 10000 AS mean_ret_bps, positive_spread_ratio FROM gsum g JOIN (SELECT factor, positive_spread_ratio FROM ({_MONO}) WHERE label = '{LABELS[0]}') USING (factor) WHERE factor IN {CORE}",
+    "fig_coverage_validity": f"SELECT c.\"column\" AS factor, coverage_ratio, valid_ratio FROM ({_coverage('', True)}) c JOIN ({_summary('ts', '')}) s ON c.\"column\" = s.factor AND s.label = 'fwd_ret_{min(HORIZONS)}ms'",
+    "fig_core_monotonicity": f"SELECT g.factor, label, group_id, mean_ret * 10000 AS mean_ret_bps, positive_spread_ratio FROM gsum g JOIN (SELECT factor, positive_spread_ratio FROM ({_MONO}) WHERE label = 'fwd_ret_{min(HORIZONS)}ms') USING (factor) WHERE factor IN {CORE}",
     "fig_core_rank_ic": "SELECT factor, " + ", ".join(f"max(CASE WHEN label = '{y}' THEN rank_ic_mean END) AS {y}" for y in LABELS) + f" FROM ({_summary('ts', '')}) WHERE factor IN {CORE} GROUP BY factor",
     "fig_single_value": f"SELECT factor, label, valid_ratio FROM ({_summary('ts', '')}) WHERE factor IN {CORE[:2]}",
     "fig_rank_ic": "SELECT factor, " + ", ".join(f"max(CASE WHEN label = '{y}' THEN rank_ic_mean END) AS {y}" for y in LABELS) + f" FROM ({_summary('ts', '')}) GROUP BY factor",
-    "fig_monotonicity": f"SELECT factor, group_id, mean_ret * 10000 AS mean_ret_bps FROM gsum WHERE label = '{LABELS[1]}'",
+    "fig_monotonicity": f"SELECT factor, group_id, mean_ret * 10000 AS mean_ret_bps FROM gsum WHERE label = 'fwd_ret_{min(HORIZONS)}ms'",
     "zfill_symbol": "SELECT o_orderkey, CASE WHEN length(CAST(o_orderkey * 7 AS VARCHAR)) < 6 THEN lpad(CAST(o_orderkey * 7 AS VARCHAR), 6, '0') ELSE CAST(o_orderkey * 7 AS VARCHAR) END AS symbol FROM orders",
     "month_slice": "SELECT substr(CAST(trading_day AS VARCHAR), 1, 6) AS month, count(*) AS rows FROM snap GROUP BY 1",
     "factor_family": "SELECT f AS factor, " + _FAM("f") + " AS family FROM (VALUES " + ", ".join(f"('{f}')" for f in FACTORS) + ") q(f)",
     "lineitem_rank_ic": "SELECT * FROM (" + _raw("(" + _long("(SELECT CAST(strftime(l_shipdate, '%Y%m') AS INTEGER) AS ship_month, * FROM lineitem)", [(f, "l_extendedprice") for f in ("l_quantity", "l_discount", "l_tax")], "factor", "label", "ship_month") + ")", "ship_month, factor, label") + ")",
 }
 
+_FINAL |= {
+    "asof_next_quote": f"SELECT deal_id, t.symbol, t.trading_day, deal_ms, quote_ms, mid FROM (SELECT *, {_ms()} AS deal_ms FROM trade) t ASOF LEFT JOIN"
+    f" (SELECT symbol, trading_day, {_ms()} AS quote_ms, CASE WHEN {_V} THEN {_MID} END AS mid FROM snap) q ON t.symbol = q.symbol AND t.trading_day = q.trading_day AND q.quote_ms >= t.deal_ms",
+    **{f"store_{name}": _FINAL[name] for name in ("rank_ic_summary", "rank_ic_monthly", "group_summary", "column_coverage")},
+}
+_PLACED = (
+    "(SELECT *, CAST(least(greatest(floor((ordinal - 1) * 5 / n::DOUBLE) + 1, 1), 5) AS INTEGER) AS group_id FROM (SELECT ship_month, l_orderkey, l_linenumber, l_quantity, l_discount,"
+    " row_number() OVER (PARTITION BY ship_month ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS ordinal, count(*) OVER (PARTITION BY ship_month) AS n"
+    " FROM (SELECT CAST(strftime(l_shipdate, '%Y%m') AS INTEGER) AS ship_month, * FROM lineitem) WHERE l_extendedprice IS NOT NULL) WHERE n >= 10)"
+)
+_FINAL |= {
+    "lineitem_ordinal_groups": f"SELECT ship_month, l_orderkey, l_linenumber, ordinal, n, group_id FROM {_PLACED}",
+    "lineitem_group_returns": f"SELECT ship_month, group_id, avg(l_discount) AS mean_discount, avg(l_quantity) AS mean_quantity, count(*) AS group_n_obs, max(n) AS cross_section_n_obs FROM {_PLACED} GROUP BY ALL",
+}
 
 
 # ---- sources, checks and stages -------------------------------------------------------------------------------
@@ -355,7 +369,7 @@ _FINAL |= {name: _FINAL[same] for name, (_, same) in STAGES.items()}
 _TABLES = {
     "events": "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR",
     "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, o_orderdate TIMESTAMP",
-    "lineitem": "l_shipdate TIMESTAMP, l_quantity DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_extendedprice DOUBLE",
+    "lineitem": "l_orderkey BIGINT, l_linenumber INTEGER, l_shipdate TIMESTAMP, l_quantity DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_extendedprice DOUBLE",
 }
 
 

@@ -15,7 +15,7 @@ from bookpulse.operators import groups as G
 from bookpulse.operators import labels as L
 from bookpulse.operators import redundancy as R
 from bookpulse.operators import schema
-from bookpulse.sources.tables import read_many, stage, write_parquet
+from bookpulse.sources.tables import materialize, read_many, stage, write_parquet
 
 
 def _paths(root: str, *names: str) -> dict[str, str]:
@@ -54,7 +54,8 @@ def evaluation(spark: SparkSession, source: str, root: str, factor_columns=None,
         pairs = list(product(f, y))
         write_parquet(E.rank_ic_wide(E.rank_ic(p, f, y, least=least, filter_auction=filter_auction), pairs), outputs["rank_ic_timeseries"], sort_by=E.KEYS)
         long = E.rank_ic_long(spark.read.parquet(outputs["rank_ic_timeseries"]))
-        made = {"rank_ic_summary": E.summary(long, pairs=pairs), "rank_ic_monthly_summary": E.monthly(long)}
+        found = materialize(E.cube(long, "pair", "month"))
+        made = {"rank_ic_summary": E.summarised(E.level(found, "pair"), pairs), "rank_ic_monthly_summary": E.summarised(E.level(found, "month"))}
         return made | ({"rank_ic_min_cross_section_scan": E.sweep(p, f, y, sweep, filter_auction=filter_auction)} if sweep else {})
 
     return stage(spark, outputs, build, force)
@@ -63,7 +64,8 @@ def evaluation(spark: SparkSession, source: str, root: str, factor_columns=None,
 def diagnostics(spark: SparkSession, panel_path: str, timeseries: str, root: str, force: bool = False) -> dict[str, str]:
     def build() -> dict[str, DataFrame]:
         p, long = read_many(spark, panel_path), E.rank_ic_long(spark.read.parquet(timeseries))
-        return {"column_coverage": D.coverage(p), "symbol_coverage": D.symbol_coverage(p), "pair_reason_summary": D.pair_reasons(long), "event_time_reason_summary": D.event_time_reasons(long)}
+        found = materialize(E.cube(long, "pair", "event_time"))
+        return {"column_coverage": D.coverage(p), "symbol_coverage": D.symbol_coverage(p), "pair_reason_summary": D.reasons(E.level(found, "pair")), "event_time_reason_summary": D.reasons(E.level(found, "event_time"))}
 
     return stage(spark, _paths(root, "column_coverage", "symbol_coverage", "pair_reason_summary", "event_time_reason_summary"), build, force)
 
@@ -71,8 +73,9 @@ def diagnostics(spark: SparkSession, panel_path: str, timeseries: str, root: str
 def robustness(spark: SparkSession, timeseries: str, root: str, force: bool = False) -> dict[str, str]:
     def build() -> dict[str, DataFrame]:
         long = E.rank_ic_long(spark.read.parquet(timeseries))
-        segments = D.session_summary(long, monthly=True)
-        return {"session_summary": D.session_summary(long), "month_session_summary": segments, "stability_summary": D.stability(segments)}
+        found = materialize(E.cube(long, "session", "month_session"))
+        segments = D.sessions(E.level(found, "month_session"))
+        return {"session_summary": D.sessions(E.level(found, "session")), "month_session_summary": segments, "stability_summary": D.stability(segments)}
 
     return stage(spark, _paths(root, "session_summary", "month_session_summary", "stability_summary"), build, force)
 

@@ -79,7 +79,7 @@ def test_asof_crosses_lunch_and_stops_at_invalid(spark):
 def test_asof_takes_the_first_of_equal_times(spark):
     builds = spark.createDataFrame([("a", 5, 2, 20.0), ("a", 5, 1, 10.0), ("a", 7, 0, 30.0)], "k string, t int, tie int, v double")
     probes = spark.createDataFrame([("a", 5), ("a", 6), ("a", 8), ("b", 1)], "k string, at int")
-    got = L.asof_forward(probes, builds, ["k"], "at", "t", "v", ["tie"]).collect()
+    got = L.asof_forward(probes, builds, ["k"], "at", "t", ["v"], ["tie"]).collect()
     assert {(r.k, r.at): r.v for r in got} == {("a", 5): 10.0, ("a", 6): 30.0, ("a", 8): None, ("b", 1): None}
 
 
