@@ -12,14 +12,15 @@ pair goes on only if
 
 A pair that isn't at its first shared n-gram may be dropped there: it is kept at the first. What is left is verified
 once on the whole sets. Only components are asked for, so a list doesn't give all its pairs. First each node is paired
-with the list's ``HUBS`` nodes of earliest position; the links found join nodes to components, and a list of one
+with the list's first nodes by position; the links found join nodes to components, and a list of one
 component is done. In the others, pairs of different components are filtered and verified. A list longer than ``LIST``
-is dealt in chunks, each two of which meet in a task.
+is dealt in chunks, each two of which meet in a task. Short lists give all their pairs at once.
 
 The order is by counts over all texts in ``2 ** BITS`` hashed buckets, a table of bounded size that is sent to all tasks
 as one byte a bucket (a logarithm); equal counts go by hash. Any order common to all gives the same links: collisions of
 buckets cost time only. Lists of n-grams that are much more frequent than most are dealt over several tasks when they are
-gathered. Texts are read three times (counts, lists, sets of nodes that share a list), nothing of their size is written.
+gathered. Texts are read four times (counts, lists, tallies of nodes that share a list, sets of nodes that may link); nothing of
+their size is written.
 
 Null texts and texts without words have an empty set and link with nothing, whatever their number. A null doc_id takes
 part; the smallest doc_id of a component is the smallest that isn't null.
@@ -43,24 +44,87 @@ SHINGLE, SHARE, WHOLE = 3, 90, 100
 BITS, BLOCK = 22, 4096
 #: Parts in which the n-grams behind a shared one are counted.
 PARTS = 64
-#: Nodes of a list that all its others are paired with first; nodes of a list that one task compares.
-HUBS, LIST = 4, 4096
+#: A list of one node more than HUBS gives all its pairs at once; of a longer one all are paired with LARGE_HUBS nodes
+#: first. Nodes of a list that one task compares.
+HUBS, LARGE_HUBS, LIST = 4, 2, 4096
 #: A list is dealt over tasks from so many n-grams of its bucket on, and so many times the mean.
 HOT, HOT_TIMES = 4096, 16
 #: Nodes that a task remembers, so that it gives copies once.
 SEEN = 1 << 18
+#: Bytes of text over which one running sum goes.
+CHUNK = 1 << 18
 
 
 # ---- sets -----------------------------------------------------------------------------------------------------
 
 
-def grams(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of the distinct n-grams of a text; of all its words as one where they are fewer."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII blanks only
-    if not words:
-        return np.zeros(0, np.uint64)
-    made = map(b" ".join, zip(*(words[k:] for k in range(size)))) if len(words) >= size else [b" ".join(words)]
-    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, made), np.uint64))
+# Hashes of words are polynomials of a byte table at an odd point, modulo 2 to the 64: differences of one running sum.
+_POINT = 0x9E3779B97F4A7C15
+_MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+_BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([k])) | 1 for k in range(256)], np.uint64)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _powers(point: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(CHUNK, point % (1 << 64), np.uint64))])
+
+
+_POWERS, _INVERSES = _powers(_POINT), _powers(pow(_POINT, -1, 1 << 64))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _MIX[0]
+    h = (h ^ (h >> np.uint64(27))) * _MIX[1]
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of a text's bytes; a word longer than CHUNK has a hash of its own kind."""
+    edges = np.diff(_BLANK[data].astype(np.int8), prepend=1, append=1)
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = int(np.searchsorted(ends, base + CHUNK, side="right"))
+        if j <= i:
+            out[i] = xxhash.xxh3_64_intdigest(data[base : ends[i]].tobytes())
+            i += 1
+            continue
+        part = _BYTE[data[base : ends[j - 1]]]
+        part *= _POWERS[: len(part)]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part)])
+        first, last = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = (sums[last] - sums[first]) * _INVERSES[first] + (last - first).astype(np.uint64)
+        i = j
+    return _mixed(out), starts
+
+
+def gram_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
+    """Of each text the sorted hashes of its distinct n-grams; of all its words as one where they are fewer."""
+    pieces = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]  # bytes: A-Z only
+    h, starts = word_hashes(np.frombuffer(b"\n".join(pieces), np.uint8))
+    cuts = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(p) + 1 for p in pieces])]))
+
+    def joined(k: int) -> np.ndarray:  # each k words in a row
+        out = np.full(max(0, len(h) - k + 1), k, np.uint64)
+        for i in range(k):
+            out = _mixed(out * np.uint64(_POINT) + h[i : len(h) - k + 1 + i])
+        return out
+
+    full, out = joined(size), []
+    for i, j in zip(cuts.tolist(), cuts[1:].tolist()):
+        if j - i >= size:
+            found = np.sort(full[i : j - size + 1])
+            found = found[np.concatenate([[True], found[1:] != found[:-1]])]
+        else:
+            found = np.zeros(0, np.uint64)
+            if j > i:
+                short = h[i:j]
+                found = np.array([j - i], np.uint64)
+                for k in range(j - i):
+                    found = _mixed(found * np.uint64(_POINT) + short[k : k + 1])
+        out.append(found)
+    return out
 
 
 def node(found: np.ndarray) -> bytes | None:
@@ -131,7 +195,8 @@ class Buckets:
     def blocks(self) -> tuple[pa.Array, pa.Array]:
         rows = self.counts.reshape(-1, min(BLOCK, 1 << BITS))
         at = np.flatnonzero(rows.any(1))
-        return pa.array(at.astype(np.int32)), pa.array([rows[k].tobytes() for k in at], pa.binary())
+        narrow = lambda r: r.astype(np.uint8 if r.max() < 1 << 8 else np.uint16 if r.max() < 1 << 16 else np.uint32).tobytes()
+        return pa.array(at.astype(np.int32)), pa.array([narrow(rows[k]) for k in at], pa.binary())
 
 
 def gather_counts(blocks: DataFrame) -> np.ndarray:
@@ -141,7 +206,7 @@ def gather_counts(blocks: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(c, np.uint32).astype(np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(c, f"<u{len(c) // min(BLOCK, 1 << BITS)}").astype(np.int64)
         logs = [np.minimum(255, np.ceil(8 * np.log2(1 + s))).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(logs, pa.binary())], names=["block", "logs"])
 
@@ -167,7 +232,7 @@ def marked(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind[0]), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int64()), at, data], names=names)
                 return
             kind[:] = [before[0].type]
-            sets = [grams(t) for t in texts]
+            sets = gram_sets(texts)
             counts.add(np.concatenate(sets))
             n = len(sets)
             yield pa.RecordBatch.from_arrays([before[0], pa.array(map(node, sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
@@ -192,8 +257,7 @@ def postings(docs: DataFrame, rank) -> DataFrame:
 
         def f(_, texts):
             parts = []
-            for t in texts or ():
-                found = grams(t)
+            for found in gram_sets(texts or []):
                 if _new(seen, key := node(found)):
                     first = ordered(found, order)[: prefix_length(len(found))]
                     parts.append((first, np.frombuffer(key, np.uint8)))
@@ -233,28 +297,57 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(g[out]), _fixed(keys[out]), pa.array(pos[out])], names=["g", "node", "pos"])
 
 
-def whole_sets(docs: DataFrame, rank, wanted) -> DataFrame:
-    """node, tally (counts in parts, then the part of each n-gram of the prefix) and grams of nodes in the wanted buckets."""
+def _of_nodes(docs: DataFrame, wanted, schema: str, make_row: Callable) -> DataFrame:
+    """node and what ``make_row(set)`` gives, of nodes in the wanted buckets (of a few others as well), each once."""
 
     def make():
-        seen, order = set(), rank.value
+        seen = set()
 
         def f(_, texts):
             rows = []
-            for t in texts or ():
-                found = grams(t)
+            for found in gram_sets(texts or []):
                 key = node(found)
                 if key and wanted.value[int.from_bytes(key[:8], "little") & (len(wanted.value) - 1)] and _new(seen, key):
-                    part = (found >> np.uint64(32)) % np.uint64(PARTS)
-                    tally = np.bincount(part.astype(np.int64), minlength=PARTS).astype("<u4")
-                    first = ordered(found, order)[: prefix_length(len(found))]
-                    rows.append((key, tally.tobytes() + ((first >> np.uint64(32)) % np.uint64(PARTS)).astype(np.uint8).tobytes(), found.tobytes()))
+                    rows.append((key, make_row(found)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["node", "tally", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=names)
 
         return f
 
-    return _each(docs.select("text"), "node binary, tally binary, grams binary", make)
+    names = ["node", schema]
+    of = f"node binary, {schema} binary"
+    return _each(docs.select("text"), of, make).repartition("node").sortWithinPartitions("node").mapInArrow(_once, of)
+
+
+def tallies(docs: DataFrame, rank, wanted) -> DataFrame:
+    """node and tally: counts of the set in parts, then the part of each n-gram of the prefix."""
+
+    def row(found: np.ndarray) -> bytes:
+        part = ((found >> np.uint64(32)) % np.uint64(PARTS)).astype(np.int64)
+        first = ordered(found, rank.value)[: prefix_length(len(found))]
+        return np.bincount(part, minlength=PARTS).astype("<u4").tobytes() + ((first >> np.uint64(32)) % np.uint64(PARTS)).astype(np.uint8).tobytes()
+
+    return _of_nodes(docs, wanted, "tally", row)
+
+
+def whole_sets(docs: DataFrame, wanted) -> DataFrame:
+    """node and grams: the whole set."""
+    return _of_nodes(docs, wanted, "grams", lambda found: found.tobytes())
+
+
+def node_buckets(nodes: DataFrame):
+    """A broadcast table of the buckets that hold a node of column ``node``: 2 ** BITS bytes."""
+
+    def run(batches):
+        counts = Buckets()
+        for b in batches:
+            if b.num_rows:
+                counts.add(np.ascontiguousarray(_keys(b.column(0))[:, :8]).view("<u8").reshape(-1))
+        at, data = counts.blocks()
+        if len(at):
+            yield pa.RecordBatch.from_arrays([at, data], names=["block", "counts"])
+
+    return nodes.sparkSession.sparkContext.broadcast(gather_counts(nodes.select("node").mapInArrow(run, "block int, counts binary")))
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,29 +391,52 @@ def _columns(b: pa.RecordBatch) -> tuple:
     return b.column(0).to_numpy(), keys, _sizes(keys), b.column(2).to_numpy().astype(np.int64), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, PARTS)
 
 
+_MEMBER = "g long, node binary, pos int, suffix binary, a binary, b binary"
+
+
 def _with_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a list's first nodes with its others, of rows sorted by g and pos; only the hubs are held."""
-    key, hubs = None, []
+    """Of rows sorted by g and pos: all pairs of a list of HUBS + 1 rows, and of a longer one its rows and those with few hubs.
+
+    Pairs have a and b, rows of longer lists the columns they came with. Only the hubs are held.
+    """
+    key, hubs, seen = None, [], 0
+
+    def rows(g, keys, pos, suffix) -> pa.RecordBatch:
+        n = len(g)
+        return pa.RecordBatch.from_arrays([pa.array(g), _fixed(keys), pa.array(pos.astype(np.int32)), pa.array([x.tobytes() for x in suffix], pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+
+    names = ["g", "node", "pos", "suffix", "a", "b"]
     for b in batches:
         if not b.num_rows:
             continue
         g, keys, n, pos, suffix = _columns(b)
         cuts = np.flatnonzero(np.diff(g)) + 1
-        left, right = [], []
+        left, right, large = [], [], np.zeros(len(g), bool)
         for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(g)]):
             if key is None or g[i] != key:
-                key, hubs = g[i], []
-            for k in range(i, min(j, i + HUBS - len(hubs))):
-                hubs.append((k, keys[k], int(n[k]), int(pos[k]), suffix[k]))
-            for k, own, m, at, other in hubs:
-                start = max(i, k + 1)
-                ok = may_link(n[start:j], pos[start:j], suffix[start:j], m, at, other)
-                left += [own] * int(ok.sum())
-                right.append(keys[start:j][ok])
-            # (rows of later batches all come after this list's hubs)
-        hubs = [(-1, *h[1:]) for h in hubs]
+                key, hubs, seen = g[i], [], 0
+            for k in range(i, min(j, i + HUBS + 1 - seen)):  # the first rows: each with those before it
+                for own, m, at, other in hubs:
+                    if may_link(n[k : k + 1], pos[k : k + 1], suffix[k : k + 1], m, at, other)[0]:
+                        left.append(own)
+                        right.append(keys[k : k + 1])
+                hubs.append((keys[k], int(n[k]), int(pos[k]), suffix[k]))
+            start = max(i, i + HUBS + 1 - seen)
+            if start < j:
+                for own, m, at, other in hubs[:LARGE_HUBS]:
+                    ok = may_link(n[start:j], pos[start:j], suffix[start:j], m, at, other)
+                    left += [own] * int(ok.sum())
+                    right.append(keys[start:j][ok])
+                large[start:j] = True
+                if seen <= HUBS + 1:  # (the first time)
+                    yield rows(np.full(len(hubs), key), np.stack([h[0] for h in hubs]), np.array([h[2] for h in hubs]), [h[3] for h in hubs])
+            seen += j - i
+        if large.any():
+            yield rows(g[large], keys[large], pos[large], suffix[large])
         if left:
-            yield _pairs(np.stack(left), np.concatenate(right))
+            found = [_fixed(np.stack(left)), _fixed(np.concatenate(right))]
+            k = len(left)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), *found], names=names)
 
 
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,42 +497,38 @@ def _distinct(pairs: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, rank) -> DataFrame | None:
-    """u (a node with a link) and v (the smallest node of its component), materialized; None where there is no list."""
-    spark = docs.sparkSession
+    """u (a node with a link) and v (the smallest node of its component), materialized; None where no list has two nodes."""
     lists = materialize(postings(docs, rank).repartition("g", "share").sortWithinPartitions("g", "share", "node").mapInArrow(_meetings, "g long, node binary, pos int"))
-    members = lists.select("node").distinct()
-
-    def buckets(batches):
-        counts = Buckets()
-        for b in batches:
-            counts.add(np.ascontiguousarray(_keys(b.column(0))[:, :8]).view("<u8").reshape(-1))
-        yield pa.RecordBatch.from_arrays(list(counts.blocks()), names=["block", "counts"])
-
-    wanted = spark.sparkContext.broadcast(gather_counts(members.mapInArrow(buckets, "block int, counts binary")))  # 2 ** BITS bytes
-    if not wanted.value.any():
+    met = node_buckets(lists)
+    if not met.value.any():
         discard(lists)
         return None
-    sets = materialize(whole_sets(docs, rank, wanted).repartition("node").sortWithinPartitions("node").mapInArrow(_once, "node binary, tally binary, grams binary"))
-    placed = materialize(lists.join(sets.select("node", "tally"), "node").select("g", "node", "pos", "tally").mapInArrow(_suffixes, "g long, node binary, pos int, suffix binary"))
+    noted = tallies(docs, rank, met)
+    placed = lists.join(noted, "node").select("g", "node", "pos", "tally").mapInArrow(_suffixes, "g long, node binary, pos int, suffix binary")
+    starred = materialize(placed.repartition("g").sortWithinPartitions("g", "pos", "node").mapInArrow(_with_hubs, _MEMBER))
     discard(lists)
-
-    starred = materialize(_distinct(placed.repartition("g").sortWithinPartitions("g", "pos", "node").mapInArrow(_with_hubs, _PAIR)))
-    roots = components(verified(starred, sets))
-
-    # Lists of several components: their pairs across components that haven't been verified.
-    label = placed.join(roots.select(F.col("u").alias("node"), "v"), "node", "left").withColumn("root", F.coalesce("v", "node")).drop("v")
-    label = materialize(label)
+    large = starred.where("g is not null").select("g", "node", "pos", "suffix")
+    pairs = materialize(_distinct(starred.where("g is null")))
+    need = node_buckets(large.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
+    sets = materialize(whole_sets(docs, need))
+    roots = components(verified(pairs, sets))
+
+    # Long lists of several components: their pairs across components that haven't been verified.
+    label = materialize(large.join(roots.select(F.col("u").alias("node"), "v"), "node", "left").withColumn("root", F.coalesce("v", "node")).drop("v"))
+    discard(starred)
     apart = label.groupBy("g").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g", F.ceil(F.col("n") / LIST).cast("int").alias("chunks"))
     dealt = label.join(apart, "g").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
     # A chunk meets each chunk, itself included, in one place.
     dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("g", "node", "pos", "suffix", "root", "chunk", F.least("chunk", "k").alias("low"), F.greatest("chunk", "k").alias("high"))
     cross = dealt.repartition("g", "low", "high").sortWithinPartitions("g", "low", "high").mapInArrow(_between, _PAIR)
-    more = materialize(verified(_distinct(cross).join(starred, ["a", "b"], "left_anti"), sets))
+    # (written before the sets are joined, so that Spark knows how few they are)
+    rest = materialize(_distinct(cross).join(pairs, ["a", "b"], "left_anti"))
+    more = materialize(verified(rest, sets))
     found = roots
     if not more.isEmpty():
         found = components(roots.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
         discard(roots)
-    discard(placed, starred, label, more, sets)
+    discard(label, pairs, rest, more, sets)
     return found
 
 
