@@ -1,14 +1,16 @@
 """Secret scans: candidate strings, judged by a random forest that removes false positives.
 
-Candidates are strings that could be credentials: values assigned to credential-like names, strings with a provider's
-prefix, private-key blocks (PGP's too), and free-standing runs of 20 or more key characters that hold a digit. A candidate
+Candidates are strings that could be credentials: values assigned to names that hold a credential-like word, strings with a
+provider's prefix, private-key blocks (PGP's too), passwords in URLs, and runs of 20 or more key characters that hold a
+digit and stand free or behind a sign such as ``=``, whatever the name before it. A candidate
 ends where its run or block ends, whatever its length. Each is described by
 its length, its character transitions (mean log probability of its letter pairs in dictionary words, share of changes
 between kinds of characters), entropy, dictionary coverage, its path (test and example paths), and neighbouring words
 that announce a credential or an example. The dictionary holds the words that stand in most documents of the corpus
-(``dictionary``: counted over all documents, ``WORDS`` of them at most) and a few frequent English ones. The forest is
+(``dictionary``: counted over all documents, the ``WORDS`` most frequent) and a few frequent English ones. The forest is
 trained from labelled findings: those given, or ``labelled_findings``, a generated set of real-looking secrets and of what
-scanners take for them (hashes of files, UUIDs, placeholders, long words, card numbers, encoded data).
+scanners take for them (hashes of files, UUIDs, placeholders, long words, card numbers, encoded data). Lengths of both
+kinds come from the same range, so that a length alone tells nothing.
 
 Null and empty texts have no candidates. Repeated rows are scanned each. Offsets are code points, ends exclusive.
 ``redacted`` replaces found secrets.
@@ -41,20 +43,24 @@ MARK = "<SECRET>"
 
 # Prefixes of providers' keys, names of credentials, words that announce secrets or examples.
 _PREFIX = r"AKIA[0-9A-Z]{16,}|ASIA[0-9A-Z]{16,}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{30,}|eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,}){2,}|npm_[A-Za-z0-9]{30,}|hf_[A-Za-z0-9]{30,}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"
-_NAME = r"(?:api[_-]?key|apikey|access[_-]?key|secret[_-]?key|client[_-]?secret|secret|token|auth[_-]?token|password|passwd|pwd|passphrase|private[_-]?key|credentials?)"
-# Nothing bounds a candidate from above: it ends where its run ends.
-_ASSIGNED = rf"{_NAME}\b[\"']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}[\"']?(?P<value>[^\s\"'<>,;]{{6,}}+)"
+_NAME = r"(?:api[_-]?key|apikey|access[_-]?key|secret[_-]?key|client[_-]?secret|secret|token|auth[_-]?token|password|passwd|pwd|passphrase|(?<![a-z])pass(?![a-z])|private[_-]?key|credentials?)"
+# A credential's name may go on behind its word. Nothing bounds a candidate from above: it ends where its run ends.
+_ASSIGNED = rf"{_NAME}[A-Za-z0-9_-]{{0,64}}+[\"']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}[\"']?(?P<value>[^\s\"'<>,;]{{6,}}+)"
+_URL = r"[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\s/:@\"'<>]{0,256}+:(?P<login>[^\s/@\"'<>]{3,}+)@"
 _LABEL = r"[A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
-_FREE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
-_CANDIDATE = re.compile(rf"(?P<block>-----BEGIN {_LABEL})|(?i:{_ASSIGNED})|(?<![A-Za-z0-9])(?P<prefix>{_PREFIX})|(?P<free>{_FREE})")
+_FREE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
+_CANDIDATE = re.compile(rf"(?P<block>-----BEGIN {_LABEL})|(?<![A-Za-z0-9+.-]){_URL}|(?i:{_ASSIGNED})|(?<![A-Za-z0-9])(?P<prefix>{_PREFIX})|(?P<free>{_FREE})")
 _EDGE = re.compile(rf"-----(?P<edge>BEGIN|END) {_LABEL}")
 _ANNOUNCE = re.compile(rf"{_NAME}|\bkey\b|\bauth|bearer|login|credential", re.I)
 _EXAMPLE = re.compile(r"example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test|fake|redacted|todo|lorem|<|\$\{|%\(", re.I)
 _HASHLIKE = re.compile(r"sha-?\d*|md5|checksum|digest|commit|integrity|etag|uuid|guid|hash|revision", re.I)
+_ENCODED = re.compile(r"base64|data:|encoded|blob|image", re.I)
+_SET = re.compile(r"[A-Za-z0-9_\]]\s{0,3}(?:=>|:=|=)\s{0,3}[\"']?\Z")
+_UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z", re.I)
 _TEST_PATH = re.compile(r"test|example|sample|fixture|mock|doc", re.I)
 _PIECES = re.compile(r"[A-Za-z]{3,}")
 # Cheap signs without which a text holds no candidate.
-_SIGN = re.compile(rf"-----BEGIN|{_PREFIX}|(?i:{_NAME})\b[\"']?\s{{0,3}}[=:]|[A-Za-z0-9+/_-]{{20}}")
+_SIGN = re.compile(rf"-----BEGIN|{_PREFIX}|(?i:{_NAME})[A-Za-z0-9_-]{{0,64}}+[\"']?\s{{0,3}}[=:]|://[^\s/@]*@|[A-Za-z0-9+/_-]{{20}}")
 
 # Frequent words, from which letter pairs and dictionary coverage are judged.
 _COMMON = (
@@ -68,24 +74,25 @@ _ENGLISH = frozenset(w for w in _COMMON if len(w) > 2)
 
 
 def dictionary(docs: DataFrame, text: str = "text") -> frozenset[str]:
-    """The words of 3 to 24 letters a to z that stand in most documents: in so many that they are WORDS at most.
+    """The WORDS words of 3 to 24 letters a to z that stand in most documents, WORD_ROWS at least.
 
-    Documents are counted in the JVM, combined before the shuffle, and the counts written. How many words reach each step
-    of a scale of counts (eighths of a doubling, a few hundred rows) gives the step from which words are taken whole, so
-    the driver never gets more than WORDS of them, however many tasks there are.
+    Words are told apart by steps of a scale of counts, eighths of a doubling, then by the alphabet. Documents are counted
+    in the JVM, combined before the shuffle, and the counts written. How many words reach each step (a few hundred rows)
+    gives the steps that are taken whole and the one that fills up, so the driver never gets more than WORDS of them.
     """
     words = F.array_distinct(F.split(F.lower(text), "[^a-z]+"))
     found = docs.select(F.explode(words).alias("word")).where(F.char_length("word").between(3, 24)).groupBy("word").agg(F.count("*").alias("n"))
     counted = materialize(found.where(F.col("n") >= WORD_ROWS).select("word", F.floor(F.log2("n") * 8).alias("step")))
-    held, least = 0, None
+    held, chosen = 0, counted.limit(0)
     for step, size in sorted(map(tuple, counted.groupBy("step").agg(F.count("*")).collect()), reverse=True):
-        held += size
-        if held > WORDS:
+        if held + size > WORDS:
+            chosen = counted.where(F.col("step") > step).unionByName(counted.where(F.col("step") == step).orderBy("word").limit(WORDS - held))
             break
-        least = step
-    chosen = frozenset(r[0] for r in counted.where(F.col("step") >= least).select("word").collect()) if least is not None else frozenset()
+        held += size
+        chosen = counted.where(F.col("step") >= step)
+    known = frozenset(r[0] for r in chosen.select("word").collect())
     discard(counted)
-    return chosen
+    return known
 
 
 class Model(NamedTuple):
@@ -105,7 +112,7 @@ def _pairs(words: Iterable[str]) -> dict[str, float]:
 class Candidate(NamedTuple):
     start: int
     end: int
-    kind: str  # block, value, prefix, free
+    kind: str  # block, value, prefix, free, login
 
 
 def _blocks(text: str) -> dict[int, int]:
@@ -135,7 +142,7 @@ def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
-FEATURES = ["length", "pair_score", "changes", "entropy", "digits", "upper", "dictionary", "hex", "kind_block", "kind_value", "kind_prefix", "announced", "example", "hashlike", "test_path", "distinct"]
+FEATURES = ["length", "pair_score", "changes", "entropy", "digits", "upper", "dictionary", "hex", "kind_block", "kind_value", "kind_prefix", "kind_login", "announced", "example", "hashlike", "encoded", "set", "uuid", "test_path", "distinct"]
 
 
 def features(text: str, c: Candidate, path: str | None, known: frozenset[str], pairs: dict[str, float]) -> list[float]:
@@ -144,62 +151,80 @@ def features(text: str, c: Candidate, path: str | None, known: frozenset[str], p
     scored = [pairs[p] for p in (low[i : i + 2] for i in range(n - 1)) if p in pairs]
     kinds = [_kind(x) for x in value]
     counts = Counter(value)
-    words = [w for w in _PIECES.findall(low)]
-    covered = sum(max((len(d) for d in (w[i:j] for i in range(len(w)) for j in range(i + 3, len(w) + 1)) if d in known), default=0) for w in words if len(w) < 40)
+    # (longest dictionary word in each piece of a run of letters; long runs are looked at in pieces of 40)
+    words = [w[k : k + 40] for w in _PIECES.findall(low) for k in range(0, len(w), 40)]
+    covered = sum(max((len(d) for d in (w[i:j] for i in range(len(w)) for j in range(i + 3, min(len(w), i + 24) + 1)) if d in known), default=0) for w in words)
     before = text[max(0, c.start - 60) : c.start]
     around = before + " " + text[c.end : c.end + 40]
     return [
-        min(n, 400), sum(scored) / len(scored) if scored else -9.0, sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1),
+        math.log2(n), sum(scored) / len(scored) if scored else -9.0, sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1),
         -sum(k / n * math.log2(k / n) for k in counts.values()), kinds.count(0) / n, kinds.count(2) / n, covered / n,
-        float(all(x in "0123456789abcdef" for x in low)), float(c.kind == "block"), float(c.kind == "value"), float(c.kind == "prefix"),
-        float(bool(_ANNOUNCE.search(before))), float(bool(_EXAMPLE.search(value) or _EXAMPLE.search(around))), float(bool(_HASHLIKE.search(before))),
-        float(bool(_TEST_PATH.search(path or ""))), len(counts) / n,
+        float(all(x in "0123456789abcdef" for x in low)), *(float(c.kind == k) for k in ("block", "value", "prefix", "login")),
+        float(bool(_ANNOUNCE.search(before))), float(bool(_EXAMPLE.search(around) or _EXAMPLE.search(value, 0, 80))), float(bool(_HASHLIKE.search(before))),
+        float(bool(_ENCODED.search(before))), float(bool(_SET.search(before))), float(bool(_UUID.match(value))), float(bool(_TEST_PATH.search(path or ""))), len(counts) / min(n, 64),
     ]
 
 
-def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, int]]:
-    """Generated findings: (text around one candidate, path, 1 for a secret); deterministic."""
+def labelled_findings(n: int = 5000, seed: int = 5) -> list[tuple[str, str, int]]:
+    """Generated findings: (text around one candidate, path, 1 for a secret); deterministic.
+
+    Lengths of random strings, in secrets as in hashes of any kind, encoded data and chains of words, are drawn evenly by
+    magnitude from 12 to 5,000 characters.
+    """
     r = random.Random(seed)
-    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    pick = lambda chars, k: "".join(r.choices(chars, k=k))
     hexa, upper, lower, digit = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
     mixed = upper + lower + digit
     words = [w for w in _COMMON if len(w) > 3]
     syllables = [w[:3] for w in words]
+    size = lambda least=12, most=5000: round(least * (most / least) ** r.random())
     prose = lambda k: " ".join(r.choice(_COMMON) for _ in range(k))
-    names = ["api_key", "token", "password", "secret", "client_secret", "access_key", "auth_token", "passwd"]
+    alphabets = [hexa, hexa.upper(), upper + digit, lower + digit, mixed, mixed, mixed + "+/", mixed + "-_"]
+    key = lambda least=12, most=5000: pick(r.choice(alphabets), size(least, most)) + r.choice(["", "", "", "=", "=="])
+    base = lambda least=20, most=5000: pick(r.choice([mixed, mixed + "+/", mixed + "-_"]), size(least, most)) + r.choice(["", "", "=", "=="])
+    names = ["api_key", "token", "password", "secret", "client_secret", "access_key", "auth_token", "passwd", "API_KEY_PROD", "DB_PASS_MAIN", "SECRET_KEY_BASE", "TOKEN_2", "pass"]
+    neutral = ["foo", "sig", "STRIPE_HOOK", "code", "x1", "SESSION", "hook", "k", "WEBHOOK", "value", "state", "cookie", "dsn"]
+    digests = ["sha256", "sha1", "sha512", "md5", "checksum", "digest", "commit", "etag", "revision", "hash", "integrity", "uuid", "guid"]
     paths, tests = ["src/app.py", "config/prod.yml", "deploy/env", "src0", "web/main.js", "notes"], ["tests/test_auth.py", "docs/example.md", "fixtures/users.json"]
+    put = lambda name, v: r.choice(["{n}={v}", "{n} = \"{v}\"", "{n}: {v}", "\"{n}\": \"{v}\"", "{n}='{v}'", "{n}={v}", "{n} {v}"]).format(n=name, v=v)
+    given = lambda v: r.choice(["{n}={v}", "?{n}={v}", "&{n}={v}", "export {n}={v}", "{n} = \"{v}\"", "{n}='{v}'"]).format(n=r.choice(neutral), v=v)
     assign = lambda v: r.choice(["{n}={v}", "{n} = \"{v}\"", "{n}: {v}", "\"{n}\": \"{v}\"", "{n}='{v}'"]).format(n=r.choice(names), v=v)
+    chain = lambda join, k: join.join(r.choice(words) for _ in range(max(4, k // 6)))
+    login = lambda v: f"{r.choice(['postgres', 'mysql', 'https', 'amqp', 'redis', 'mongodb+srv'])}://{r.choice(['app', 'user', 'admin', 'svc'])}:{v}@{r.choice(words)}.{r.choice(words)}{r.choice(['', ':5432', '/db'])}"
+    placeholders = ["changeme", "your_api_key_here", "xxxxxxxxxxxxxxxx", "${SECRET_TOKEN}", "<password>", "example-token-value", "os.environ", "placeholder_value", "password", "test1234", "%(password)s", "REDACTED"]
     secrets = [
         lambda: "AKIA" + pick(upper + digit, 16),
         lambda: assign("AKIA" + pick(upper + digit, 16)),
         lambda: assign(pick(hexa, r.choice([16, 18, 20, 24, 32, 40, 64]))),
-        lambda: assign(pick(mixed, r.randint(12, 48))),
-        lambda: assign(pick(mixed + "!@#$%^&*", r.randint(10, 24))),
+        lambda: assign(key()), lambda: assign(key()), lambda: assign(key(12, 200)),
+        lambda: assign(pick(mixed + "!@#$%^&*", size(10, 64))),
         lambda: r.choice(["ghp_", "gho_"]) + pick(mixed, 36),
-        lambda: "sk_live_" + pick(mixed, 24),
+        lambda: r.choice(["sk_live_", "sk-", "AIza", "hf_", "npm_", "glpat-"]) + pick(mixed, size(36, 5000)),
         lambda: "xoxb-" + pick(digit, 11) + "-" + pick(mixed, 24),
-        lambda: "AIza" + pick(mixed, 35),
-        lambda: f"eyJ{pick(mixed, 20)}.eyJ{pick(mixed, 40)}.{pick(mixed, 43)}",
-        lambda: "Authorization: Bearer key " + pick(mixed + "+/", r.randint(32, 64)),
-        lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(pick(mixed + "+/", 64) for _ in range(4)) + "\n-----END RSA PRIVATE KEY-----",
+        lambda: f"eyJ{pick(mixed, size(20, 500))}.eyJ{pick(mixed, size(40, 5000))}.{pick(mixed, 43)}",
+        lambda: r.choice(["Authorization: Bearer key ", "bearer key ", "the key ", "login with "]) + base(24), lambda: "Authorization: Bearer " + base(24), lambda: base(24), lambda: base(24),
+        lambda: given(base(20)), lambda: given(base(20)), lambda: given("whsec_" + pick(mixed, size(20, 2000))),
+        lambda: login(pick(r.choice([mixed, hexa, mixed + "!$%^&*"]), size(8, 2000))), lambda: login(pick(mixed, size(8, 40))),
+        lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(pick(mixed + "+/", 64) for _ in range(size(4, 80))) + "\n-----END RSA PRIVATE KEY-----",
     ]
     others = [
-        lambda: f"commit {pick(hexa, 40)}",
-        lambda: f"sha256: {pick(hexa, 64)}",
-        lambda: f"md5 checksum {pick(hexa, 32)}",
+        lambda: put(r.choice(digests), pick(hexa, r.choice([32, 40, 56, 64, 96, 128]))), lambda: put(r.choice(digests), pick(hexa, size(20))),
+        lambda: put(r.choice(digests), r.choice(["sha256-", "sha512-", ""]) + base(40)),
         lambda: f"{pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)}",
-        lambda: assign(r.choice(["changeme", "your_api_key_here", "xxxxxxxxxxxxxxxx", "${SECRET_TOKEN}", "<password>", "example-token-value", "os.environ", "placeholder_value"])),
-        lambda: assign(f"{r.choice(words)}_{r.choice(words)}"),
+        lambda: given(f"{pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)}"),
+        lambda: assign(r.choice(placeholders)), lambda: login(r.choice(placeholders)), lambda: login(r.choice(words)),
+        lambda: assign(f"{r.choice(words)}_{r.choice(words)}"), lambda: assign(chain(r.choice("_-./"), size())),
         lambda: assign(f"get_{r.choice(words)}({r.choice(words)})"),
-        lambda: f"the {r.choice(['password', 'token', 'secret'])}: {r.choice(words)}{r.choice(words)}",
-        lambda: "".join(r.choice(syllables) for _ in range(r.randint(7, 12))) + pick(digit, 1),
-        lambda: "-".join(r.choice(words) for _ in range(4)) + "-" + pick(digit, 4),
+        lambda: f"the {r.choice(['password', 'token', 'secret'])}: {r.choice(words)}{r.choice(words)}", lambda: f"{r.choice(['tokenizer', 'secretary', 'passage_of', 'tokens_per'])}: {r.choice(words)}{r.choice(words)}",
+        lambda: "".join(r.choice(syllables) for _ in range(size(7, 300))) + pick(digit, 1),
+        lambda: chain("-", size(20)) + "-" + pick(digit, 4), lambda: given(chain(r.choice("-_/"), size(20)) + pick(digit, 3)),
         lambda: "/".join(r.choice(words) for _ in range(5)) + "/" + pick(digit, 3),
-        lambda: pick(digit, r.choice([20, 22, 24, 30])),
-        lambda: "data:image/png;base64," + pick(mixed + "+/", 120),
+        lambda: pick(digit, size(20, 2000)), lambda: given(pick(digit, size(20, 200))),
+        lambda: f"data:{r.choice(['image/png', 'font/woff2', 'image/jpeg'])};base64," + base(40), lambda: r.choice(["encoded blob ", "base64: ", "base64 data=", "image "]) + base(40),
         lambda: "integrity sha512-" + pick(mixed + "+/", 86) + "==",
-        lambda: "example: " + assign("AKIA" + "EXAMPLE" * 2 + "KE"),
-        lambda: "_".join(r.choice(words).upper() for _ in range(4)) + "_" + pick(digit, 2),
+        lambda: pick(hexa, size(20, 2000)) + "0", lambda: given(pick(hexa, r.choice([32, 40, 64])) + "0"),
+        lambda: "example: " + assign("AKIA" + "EXAMPLE" * 2 + "KE"), lambda: "example: " + given("0" + base(20, 200)),
+        lambda: "_".join(r.choice(words).upper() for _ in range(size(4, 100))) + "_" + pick(digit, 2),
     ]
     out = []
     while len(out) < n:
@@ -239,10 +264,12 @@ def judge(texts: list, paths: list, model: Model) -> list[list[Finding]]:
 
 
 def redacted(text: str | None, findings: list[Finding]) -> str | None:
-    """The text with each found secret replaced by MARK."""
-    for f in reversed(findings):
-        text = text[: f.start] + MARK + text[f.end :]
-    return text
+    """The text with each found secret replaced by MARK, in one pass."""
+    if not findings:
+        return text
+    ends = [0, *(f.end for f in findings)]
+    starts = [*(f.start for f in findings), len(text)]
+    return MARK.join(text[i:j] for i, j in zip(ends, starts))
 
 
 _FOUND = T.ArrayType(T.StructType([T.StructField("start", T.LongType(), False), T.StructField("end", T.LongType(), False), T.StructField("kind", T.StringType(), False), T.StructField("score", T.DoubleType(), False)]), False)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import json
+import math
 import random
 import re
 import struct
@@ -19,11 +20,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from bookpulse.llm import common, dac, decontaminate, fm_index, pii, q_quality, quality, queries, secrets, simhash, token_counts, toxicity, trie_codec, warc
+from bookpulse.llm import centroids, common, dac, decontaminate, fim, fm_index, jaccard, pii, q_quality, quality, queries, secrets, simhash, token_counts, toxicity, trie_codec, warc
 
 BYTE, WORD = queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "benchmark", "labels")
+TABLES = ("documents", "pages", "benchmark", "labels", "embeddings")
 ODD = [None, "", " ", "a", "A  b\n\n c", "don't I'll 're", "\x1c x", "<|endoftext|> é <|startoftext|>", "日本 😀 ΣΑΣ", "x" * 3000, "one two", "the cat sat " * 60, "#$% ** " * 80, "to be or not " * 20 + "\n" + "line\nline\nline"]
 ALPHABET = "abcdefgh ETAOIN  \n\t'.,!0123é漢🙂Σ"
 
@@ -37,9 +38,18 @@ def odd_dir(spark, tmp_path_factory):
     spark.createDataFrame([(0, "u", None), (1, "u", ""), (2, None, "<p>é</p>"), (3, "u", "<p>é</p>"), (4, "u", "z" * 9000)], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
     spark.createDataFrame([(0, None), (1, ""), (2, "cat sat the"), (3, " ".join(["the cat sat"] * 6)), (None, "a")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     spark.createDataFrame([(3, 1, 0), (4, 1, None), (11, 0, 1), (11, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(i, v, 1, i, "x") for i, v in odd_vectors()], "vec_id long, embedding array<float>, label int, cluster int, norms string").write.parquet(f"{at}/embeddings.parquet")
     return at
 
 
+def odd_vectors():
+    """Vectors that take part, with ties, repeated rows and a null id, and some of each kind that doesn't."""
+    r = random.Random(4)
+    good = [(i, [r.choice([-1.0, -0.5, 0.0, 0.25, 1.0 / 64]) for _ in range(64)]) for i in range(40)]
+    bad = [None, [], [0.5] * 63, [0.5] * 65, [0.5] * 63 + [None], [0.5] * 63 + [float("nan")], [0.5] * 63 + [float("inf")]]
+    return [*good, *good[:5], (None, good[7][1]), (900, [0.0] * 64), (901, [-0.0] * 64), (902, [0.015624] * 64), *((500 + i, v) for i, v in enumerate(bad))]
+
+
 @pytest.fixture(scope="module")
 def empty_dir(spark, odd_dir, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("empty"))
@@ -328,7 +338,9 @@ def test_op5(spark, odd_dir):
 def test_dictionary_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(secrets, "WORDS", 3)
     docs = spark.createDataFrame([(" ".join(w for w, n in (("often", 40), ("mid", 20), ("low", 9), ("tie", 9), ("rare", 2)) if i < n) + " often mid",) for i in range(50)] + [(None,), ("",)], "text string")
-    assert secrets.dictionary(docs) == {"often", "mid"}  # the two of the next step would be one too many
+    assert secrets.dictionary(docs) == {"often", "mid", "low"}  # of the next step's two the first by the alphabet
+    monkeypatch.setattr(secrets, "WORDS", 1)
+    assert secrets.dictionary(docs) == {"mid"}  # both stand in all documents
     monkeypatch.setattr(secrets, "WORDS", 4)
     assert secrets.dictionary(docs) == {"often", "mid", "low", "tie"}
     assert secrets.dictionary(docs.limit(0)) == frozenset()
@@ -676,7 +688,7 @@ def shared_ids_dir(spark, odd_dir, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(queries.QUERIES) if n.startswith("op") and n not in ("op1_token_files", "op3_warc", "op6_toxicity", "op7_simhash_classes")])
+@pytest.mark.parametrize("name", [n for n in sorted(queries.QUERIES) if n.startswith("op") and n not in ("op1_token_files", "op3_warc", "op6_toxicity", "op7_simhash_classes", "op12_centroid_clusters")])
 def test_shared_ids_and_long_texts(spark, shared_ids_dir, name):
     """Every row gets the result of its own text, whatever its id: equal texts equal results, as many rows as there are."""
     got = defaultdict(list)
@@ -811,3 +823,268 @@ def test_near_dedup_of_shared_and_null_ids(spark):
 
 def test_pipeline_of_no_documents(spark, empty_dir):
     assert corpus_pipeline.run(spark, empty_dir).count() == 0
+
+
+MIXED, HEXA = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+#: Ways in which a secret of a given text can stand, and the shortest one that is a candidate there.
+FORMS = {
+    "api_key = {}": 12, 'token = "{}"': 12, "API_KEY_PROD={}": 12, "DB_PASS_MAIN={}": 12, "postgres://app:{}@db.host/x": 12, "sk_live_{}": 16,
+    "foo={}": 20, "https://a.b/c?sig={}": 20, "STRIPE_HOOK=whsec_{}": 16, "bearer key {}": 20, "some {} here": 20,
+}
+
+
+def test_secrets_of_all_forms_and_lengths():
+    r, model = random.Random(99), secrets.train()
+    for form, least in FORMS.items():
+        left = total = 0
+        for n in (12, 16, 20, 24, 32, 40, 64, 80, 100, 120, 150, 200, 300, 700, 1500, 5000):
+            for _ in range(5 if n >= least else 0):
+                value = "".join(r.choices(MIXED, k=n - 1)) + "7"
+                text = f"the value is {form.format(value)} for now"
+                (found,) = secrets.judge([text], ["src0"], model)
+                red = secrets.redacted(text, [f for f in found if f.score >= secrets.THRESHOLD])
+                left, total = left + (value[3:] in red), total + 1
+        assert left <= 0.05 * total, (form, left, total)
+
+
+def test_what_scanners_mistake_for_secrets():
+    r, model = random.Random(98), secrets.train()
+    hexa = lambda n: "".join(r.choices(HEXA, k=n))
+    base = lambda n: "".join(r.choices(MIXED + "+/", k=n))
+    uuid = lambda: "-".join(map(hexa, (8, 4, 4, 4, 12)))
+    for make in (lambda: f"commit {hexa(40)}", lambda: f"sha256: {hexa(64)}", lambda: f"etag={hexa(32)}", lambda: f"id {uuid()}", lambda: f"id={uuid()}", lambda: f"integrity sha512-{base(86)}==", lambda: f"data:image/png;base64,{base(400)}", lambda: f"seen {hexa(64)} there"):
+        wrong = sum(any(f.score >= secrets.THRESHOLD for f in secrets.judge([f"some words {make()} and more"], ["src0"], model)[0]) for _ in range(40))
+        assert wrong <= 2, make()
+
+
+def plain_candidates(t):
+    """Free-standing runs by a walk over the characters: 20 or more of a run, a digit among them, padding only at its end."""
+    key, out, i = set(MIXED + "+/_-"), [], 0
+    while i < len(t):
+        j = i
+        while j < len(t) and t[j] in key:
+            j += 1
+        if j - i >= 20 and any(c in "0123456789" for c in t[i:j]):
+            k = j
+            while k < len(t) and t[k] == "=" and k - j < 2:
+                k += 1
+            if k == len(t) or (t[k] not in key and t[k] != "="):
+                out.append((i, k))
+        i = max(j, i + 1)
+    return out
+
+
+def test_free_candidates_by_brute_force():
+    r = random.Random(21)
+    for _ in range(2000):
+        t = "".join(r.choice(["ab1Z" * 5, "q" * 19, "7", "=", "==", " ", "\n", ".", "é", "-", "/x", "words", ",", "abcdefghijklmnopqrstuvwxyz"]) for _ in range(r.randrange(1, 14)))
+        assert [(c.start, c.end) for c in secrets.candidates(t)] == plain_candidates(t), t
+
+
+def test_redaction_takes_linear_time():
+    text, at, found = "".join(f"word {k:020x}; " for k in range(400_000)), 5, []
+    for _ in range(400_000):
+        found.append(secrets.Finding(at, at + 20, "free", 1.0))
+        at += 27
+    start = time.perf_counter()
+    assert secrets.redacted(text, found) == f"word {secrets.MARK}; " * 400_000 and len(text) > 10_000_000
+    assert time.perf_counter() - start < 5
+
+
+# ---- fill in the middle -----------------------------------------------------------------------------------------
+
+
+def middle_filled(i, t):
+    units = re.findall("[A-Za-z]+|[^A-Za-z]", t)
+    h = hashlib.sha256(f"1:{'' if i is None else i}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[k : k + 8], 16) for k in (0, 8, 16, 24))
+    a, b = sorted((h1 % (len(units) + 1), h2 % (len(units) + 1)))
+    prefix, middle, suffix = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+    if not t or any(m in t for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return len(units), "plain", None, None, t
+    if h4 % 100 < 20:
+        return len(units), "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return len(units), "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}"
+
+
+def test_op11(spark, odd_dir, shared_ids_dir):
+    for d in (SF, odd_dir, shared_ids_dir):
+        want = []
+        for i, t in read(d, "documents", "doc_id, text"):
+            *head, out = middle_filled(i, t or "")
+            want.append((i, *head, hashlib.sha256(out.encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+        got = [tuple(r) for r in queries.op11_fill_in_middle(spark, d).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        assert d != SF or {r[2] for r in got} == {"plain", "psm", "spm"}
+
+
+def test_cuts_of_class_runs():
+    r = random.Random(11)
+    for _ in range(300):
+        t = "".join(r.choice(["ab", "Z", " ", "  ", "\n", "é", "漢字", "😀", "9", "-", "ſ", "K"]) for _ in range(r.randrange(30)))
+        units = re.findall("[A-Za-z]+|[^A-Za-z]", t)
+        found = fim.runs(t)
+        assert [found.cut(k) for k in range(len(units) + 1)] == [len("".join(units[:k])) for k in range(len(units) + 1)]
+
+
+def test_sentinels(spark):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(["one two  three", "<", "<S", "a<P", "S>b", "has <M> in it", "", None] * 20)], "doc_id long, text string, fim_form string")
+    marks = ("<|pre|>", "<|suf|>", "<|mid|>")
+    for sentinels in (fim.SENTINELS, marks):
+        made = fim.transform(docs, sentinels=sentinels, plain=0, spm=50)
+        assert made.columns == ["doc_id", "text", *fim._NEW.fieldNames()]
+        rows = made.withColumn("again", fim.restore(sentinels=sentinels)).collect()
+        assert all(r.again == (r.text or "") for r in rows) and {r.fim_form for r in rows} == {"plain", "psm", "spm"}
+        assert all((r.fim_form == "plain") == (not r.text or (sentinels == fim.SENTINELS and "<M>" in r.text)) for r in rows)
+    for wrong in (("<P>", "<P>", "<M>"), ("", "a", "b"), ("aba", "x", "y"), ("ab", "bc", "x"), ("abc", "b", "x")):
+        with pytest.raises(ValueError):
+            fim.transform(docs, sentinels=wrong)
+
+
+# ---- centroids --------------------------------------------------------------------------------------------------
+
+
+def clustered(rows, count=16, rounds=3):
+    x = [(i, [math.floor(64 * c) for c in v]) for i, v in rows if v is not None and len(v) == 64 and all(c is not None and math.isfinite(c) for c in v)]
+    order = sorted(x, key=lambda r: (r[0] is None, hashlib.sha256(f"1:{r[0]}".encode()).hexdigest(), r[1]))
+    centres = [v for _, v in order[:count]]
+
+    def near(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c)), k) for k, c in enumerate(centres))
+
+    for _ in range(rounds):
+        of = defaultdict(list)
+        for _, v in x:
+            of[near(v)[1]].append(v)
+        centres = [[sum(c) // len(of[k]) for c in zip(*of[k])] if of[k] else old for k, old in enumerate(centres)]
+    found = [(i, *near(v)[::-1]) for i, v in x]
+    inertia = Counter()
+    for _, k, d in found:
+        inertia[k] += d
+    return [(i, k, d, inertia[k], sum(inertia.values()), hashlib.sha256(",".join(map(str, centres[k])).encode()).hexdigest()) for i, k, d in found]
+
+
+def test_op12(spark, odd_dir):
+    for d in (SF, odd_dir):
+        got = sorted((tuple(r) for r in queries.op12_centroid_clusters(spark, d).collect()), key=str)
+        assert got == sorted(clustered(read(d, "embeddings", "vec_id, embedding")), key=str)
+
+
+def test_fewer_vectors_than_centroids(spark):
+    rows = [(1, [0.5] * 64), (2, [0.5] * 64), (3, [-0.25] * 64)]
+    got = centroids.cluster(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).drop("n_exact").collect()
+    assert sorted(map(tuple, got)) == sorted(clustered(rows))
+    with pytest.raises(Exception, match="too large a component in vector 4"):
+        centroids.cluster(spark.createDataFrame([(4, [1e7] * 64)], "vec_id long, embedding array<double>")).collect()
+
+
+def test_screening_keeps_the_nearest():
+    """Bounds never cut a nearest centroid, whatever the size of components; on clusters they spare most distances."""
+    r = np.random.default_rng(12)
+    for scale in (1, 30, centroids.LARGEST):
+        x, c = (r.integers(-scale, scale + 1, (n, 64)) for n in (500, 40))
+        c[7], c[9], x[:40] = c[3], -c[5], c
+        label, best, _ = centroids.nearest(x, centroids.norms(x), c)
+        exact = np.array([[sum((int(a) - int(b)) ** 2 for a, b in zip(v, w)) for w in c] for v in x], dtype=object)
+        assert best.tolist() == exact.min(1).tolist() and label.tolist() == [row.tolist().index(min(row)) for row in exact]
+    centres = r.integers(-3, 4, (16, 8)).repeat(8, axis=1) * 40
+    x = centres[r.integers(0, 16, 2000)] + r.integers(-5, 6, (2000, 64))
+    assert centroids.nearest(x, centroids.norms(x), centres)[2].mean() < 8
+
+
+# ---- Jaccard ----------------------------------------------------------------------------------------------------
+
+
+def shingle_set(t):
+    w = re.findall(r"[^ \t-\r]+", lower(t or ""))
+    return frozenset(tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))) if w else frozenset()
+
+
+def jaccard_components(rows):
+    """Each two sets compared."""
+    sets = sorted({shingle_set(t) for _, t in rows} - {frozenset()}, key=len)
+    root = {s: s for s in sets}
+
+    def find(s):
+        while root[s] != s:
+            s = root[s]
+        return s
+
+    for a, s in enumerate(sets):
+        for t in sets[a + 1 :]:
+            if 90 * len(t) > 100 * len(s):
+                break
+            if 100 * (shared := len(s & t)) >= 90 * (len(s) + len(t) - shared):
+                root[find(s)] = find(t)
+    least = {}
+    for i, t in rows:
+        if (s := shingle_set(t)) and i is not None:
+            least[find(s)] = min(i, least.get(find(s), i))
+    return Counter((i, len(s), least.get(find(s)) if s else i) for i, t in rows for s in [shingle_set(t)])
+
+
+def near_copies(n, seed):
+    """Copies of a few texts with words changed, in chains and around a centre, and texts that share a passage only."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    passage, out = [word() for _ in range(40)], []
+    for size in (3, 20, 60, 200):
+        base = [word() for _ in range(size)]
+        chain = list(base)
+        for _ in range(n):
+            one = list(base)
+            for _ in range(r.randrange(1 + size // 25)):
+                one[r.randrange(size)] = word()
+            chain[r.randrange(size)] = word()
+            out += [" ".join(one), " ".join(chain), " ".join([*passage, *(word() for _ in range(size // 4))])]
+    out += ["Ab  c", "ab c\t", "c ab", "x", "X", "", None, " \n"]
+    r.shuffle(out)
+    return list(enumerate(out))
+
+
+def test_op13(spark, odd_dir, shared_ids_dir):
+    for d in (SF, odd_dir, shared_ids_dir):
+        assert Counter(map(tuple, queries.op13_jaccard_classes(spark, d).collect())) == jaccard_components(read(d, "documents", "doc_id, text"))
+
+
+@pytest.mark.parametrize("patched", [{}, {"LIST": 7}, {"HOT": 2, "HOT_TIMES": 0}])
+def test_near_copies(spark, monkeypatch, patched):
+    """With long lists dealt in chunks, and with hot lists dealt when they are gathered."""
+    for name, value in patched.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = near_copies(25, 3)
+    docs = spark.createDataFrame([(i, t, b"x") for i, t in rows], "doc_id long, text string, node binary").repartition(5)
+    want = jaccard_components(rows)
+    assert Counter(map(tuple, jaccard.classes(docs).collect())) == want
+    assert len({c for _, _, c in want}) < 0.8 * len(rows)
+
+
+def test_filters_keep_all_links():
+    """At the first n-gram that two linked sets share, every filter lets them pass."""
+    rank = np.random.default_rng(5).integers(0, 200, 1 << 12).astype(np.uint8)
+    sets = [s for s in jaccard.gram_sets([t for _, t in near_copies(12, 9)]) if len(s)]
+    passed = linked = 0
+    for a, s in enumerate(sets):
+        for t in sets[:a]:
+            shared = len(np.intersect1d(s, t))
+            if 100 * shared < 90 * (len(s) + len(t) - shared):
+                continue
+            linked += 1
+            first, second = (jaccard.ordered(x, rank)[: jaccard.prefix_length(len(x))] for x in (s, t))
+            i, j = next((i, list(second).index(g)) for i, g in enumerate(first) if g in second)
+            counts = lambda x, k: np.bincount(((jaccard.ordered(x, rank)[k + 1 :] >> np.uint64(32)) % np.uint64(jaccard.PARTS)).astype(int), minlength=jaccard.PARTS).astype(np.uint8)
+            passed += bool(jaccard.may_link(np.array([len(s)]), np.array([i]), counts(s, i)[None], len(t), j, counts(t, j))[0])
+    assert linked > 200 and passed == linked
+
+
+def test_word_hashes(monkeypatch):
+    """Hashes of words don't depend on where they stand, nor on how sums are cut; long words have theirs."""
+    monkeypatch.setattr(jaccard, "CHUNK", 64)
+    r = random.Random(6)
+    words = ["".join(r.choice("abé漢") for _ in range(r.choice([1, 2, 3, 9, 63, 64, 65, 200]))) for _ in range(400)]
+    data = " \n".join(words).encode()
+    h, _ = jaccard.word_hashes(np.frombuffer(data, np.uint8))
+    of = {}
+    for w, x in zip(words, h.tolist()):
+        assert of.setdefault(w, x) == x == jaccard.word_hashes(np.frombuffer(w.encode(), np.uint8))[0][0]
+    assert len(set(of.values())) == len(of)
