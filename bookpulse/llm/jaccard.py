@@ -12,15 +12,16 @@ pair goes on only if
 
 A pair that isn't at its first shared n-gram may be dropped there: it is kept at the first. What is left is verified
 once on the whole sets. Only components are asked for, so a list doesn't give all its pairs. First each node is paired
-with the list's first nodes by position; the links found join nodes to components, and a list of one
-component is done. In the others, pairs of different components are filtered and verified. A list longer than ``LIST``
+with the list's first nodes by position; of its pairs that pass, a node's nearest by what is known is verified. The
+links found join nodes to components. Of all other pairs, those of the lists included, only such of different components
+are verified. A list longer than ``LIST``
 is dealt in chunks, each two of which meet in a task. Short lists give all their pairs at once.
 
 The order is by counts over all texts in ``2 ** BITS`` hashed buckets, a table of bounded size that is sent to all tasks
 as one byte a bucket (a logarithm); equal counts go by hash. Any order common to all gives the same links: collisions of
 buckets cost time only. Lists of n-grams that are much more frequent than most are dealt over several tasks when they are
-gathered. Texts are read four times (counts, lists, tallies of nodes that share a list, sets of nodes that may link); nothing of
-their size is written.
+gathered. Texts are read five times (counts, lists, tallies of nodes that share a list, twice the sets of nodes that may link);
+nothing of their size is written.
 
 Null texts and texts without words have an empty set and link with nothing, whatever their number. A null doc_id takes
 part; the smallest doc_id of a component is the smallest that isn't null.
@@ -47,6 +48,8 @@ PARTS = 64
 #: A list of one node more than HUBS gives all its pairs at once; of a longer one all are paired with LARGE_HUBS nodes
 #: first. Nodes of a list that one task compares.
 HUBS, LARGE_HUBS, LIST = 4, 2, 4096
+#: Nodes that a hub is compared with in one task.
+GROUP = 2048
 #: A list is dealt over tasks from so many n-grams of its bucket on, and so many times the mean.
 HOT, HOT_TIMES = 4096, 16
 #: Nodes that a task remembers, so that it gives copies once.
@@ -298,7 +301,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _of_nodes(docs: DataFrame, wanted, schema: str, make_row: Callable) -> DataFrame:
-    """node and what ``make_row(set)`` gives, of nodes in the wanted buckets (of a few others as well), each once."""
+    """node and what ``make_row(set)`` gives, of nodes in the wanted buckets (of a few others as well), each once a task."""
 
     def make():
         seen = set()
@@ -315,8 +318,7 @@ def _of_nodes(docs: DataFrame, wanted, schema: str, make_row: Callable) -> DataF
         return f
 
     names = ["node", schema]
-    of = f"node binary, {schema} binary"
-    return _each(docs.select("text"), of, make).repartition("node").sortWithinPartitions("node").mapInArrow(_once, of)
+    return _each(docs.select("text"), f"node binary, {schema} binary", make)
 
 
 def tallies(docs: DataFrame, rank, wanted) -> DataFrame:
@@ -327,7 +329,8 @@ def tallies(docs: DataFrame, rank, wanted) -> DataFrame:
         first = ordered(found, rank.value)[: prefix_length(len(found))]
         return np.bincount(part, minlength=PARTS).astype("<u4").tobytes() + ((first >> np.uint64(32)) % np.uint64(PARTS)).astype(np.uint8).tobytes()
 
-    return _of_nodes(docs, wanted, "tally", row)
+    of = "node binary, tally binary"
+    return _of_nodes(docs, wanted, "tally", row).repartition("node").sortWithinPartitions("node").mapInArrow(_once, of)
 
 
 def whole_sets(docs: DataFrame, wanted) -> DataFrame:
@@ -371,15 +374,18 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], names=["g", "node", "pos", "suffix"])
 
 
-def may_link(n: np.ndarray, pos: np.ndarray, suffix: np.ndarray, m: int, at: int, other: np.ndarray) -> np.ndarray:
-    """Whether sets of sizes n, with positions and suffix counts in a list, pass the filters against one of size m."""
+def may_link(n: np.ndarray, pos: np.ndarray, suffix: np.ndarray, m: int, at: int, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sets of sizes n, with positions and suffix counts in a list, pass the filters against one of size m.
+
+    And, of those that do, the differences that are known of.
+    """
     small, total = np.minimum(n, m), n + m
     least = -(-SHARE * total // (SHARE + WHOLE))  # shared n-grams that the threshold takes
     ok = (WHOLE * small >= SHARE * np.maximum(n, m)) & (1 + np.minimum(n - pos - 1, m - at - 1) >= least)
-    if ok.any():
-        apart = np.abs(suffix[ok].astype(np.int16) - other.astype(np.int16)).sum(1, dtype=np.int64)
-        ok[ok] = pos[ok] + at + apart <= total[ok] - 2 * least[ok]
-    return ok
+    known = pos[ok] + at + np.abs(suffix[ok].astype(np.int16) - other.astype(np.int16)).sum(1, dtype=np.int64)
+    fits = known <= total[ok] - 2 * least[ok]
+    ok[ok] = fits
+    return ok, known[fits]
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -391,42 +397,47 @@ def _columns(b: pa.RecordBatch) -> tuple:
     return b.column(0).to_numpy(), keys, _sizes(keys), b.column(2).to_numpy().astype(np.int64), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, PARTS)
 
 
-_MEMBER = "g long, node binary, pos int, suffix binary, a binary, b binary"
+_MEMBER = "g long, node binary, pos int, suffix binary, a binary, b binary, known int"
 
 
 def _with_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by g and pos: all pairs of a list of HUBS + 1 rows, and of a longer one its rows and those with few hubs.
 
-    Pairs have a and b, rows of longer lists the columns they came with. Only the hubs are held.
+    Pairs have a, b and the differences known of, rows of longer lists the columns they came with. Only the hubs are held.
     """
     key, hubs, seen = None, [], 0
 
     def rows(g, keys, pos, suffix) -> pa.RecordBatch:
         n = len(g)
-        return pa.RecordBatch.from_arrays([pa.array(g), _fixed(keys), pa.array(pos.astype(np.int32)), pa.array([x.tobytes() for x in suffix], pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(g), _fixed(keys), pa.array(pos.astype(np.int32)), pa.array([x.tobytes() for x in suffix], pa.binary()), *(pa.nulls(n, k) for k in (pa.binary(), pa.binary(), pa.int32()))], names=names)
 
-    names = ["g", "node", "pos", "suffix", "a", "b"]
+    names = ["g", "node", "pos", "suffix", "a", "b", "known"]
     for b in batches:
         if not b.num_rows:
             continue
         g, keys, n, pos, suffix = _columns(b)
         cuts = np.flatnonzero(np.diff(g)) + 1
-        left, right, large = [], [], np.zeros(len(g), bool)
+        left, right, known, large = [], [], [], np.zeros(len(g), bool)
+
+        def meet(hub: tuple, i: int, j: int) -> None:
+            own, m, at, other = hub
+            ok, apart = may_link(n[i:j], pos[i:j], suffix[i:j], m, at, other)
+            if len(apart):
+                left.append(np.broadcast_to(own, (len(apart), 16)))
+                right.append(keys[i:j][ok])
+                known.append(apart)
+
         for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(g)]):
             if key is None or g[i] != key:
                 key, hubs, seen = g[i], [], 0
             for k in range(i, min(j, i + HUBS + 1 - seen)):  # the first rows: each with those before it
-                for own, m, at, other in hubs:
-                    if may_link(n[k : k + 1], pos[k : k + 1], suffix[k : k + 1], m, at, other)[0]:
-                        left.append(own)
-                        right.append(keys[k : k + 1])
+                for hub in hubs:
+                    meet(hub, k, k + 1)
                 hubs.append((keys[k], int(n[k]), int(pos[k]), suffix[k]))
             start = max(i, i + HUBS + 1 - seen)
             if start < j:
-                for own, m, at, other in hubs[:LARGE_HUBS]:
-                    ok = may_link(n[start:j], pos[start:j], suffix[start:j], m, at, other)
-                    left += [own] * int(ok.sum())
-                    right.append(keys[start:j][ok])
+                for hub in hubs[:LARGE_HUBS]:
+                    meet(hub, start, j)
                 large[start:j] = True
                 if seen <= HUBS + 1:  # (the first time)
                     yield rows(np.full(len(hubs), key), np.stack([h[0] for h in hubs]), np.array([h[2] for h in hubs]), [h[3] for h in hubs])
@@ -434,8 +445,8 @@ def _with_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if large.any():
             yield rows(g[large], keys[large], pos[large], suffix[large])
         if left:
-            found = [_fixed(np.stack(left)), _fixed(np.concatenate(right))]
-            k = len(left)
+            found = [_fixed(np.concatenate(left)), _fixed(np.concatenate(right)), pa.array(np.concatenate(known).astype(np.int32))]
+            k = len(found[2])
             yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), *found], names=names)
 
 
@@ -449,7 +460,7 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok = (root[rest] != root[i]).any(1)
             if low[i] != high[i]:
                 ok &= chunk[rest] != chunk[i]
-            ok[ok] = may_link(n[rest][ok], pos[rest][ok], suffix[rest][ok], int(n[i]), int(pos[i]), suffix[i])
+            ok[ok] = may_link(n[rest][ok], pos[rest][ok], suffix[rest][ok], int(n[i]), int(pos[i]), suffix[i])[0]
             if ok.any():
                 yield _pairs(np.broadcast_to(keys[i], (int(ok.sum()), 16)), keys[rest][ok])
 
@@ -475,25 +486,43 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PAIR = "a binary, b binary"
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole sets reach the threshold."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("grams").alias(f"{x}_grams"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column(2), b.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                p, q = (p, q) if len(p) <= len(q) else (q, p)
-                shared = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                good.append(WHOLE * shared >= SHARE * (len(p) + len(q) - shared))
-            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], names=["a", "b"])
-
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_grams", "b_grams").mapInArrow(run, _PAIR)
-
-
-def _distinct(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that reach the threshold, of rows (hub, share, member, node, grams) sorted so: a hub's set, then those to compare it with."""
+    key = node_before = hub = None
+    for b in batches:
+        left, right = [], []
+        for h, share, member, k, grams_of in zip(*(b.column(c).to_pylist() for c in range(4)), b.column(4)):
+            if (h, share) != key:
+                key, node_before, hub = (h, share), None, None
+            if (member, k) == node_before:
+                continue  # the same set from another task
+            node_before, own = (member, k), np.frombuffer(grams_of.as_buffer(), np.uint64)
+            if not member:
+                hub = own.copy()
+                continue
+            p, q = (own, hub) if len(own) <= len(hub) else (hub, own)
+            shared = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+            if WHOLE * shared >= SHARE * (len(p) + len(q) - shared):
+                left.append(h)
+                right.append(k)
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """a and b of the pairs (hub, node) whose whole sets reach the threshold; each pair has to be there once.
+
+    Sets are made from the texts again, those of the pairs' nodes only, and sent to their hubs: a set goes once for each
+    of its hubs, a hub's own once for each GROUP nodes it is compared with.
+    """
+    shares = pairs.groupBy("hub").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("shares"))
+    member = pairs.join(shares, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), "shares").cast("int").alias("share"), F.lit(True).alias("member"))
+    own = shares.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(False).alias("member"))
+    sent = materialize(member.unionByName(own))
+    sets = whole_sets(docs, node_buckets(sent))
+    met = sets.join(sent, "node").select("hub", "share", "member", "node", "grams").repartition("hub", "share").sortWithinPartitions("hub", "share", "member", "node")
+    found = materialize(met.mapInArrow(_compared, _PAIR))
+    discard(sent)
+    return found
 
 
 def linked(docs: DataFrame, rank) -> DataFrame | None:
@@ -503,32 +532,38 @@ def linked(docs: DataFrame, rank) -> DataFrame | None:
     if not met.value.any():
         discard(lists)
         return None
-    noted = tallies(docs, rank, met)
-    placed = lists.join(noted, "node").select("g", "node", "pos", "tally").mapInArrow(_suffixes, "g long, node binary, pos int, suffix binary")
+    placed = lists.join(tallies(docs, rank, met), "node").select("g", "node", "pos", "tally").mapInArrow(_suffixes, "g long, node binary, pos int, suffix binary")
     starred = materialize(placed.repartition("g").sortWithinPartitions("g", "pos", "node").mapInArrow(_with_hubs, _MEMBER))
     discard(lists)
     large = starred.where("g is not null").select("g", "node", "pos", "suffix")
-    pairs = materialize(_distinct(starred.where("g is null")))
-    need = node_buckets(large.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
-    sets = materialize(whole_sets(docs, need))
-    roots = components(verified(pairs, sets))
-
-    # Long lists of several components: their pairs across components that haven't been verified.
-    label = materialize(large.join(roots.select(F.col("u").alias("node"), "v"), "node", "left").withColumn("root", F.coalesce("v", "node")).drop("v"))
-    discard(starred)
+    pairs = materialize(starred.where("g is null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("known").alias("known")))
+
+    # Each node with the one that it may differ least from.
+    either = pairs.select("a", "b", "known").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "known"))
+    nearest = either.groupBy(F.col("a").alias("node")).agg(F.min_by("b", F.struct("known", "b")).alias("hub"))
+    first = materialize(nearest.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.max("hub").alias("hub")).select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node"), "a", "b"))
+    links = verified(first.select("hub", "node"), docs)
+    roots = components(links)
+
+    # All other pairs that passed the filters, of two components; and such pairs of long lists of several components.
+    root_of = lambda node, into: roots.select(F.col("u").alias(node), F.col("v").alias(into))
+    others = pairs.join(first.select("a", "b"), ["a", "b"], "left_anti").join(root_of("a", "x"), "a", "left").join(root_of("b", "y"), "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b"))
+    label = materialize(large.join(root_of("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")))
     apart = label.groupBy("g").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g", F.ceil(F.col("n") / LIST).cast("int").alias("chunks"))
     dealt = label.join(apart, "g").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
     # A chunk meets each chunk, itself included, in one place.
     dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("g", "node", "pos", "suffix", "root", "chunk", F.least("chunk", "k").alias("low"), F.greatest("chunk", "k").alias("high"))
     cross = dealt.repartition("g", "low", "high").sortWithinPartitions("g", "low", "high").mapInArrow(_between, _PAIR)
-    # (written before the sets are joined, so that Spark knows how few they are)
-    rest = materialize(_distinct(cross).join(pairs, ["a", "b"], "left_anti"))
-    more = materialize(verified(rest, sets))
+    ends = [F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("node")]
+    # (verified once each: pairs of the first round are left out)
+    rest = materialize(cross.select(*ends).unionByName(others.select(*ends)).distinct().join(first.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti"))
+    discard(starred, label)
     found = roots
-    if not more.isEmpty():
+    if not rest.isEmpty():
+        more = verified(rest, docs)
         found = components(roots.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
-        discard(roots)
-    discard(label, pairs, rest, more, sets)
+        discard(roots, more)
+    discard(pairs, first, links, rest)
     return found
 
 

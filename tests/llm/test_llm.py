@@ -1047,7 +1047,7 @@ def test_op13(spark, odd_dir, shared_ids_dir):
         assert Counter(map(tuple, queries.op13_jaccard_classes(spark, d).collect())) == jaccard_components(read(d, "documents", "doc_id, text"))
 
 
-@pytest.mark.parametrize("patched", [{}, {"LIST": 7}, {"HOT": 2, "HOT_TIMES": 0}])
+@pytest.mark.parametrize("patched", [{}, {"LIST": 7, "GROUP": 3}, {"HOT": 2, "HOT_TIMES": 0}])
 def test_near_copies(spark, monkeypatch, patched):
     """With long lists dealt in chunks, and with hot lists dealt when they are gathered."""
     for name, value in patched.items():
@@ -1073,7 +1073,7 @@ def test_filters_keep_all_links():
             first, second = (jaccard.ordered(x, rank)[: jaccard.prefix_length(len(x))] for x in (s, t))
             i, j = next((i, list(second).index(g)) for i, g in enumerate(first) if g in second)
             counts = lambda x, k: np.bincount(((jaccard.ordered(x, rank)[k + 1 :] >> np.uint64(32)) % np.uint64(jaccard.PARTS)).astype(int), minlength=jaccard.PARTS).astype(np.uint8)
-            passed += bool(jaccard.may_link(np.array([len(s)]), np.array([i]), counts(s, i)[None], len(t), j, counts(t, j))[0])
+            passed += bool(jaccard.may_link(np.array([len(s)]), np.array([i]), counts(s, i)[None], len(t), j, counts(t, j))[0][0])
     assert linked > 200 and passed == linked
 
 
