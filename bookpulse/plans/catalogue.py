@@ -289,8 +289,9 @@ def month_slice(s, d):
 
 
 def factor_family(s, d):
-    names = s.createDataFrame([(f,) for f in FACTORS], "factor string")
-    return names.select("factor", X.family(F.col("factor")).alias("family"))
+    """The family of each factor of the panel, and how many values it has there."""
+    found = D.coverage(_panel(s, d), FACTORS, LABELS).where("column_type = 'factor'")
+    return found.select(F.col("column").alias("factor"), X.family(F.col("column")).alias("family"), "non_null_rows")
 
 
 _stores: dict[tuple, str] = {}

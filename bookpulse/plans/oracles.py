@@ -280,7 +280,7 @@ _FINAL = {
     "fig_monotonicity": f"SELECT factor, group_id, mean_ret * 10000 AS mean_ret_bps FROM gsum WHERE label = 'fwd_ret_{min(HORIZONS)}ms'",
     "zfill_symbol": "SELECT o_orderkey, CASE WHEN length(CAST(o_orderkey * 7 AS VARCHAR)) < 6 THEN lpad(CAST(o_orderkey * 7 AS VARCHAR), 6, '0') ELSE CAST(o_orderkey * 7 AS VARCHAR) END AS symbol FROM orders",
     "month_slice": "SELECT substr(CAST(trading_day AS VARCHAR), 1, 6) AS month, count(*) AS rows FROM snap GROUP BY 1",
-    "factor_family": "SELECT f AS factor, " + _FAM("f") + " AS family FROM (VALUES " + ", ".join(f"('{f}')" for f in FACTORS) + ") q(f)",
+    "factor_family": " UNION ALL ".join(f"SELECT '{f}' AS factor, " + _FAM(f"'{f}'") + f" AS family, count({f}) AS non_null_rows FROM panel" for f in FACTORS),
     "lineitem_rank_ic": "SELECT * FROM (" + _raw("(" + _long("(SELECT CAST(strftime(l_shipdate, '%Y%m') AS INTEGER) AS ship_month, * FROM lineitem)", [(f, "l_extendedprice") for f in ("l_quantity", "l_discount", "l_tax")], "factor", "label", "ship_month") + ")", "ship_month, factor, label") + ")",
 }
 
@@ -350,14 +350,21 @@ _FINAL |= {
     "ingest_snapshot": _ingest_snapshot(),
     "ingest_order": _INGEST_ORDER,
     "ingest_trade": _INGEST_TRADE,
-    "csv_discovery": _rows("what, files", ("folders", 0), ("after_one", 1), ("after_two", 2)),
-    "ingest_jobs": _rows(
-        "plan, place, dataset, month, source, target",
-        ("chosen", 0, "order", "202512", "raw/o12", "out/order/month=202512"), ("chosen", 1, "order", "202511", "raw/o11", "out/order/month=202511"),
-        ("all", 0, "trade", "202511", "raw/t11", "out/trade/month=202511"), ("all", 1, "order", "202511", "raw/o11", "out/order/month=202511"),
-        ("all", 2, "trade", "202512", "raw/t12", "out/trade/month=202512"), ("all", 3, "order", "202512", "raw/o12", "out/order/month=202512"),
-    ),
-    "idempotent_stage": _rows("step, built", (0, 1), (1, 1), (2, 2), (3, 3), (4, 3)),
+    "csv_discovery": "SELECT side, files, (SELECT count(*) FROM trade JOIN (VALUES (0, 1), (1, 2), (-11, 3)) k(side, place) USING (side) WHERE place <= files) AS rows FROM (VALUES (0, 1), (1, 2), (-11, 3)) q(side, files)",
+    "ingest_jobs": "SELECT * FROM (WITH m AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT strftime(o_orderdate, '%Y%m') AS month FROM orders)),"
+    " j AS (SELECT 'all' AS plan, 2 * k + p AS place, dataset, month FROM m, (VALUES (0, 'trade'), (1, 'order')) q(p, dataset) UNION ALL SELECT 'chosen', n - 1 - k, 'order', month FROM m WHERE k >= n - 2)"
+    " SELECT plan, CAST(place AS INTEGER) AS place, dataset, month, 'raw/' || dataset || '/' || month AS source, 'out/' || dataset || '/month=' || month AS target FROM j)",
+    "idempotent_stage": "SELECT place, step, built, count(*) AS rows, count(DISTINCT event_type) AS types FROM events JOIN (VALUES (0, 'first', 1, 2, 2), (1, 'again', 1, 2, 2), (2, 'other parameter', 2, 3, 2), (3, 'more input', 3, 3, 1),"
+    " (4, 'failing', 4, 3, 1), (5, 'again', 4, 3, 1), (6, 'forced', 5, 3, 1)) q(place, step, built, k, half) ON event_id % k = 0 AND event_id % half = 0 GROUP BY ALL",
+    **{
+        f"{name}_file_checks": f"SELECT trading_day, CASE WHEN trading_day = (SELECT min(trading_day) FROM {table}) THEN 'missing columns: {missing}' ELSE 'not numeric: {text}' END AS problem, count(*) AS rows, 1 AS files"
+        f" FROM {table} WHERE trading_day IN (SELECT unnest([min(trading_day), max(trading_day)]) FROM {table}) GROUP BY ALL"
+        for name, table, missing, text in (
+            ("snapshot", "snap", "ask_volume_1", "bid_price_2"), ("trade", "trade", "volume", "price"), ("panel", "panel", LABELS[0], FACTORS[0]),
+            ("series", "(SELECT DISTINCT trading_day, event_time FROM auction)", f"rank_ic__{PAIRS[0][0]}__{PAIRS[0][1]}", f"n_obs__{FACTORS[1]}__{LABELS[1]}"),
+        )
+    },
+    "drifted_columns": "SELECT side, 'price' AS \"column\", 'string' AS type, 'double' AS usual, count(*) AS rows FROM trade WHERE side = 1 GROUP BY ALL",
     "read_many_files": "SELECT source_month, count(*) AS rows FROM snap GROUP BY 1",
     "unpaired_trades": "SELECT DISTINCT symbol, source_month FROM snap WHERE symbol <= '000002'",
     "schema_checks": _rows("item, \"case\", said", *_SCHEMA_CHECKS),

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookpulse.functions import stats as S
+from bookpulse.operators import evaluate as E
 from bookpulse.operators import factors as B
 from bookpulse.operators import schema
 from bookpulse.plans import catalogue, stages
 from bookpulse.plans.catalogue import FACTORS, HORIZONS, KEY, LABELS, WINDOW_MS
-from bookpulse.sources import events, ingest
+from bookpulse.sources import events, files, ingest
 from bookpulse.sources.tables import exists, read_many, shared_dir, stage, version
 
 MONTH = "202401"
@@ -60,12 +61,14 @@ _RAW: dict[str, Callable] = {"snapshot": _raw_snapshots, "order": _raw_orders, "
 
 
 def _ingested(dataset: str) -> Callable[[SparkSession, str], DataFrame]:
-    """Files are written with their columns turned round, planned, discovered, typed and stored."""
+    """Files of two header orders in one folder are planned, discovered, typed and stored."""
 
     def query(s: SparkSession, d: str) -> DataFrame:
         root = shared_dir(s)
         raw = _RAW[dataset](s, d)
-        raw.select(*[F.col(c).cast("string") for c in raw.columns[::-1]]).write.option("header", "true").csv(f"{root}/raw/{dataset}")
+        order = {0: raw.columns[::-1], 1: raw.columns}  # half of the files have their columns turned round
+        for k, columns in order.items():
+            raw.where(F.pmod(F.col("SecuCode"), F.lit(2)) == k).select(*[F.col(c).cast("string") for c in columns]).write.mode("append").option("header", "true").csv(f"{root}/raw/{dataset}")
         (target,) = ingest.run(s, ingest.plan({MONTH: {dataset: f"{root}/raw/{dataset}"}}, f"{root}/typed"))
         return s.read.parquet(target)
 
@@ -73,40 +76,105 @@ def _ingested(dataset: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def csv_discovery(s, d):
-    """Names of the CSV files of a folder that holds other files and folders as well."""
-    root = shared_dir(s)
-    one = s.createDataFrame([("1",)], "a string").coalesce(1)
-    one.write.csv(f"{root}/b.csv")  # a folder
-    found = []
-    for name in ("x", "y"):
+    """Trades of one side after the other are written to a folder that holds other files and folders as well: after each, the CSV files found there and their rows."""
+    root, trades = shared_dir(s), events.trades(s, d).select("deal_id", "side")
+    rows = []
+    for side in (0, 1, -11):
+        one = trades.where(F.col("side") == side).coalesce(1)
         one.write.mode("append").option("header", "true").csv(f"{root}/in")
-        found.append(len(ingest.csv_files(s, f"{root}/in")))
-    return s.createDataFrame([("folders", len(ingest.csv_files(s, root))), ("after_one", found[0]), ("after_two", found[1])], "what string, files int")
+        one.write.mode("append").json(f"{root}/in")
+        one.write.mode("append").csv(f"{root}/in/below.csv")
+        found = ingest.csv_files(s, f"{root}/in")
+        rows.append((side, len(found), s.read.option("header", "true").csv(found).count()))
+    return s.createDataFrame(rows, "side int, files int, rows long")
 
 
 def ingest_jobs(s, d):
-    sources = {"202511": {"trade": "raw/t11", "order": "raw/o11"}, "202512": {"trade": "raw/t12", "order": "raw/o12"}}
-    rows = [("chosen", i, j.dataset, j.month, j.source, j.target) for i, j in enumerate(ingest.plan(sources, "out", ["202512", "202511"], ["order"]))]
+    """Jobs planned for the months of ``orders``: all, and those of the last two months, turned round, and of orders alone."""
+    found = s.read.parquet(f"{d}/orders.parquet").select(F.date_format("o_orderdate", "yyyyMM").alias("m")).distinct().orderBy("m").collect()  # a row a month
+    sources = {r.m: {n: f"raw/{n}/{r.m}" for n in ("trade", "order")} for r in found if r.m}
+    last = list(sources)[-2:][::-1]
+    rows = [("chosen", i, j.dataset, j.month, j.source, j.target) for i, j in enumerate(ingest.plan(sources, "out", last, ["order"]))]
     rows += [("all", i, j.dataset, j.month, j.source, j.target) for i, j in enumerate(ingest.plan(sources, "out"))]
     return s.createDataFrame(rows, "plan string, place int, dataset string, month string, source string, target string")
 
 
 def idempotent_stage(s, d):
-    """How often a stage is built: first, again, forced, with one output missing."""
+    """What a stage over ``events`` has built, and the number in its output, after each run: the first, a second, one with
+    another parameter, one with more input, one whose build fails, and one forced."""
     root, built = shared_dir(s), []
+    source = s.read.parquet(f"{d}/events.parquet").select("event_id", "event_type")
+    source.where("event_id % 2 = 0").write.parquet(f"{root}/in")
 
-    def run(outputs: list[str], force: bool = False) -> None:
-        def build() -> dict[str, DataFrame]:
+    def run(k: int, force: bool = False, fail: bool = False) -> None:
+        def build(at: dict[str, str]) -> dict[str, DataFrame]:
             built.append(1)
-            return {n: s.range(1) for n in outputs}
+            rows = s.read.parquet(f"{root}/in").where(F.col("event_id") % k == 0)
+            wrong = rows.select(F.raise_error(F.lit("no second output")).cast("string").alias("event_type"))
+            return {"count": rows.agg(F.count("*").alias("n")), "types": wrong if fail else rows.select("event_type").distinct()}
 
-        stage(s, {n: f"{root}/{n}" for n in outputs}, build, force)
+        stage(s, {n: f"{root}/out/{n}" for n in ("count", "types")}, build, force, [f"{root}/in"], [k])
 
     rows = []
-    for step, (outputs, force) in enumerate([(["a"], False), (["a"], False), (["a"], True), (["a", "b"], False), (["a", "b"], False)]):
-        run(outputs, force)
-        rows.append((step, len(built)))
-    return s.createDataFrame(rows, "step int, built int")
+
+    def note(step: str, *args, **more) -> None:
+        try:
+            run(*args, **more)
+        except Exception as e:
+            if "no second output" not in str(e):
+                raise
+        count = s.read.parquet(f"{root}/out/count").first().n
+        rows.append((len(rows), step, len(built), count, s.read.parquet(f"{root}/out/types").count()))
+
+    note("first", 2)
+    note("again", 2)
+    note("other parameter", 3)
+    source.where("event_id % 2 = 1").write.mode("append").parquet(f"{root}/in")
+    note("more input", 3)
+    note("failing", 5, fail=True)
+    note("again", 3)
+    note("forced", 3, force=True)
+    return s.createDataFrame(rows, "place int, step string, built int, rows long, types long")
+
+
+def _file_checks(s: SparkSession, rows: DataFrame, required: list[str], numeric: list[str], missing: str, text: str) -> DataFrame:
+    """Rows in files of one day each, of which the first day's lack a column and the last day's have text in one: the days
+    that the footers tell to be unfit, their rows and files, and what is wrong."""
+    root, rows = shared_dir(s), rows.withColumn("day", F.col("trading_day")).repartition("day")
+    first, last = rows.agg(F.min("day"), F.max("day")).first()
+    good, worse = F.col("day").between(first + 1, last - 1), rows.where(F.col("day") == last).withColumn(text, F.col(text).cast("string"))
+    for part in (rows.where(good), rows.where(F.col("day") == first).drop(missing), worse):
+        part.write.mode("append").partitionBy("day").parquet(root)
+    found = files.odd_files(files.footers(s, root), required, numeric)
+    return found.groupBy(F.regexp_extract("file", r"day=(\d+)", 1).cast("int").alias("trading_day"), "problem").agg(F.sum("rows").alias("rows"), F.count("*").alias("files"))
+
+
+def snapshot_file_checks(s, d):
+    return _file_checks(s, events.snapshots(s, d), [*schema.SORT_KEYS, *schema.book_columns(5)], schema.book_columns(5), "ask_volume_1", "bid_price_2")
+
+
+def trade_file_checks(s, d):
+    return _file_checks(s, events.trades(s, d), schema.TRADE_COLUMNS, schema.TRADE_COLUMNS[1:], "volume", "price")
+
+
+def panel_file_checks(s, d):
+    return _file_checks(s, catalogue._panel(s, d), [*E.KEYS, "symbol", *FACTORS, *LABELS], [*FACTORS, *LABELS], LABELS[0], FACTORS[0])
+
+
+def series_file_checks(s, d):
+    series = E.rank_ic_wide(catalogue._ic(s, d), catalogue.PAIRS)
+    cells = [f"{p}__{f}__{y}" for f, y in catalogue.PAIRS for p in schema.PAIR_FIELDS]
+    return _file_checks(s, series, [*E.KEYS, *cells], [c for c in cells if c.startswith(("rank_ic__", "n_obs__"))], cells[0], f"n_obs__{FACTORS[1]}__{LABELS[1]}")
+
+
+def drifted_columns(s, d):
+    """Trades in files of one side each; one side's prices are text: the column, the usual type, and the rows in such files."""
+    root, rows = shared_dir(s), events.trades(s, d).withColumn("part", F.col("side"))
+    for k in (0, 1, -11):
+        one = rows.where(F.col("side") == k)
+        (one.withColumn("price", F.col("price").cast("string")) if k == 1 else one).coalesce(1).write.mode("append").partitionBy("part").parquet(root)
+    found = files.footers(s, root)
+    return files.drifted(found).join(found.select("file", "column", "rows"), ["file", "column"]).select(F.regexp_extract("file", r"part=(-?\d+)", 1).cast("int").alias("side"), "column", "type", "usual", "rows")
 
 
 def read_many_files(s, d):
@@ -230,7 +298,7 @@ _LABELLED = [f"{p}_{h}ms" for h in HORIZONS for p in ("label_time_ms", "label_pr
 
 QUERIES = {
     **{f"ingest_{name}": _ingested(name) for name in _RAW},
-    **{f.__name__: f for f in (csv_discovery, ingest_jobs, idempotent_stage, read_many_files, unpaired_trades, schema_checks)},
+    **{f.__name__: f for f in (csv_discovery, ingest_jobs, idempotent_stage, snapshot_file_checks, trade_file_checks, panel_file_checks, series_file_checks, drifted_columns, read_many_files, unpaired_trades, schema_checks)},
     "stage_factors": _report("factors", *KEY, *FACTORS),
     **{name: _report(path, *(KEY + _LABELLED if name == "stage_labels" else [])) for name, (path, _) in STAGES.items()},
 }

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from threading import Event
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookpulse.functions.exprs import zero_padded
+from bookpulse.sources.files import by_header
 from bookpulse.sources.tables import exists, file_system, write_parquet
 
 BOOK_DEPTH = 10
@@ -96,17 +100,6 @@ def _typed(raw: str, kind: str) -> Column:
     return F.when(~F.col(f"`{raw}`").isin(*NULL_TOKENS), F.col(f"`{raw}`")).cast(kind)
 
 
-def by_header(spark: SparkSession, files: Iterable[str]) -> list[list[str]]:
-    """Files in groups of equal header lines; Spark takes the columns of all files of one read from the first."""
-    groups: dict[str, list[str]] = {}
-    for f in files:
-        fs, p = file_system(spark, f)
-        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))  # (a job a file would take longer)
-        groups.setdefault(reader.readLine() or "", []).append(f)
-        reader.close()
-    return list(groups.values())
-
-
 def scan(spark: SparkSession, source: str | Iterable[str], dataset: str, month: str) -> DataFrame:
     """Typed, renamed rows with ``symbol`` and ``source_month`` first. Columns are found by header name, never by place."""
     columns, parts = SCHEMAS[dataset], []
@@ -119,10 +112,25 @@ def scan(spark: SparkSession, source: str | Iterable[str], dataset: str, month:
     return typed.select(zero_padded(F.col("secu_code")).alias("symbol"), F.lit(month).alias("source_month"), *typed.columns)
 
 
-def run(spark: SparkSession, jobs: Iterable[IngestJob], force: bool = False) -> list[str]:
-    done = []
-    for j in jobs:
-        if force or not exists(spark, j.target):
+def run(spark: SparkSession, jobs: Iterable[IngestJob], force: bool = False, at_once: int = 4) -> list[str]:
+    """Build the targets that aren't there. Up to ``at_once`` jobs run at a time, so that a small month fills what a large one leaves free.
+
+    The first failure stops the jobs that haven't begun, and is raised once those that have are done.
+    """
+    jobs, failed = list(jobs), Event()
+
+    def build(j: IngestJob) -> None:
+        if failed.is_set():
+            return
+        try:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{j.dataset}-{j.month}")  # (of use where spark.scheduler.mode is FAIR)
             write_parquet(scan(spark, csv_files(spark, j.source), j.dataset, j.month), j.target, sort_by=["symbol", "trading_day", "event_time"])
-        done.append(j.target)
-    return done
+        except BaseException:
+            failed.set()
+            raise
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        begun = [pool.submit(inheritable_thread_target(spark)(build), j) for j in jobs if force or not exists(spark, j.target)]
+    for f in begun:
+        f.result()  # raises what failed
+    return [j.target for j in jobs]

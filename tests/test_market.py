@@ -1,6 +1,7 @@
 """The reference's scenarios and edge cases, on literal rows."""
 
 import math
+import random
 
 import pytest
 
@@ -8,11 +9,13 @@ from bookpulse.functions import exprs as X
 from bookpulse.operators import diagnose as D
 from bookpulse.operators import evaluate as E
 from bookpulse.operators import factors as B
+from bookpulse.operators import gram
 from bookpulse.operators import groups as G
 from bookpulse.operators import labels as L
 from bookpulse.operators import ranks as K
 from bookpulse.operators import redundancy as R
 from bookpulse.operators import schema
+from bookpulse.operators import states
 from pyspark.sql import functions as F
 
 BOOK = [f"{s}_{f}_{k}" for k in range(1, 6) for s in ("bid", "ask") for f in ("price", "volume")]
@@ -195,3 +198,165 @@ def test_recommendation(spark):
     assert (a.likely_redundant, a.recommended_keep, a.recommended_drop, a.reason) == (True, "oir_1", "oir_5", "high_factor_and_ic_correlation")
     assert (b.recommended_keep, b.recommended_drop, b.reason) == ("keep_both", None, "retain_both")
     assert (c.likely_redundant, c.recommended_keep, c.reason) == (None, "voi_1", "same_family_with_material_correlation")
+
+
+# ---- what scales ------------------------------------------------------------------------------------------------
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def gappy_panel(spark, symbols=30, stamps=6, seed=3):
+    """Factors with ties and NULLs: two always there, two NULL in the same rows, one in others, one constant, one never there."""
+    r = random.Random(seed)
+    rows = []
+    for t in range(stamps):
+        for k in range(symbols):
+            a, b = r.random() < 0.8, r.random() < 0.7
+            rows.append((20250101, 93000000 + t * 1000, f"{k:06d}", r.randrange(9) / 4, r.random(), r.randrange(5) / 2 if a else None, r.random() if a else None, r.random() if b else None, 1.5, None if t != 2 else None))
+    kind = "trading_day int, event_time long, symbol string, " + ", ".join(f"f{i} double" for i in range(7))
+    return spark.createDataFrame(rows, kind).repartition(3), [f"f{i}" for i in range(7)]
+
+
+def test_gram_equals_pairs(spark):
+    """Ranks once a class of NULLs give what ranks for each pair give."""
+    df, factors = gappy_panel(spark)
+    want = E.complete_statistics(df, schema.factor_pairs(factors), E.KEYS, "factor_left", "factor_right")
+    got = gram.rank_statistics(df, factors, E.KEYS, "factor_left", "factor_right")
+    columns = ["trading_day", "event_time", "factor_left", "factor_right", "n_obs", "x_n_unique", "y_n_unique", F.round("corr", 9)]
+    rows = sorted(map(str, got.select(*columns).collect()))
+    assert rows == sorted(map(str, want.select(*columns).collect())) and len(rows) == 6 * 21
+    assert sum(r.corr is not None for r in got.collect()) == 6 * 10
+    assert got.where("factor_right = 'f6'").where("n_obs is not null").count() == 0
+    assert gram.rank_statistics(df.limit(0), factors, E.KEYS, "a", "b").count() == 0
+
+
+def test_gram_takes_one_exchange_of_rows(spark):
+    """However many factors: the rows are dealt once as they are, and nothing a pair wide is."""
+    for n in (3, 7):
+        df, factors = gappy_panel(spark)
+        plan = plan_of(gram.rank_statistics(df, factors[:n], E.KEYS, "factor_left", "factor_right"))
+        assert plan.count("Exchange hashpartitioning(trading_day") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_gram_of_many_columns(spark):
+    """More columns than a word has bits."""
+    r = random.Random(1)
+    names = [f"c{i}" for i in range(70)]
+    df = spark.createDataFrame([(1, *(r.random() if (i + k) % 3 or i < 60 else None for i in range(70))) for k in range(12)], "k int, " + ", ".join(f"{c} double" for c in names))
+    got = gram.rank_statistics(df, names, ["k"], "a", "b").where("a = 'c2' and b in ('c3', 'c65', 'c69')")
+    want = E.rank_statistics(df, [("c2", b) for b in ("c3", "c65", "c69")], ["k"], "a", "b")
+    columns = ["a", "b", "n_obs", "x_n_unique", "y_n_unique", F.round("corr", 9)]
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+
+
+def series(spark, days=5):
+    r = random.Random(7)
+    rows = []
+    for d in range(days):
+        for t in (93000000, 100000000, 120000000, 140000000):
+            for f in ("oir_1", "voi_1"):
+                why = r.choice([None, None, None, "factor_constant", "below_min_cross_section"])
+                rows.append((20250130 + d if d < 2 else 20250200 + d, t, f, "fwd_ret_3000ms", None if why else r.uniform(-1, 1), r.randrange(2, 40) if r.random() < 0.9 or why is None else None, why is None, why))
+    return spark.createDataFrame(rows, "trading_day int, event_time long, factor string, label string, rank_ic double, n_obs long, is_valid boolean, invalid_reason string")
+
+
+def test_cube_is_one_scan(spark):
+    long = series(spark)
+    plan = plan_of(E.cube(long))
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Expand") == 1
+    cube = E.cube(long)
+    assert {r[0] for r in cube.select("level").distinct().collect()} == set(E.LEVELS)
+    for name, by in E.LEVELS.items():
+        rows = long.withColumns({"month": X.month_of(), "session": X.session()})
+        rows = rows.where("session <> 'off_session'") if "session" in by else rows
+        alone = rows.groupBy("factor", "label", *by).agg(*E.sums())
+        got = E.level(cube, name).select(*alone.columns)
+        rounded = lambda df: sorted(str(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in df.collect())
+        assert rounded(got) == rounded(alone) and got.count() > 1
+    assert E.cube(long.limit(0)).count() == 0
+
+
+def test_store_of_days(spark, tmp_path):
+    """Days added one after the other, one made again: the figures are those of all days at once, other days' files stay."""
+    r, store = random.Random(2), str(tmp_path / "store")
+    rows = [(d, 93000000 + t, f"{k:06d}", None if r.random() < 0.1 else r.randrange(20) / 3, 2.5, r.gauss(0, 1)) for d in (20250130, 20250131, 20250203, 20250204) for t in (0, 3000) for k in range(14)]
+    p = spark.createDataFrame(rows, "trading_day int, event_time long, symbol string, oir_1 double, voi_1 double, fwd_ret_3000ms double")
+    files = lambda day: sorted((f.name, f.stat().st_mtime_ns) for f in (tmp_path / "store").glob(f"*/trading_day={day}/*"))
+    assert states.days(spark, store) == set()
+    assert states.update(spark, store, p.where("trading_day < 20250131")) == [20250130]
+    before = files(20250130)
+    assert states.update(spark, store, p.where("trading_day < 20250204")) == [20250131, 20250203] and states.update(spark, store, p, again=[20250203, 20300101]) == [20250203, 20250204]
+    assert files(20250130) == before and states.update(spark, store, p) == [] and states.days(spark, store) == {20250130, 20250131, 20250203, 20250204}
+    rounded = lambda df, columns: sorted(str(tuple(round(v, 9) if isinstance(v, float) else v for v in x)) for x in df.select(*columns).collect())
+    ic = E.rank_ic(p)
+    returns = G.returns(G.grouped(p))
+    for got, want in (
+        (states.ic_summary(spark, store), E.summary(ic)), (states.ic_summary(spark, store, ["month"]), E.monthly(ic)), (states.group_summary(spark, store), G.summary(returns)), (states.coverage(spark, store), D.coverage(p)),
+    ):
+        assert set(got.columns) == set(want.columns) and rounded(got, want.columns) == rounded(want, want.columns) and want.count()
+    with pytest.raises(ValueError, match="without"):
+        states.update(spark, store, p.withColumn("trading_day", F.lit(None).cast("int")))
+
+
+def test_merged_moments_of_a_constant(spark):
+    """A value that never changes has no spread, however it is split."""
+    rows = spark.createDataFrame([(d, 0.1 + 0.2) for d in range(7) for _ in range(d + 1)] + [(8, None)], "d int, v double")
+    got = rows.groupBy("d").agg(*states.moments("v")).agg(*states.merged_moments("m", "s", n="n")).first()
+    assert (got.m, got.s, got.n) == (0.1 + 0.2, 0.0, 28)
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Small tables stay in as many parts as large ones would."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+def test_asof_over_parts(spark, many_parts):
+    """A day that holds nearly all rows lies in all parts; matches across the parts' ends, ties, gaps and NULLs are right."""
+    r = random.Random(4)
+    day = lambda: "hot" if r.random() < 0.9 else r.choice(["a", "b", None])
+    builds = [(day(), r.randrange(4000) if r.random() < 0.98 else None, r.randrange(3), None if r.random() < 0.2 else r.random(), k) for k in range(300)]
+    probes = [(k, day(), r.randrange(4200) if r.random() < 0.98 else None) for k in range(3000)]
+    left = spark.createDataFrame(probes, "id int, day string, at int")
+    right = spark.createDataFrame(builds, "day string, t int, tie int, v double, b int")
+    got = {x.id: (x.v, x.b) for x in L.asof_forward(left, right, ["day"], "at", "t", ["v", "b"], ["tie"]).collect()}
+    order = lambda x: (x[1], x[2], x[3] is not None, x[3] or 0, x[4])
+    for k, d, at in probes:
+        later = [b for b in builds if d is not None and at is not None and b[0] == d and b[1] is not None and b[1] >= at]
+        want = min(later, key=order) if later else (None,) * 5
+        assert got[k] == (want[3], want[4]), (k, d, at)
+    parts = left.select("day", F.col("at").alias("_k")).repartitionByRange("day", "_k").withColumn("p", F.spark_partition_id()).where("day = 'hot'").groupBy("p").count().collect()
+    assert len(parts) >= 3 and max(x["count"] for x in parts) < 0.6 * len(probes)
+    assert L.asof_forward(left, right.limit(0), ["day"], "at", "t", ["v"]).where("v is not null").count() == 0
+    assert L.asof_forward(left.limit(0), right, ["day"], "at", "t", ["v"]).count() == 0
+
+
+def test_ordinal_groups_of_one_hot_group(spark, many_parts):
+    r = random.Random(5)
+    rows = [(None if k % 50 == 49 else "hot" if k % 10 else "small", None if r.random() < 0.05 else r.randrange(40) / 2, k) for k in range(2000)] + [("tiny", 1.0, 5000)]
+    df = spark.createDataFrame(rows, "g string, x double, k int").repartition(5)
+    got = {x.k: (x.ordinal, x.n, x.group_id) for x in K.ordinal(df, ["g"], "x", ["k"], least=10, groups=5).where("g is not null").collect()}
+    for g in ("hot", "small"):
+        order = sorted((x, k) for h, x, k in rows if h == g and x is not None)
+        n = len(order)
+        for place, (_, k) in enumerate(order, 1):
+            assert got.pop(k) == (place, n, min(5, int((place - 1) * 5 / n) + 1))
+    assert not got
+    plain = {x.k: x.ordinal for x in K.ordinal(df, ["g"], "x", ["k"]).collect()}
+    assert plain[5000] == 1
+
+
+def test_rank_statistics_with_gaps(spark, many_parts):
+    """Groups of any size: a label is ranked once for factors without gaps, and once for each with gaps."""
+    r = random.Random(6)
+    rows = [("hot" if k % 9 else "b", r.randrange(6) / 2, r.random(), None if r.random() < 0.3 else r.randrange(50) / 7, None if r.random() < 0.1 else r.randrange(30) / 3) for k in range(1500)]
+    df = spark.createDataFrame(rows, "g string, f double, h double, gap double, y double").repartition(4)
+    pairs = [("f", "y"), ("h", "y"), ("gap", "y"), ("f", "h")]
+    columns = ["g", "factor", "label", "n_obs", "x_n_unique", "y_n_unique", F.round("corr", 9)]
+    got, want = (sorted(map(str, m.rank_statistics(df, pairs, ["g"]).select(*columns).collect())) for m in (K, E))
+    assert got == want and len(got) == 8

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from bookpulse import cli
 from bookpulse.operators import factors as B
 from bookpulse.plans import catalogue, stages
-from bookpulse.sources import events, ingest
+from bookpulse.sources import events, files, ingest, tables
+from bookpulse.sources.tables import read_many
 from bookpulse.streaming.trades import streaming_imbalance
 
 
@@ -90,3 +91,92 @@ def test_streaming_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {tuple(r) for r in spark.table("imb").drop("bucket_at").collect()}
     assert got == {tuple(r) for r in B.trade_imbalance(rows, catalogue.WINDOW_MS).collect()}
+
+
+def test_footers_name_odd_files(spark, tmp_path):
+    root = str(tmp_path / "in")
+    good = spark.createDataFrame([(1, 2.0, "x")] * 3, "a int, b double, c string").coalesce(1)
+    for k in range(5):
+        good.write.parquet(f"{root}/deep/p{k}")
+    good.drop("b").write.parquet(f"{root}/no_b")
+    good.withColumn("b", F.lit("x")).write.parquet(f"{root}/text_b")
+    found = files.footers(spark, root)
+    assert found.count() == 5 * 3 + 2 + 3
+    got = {(r.file.split("/")[-2], r.rows, r.problem) for r in files.odd_files(found, ["a", "b"], ["a", "b"]).collect()}
+    assert got == {("no_b", 3, "missing columns: b"), ("text_b", 3, "not numeric: b")}
+    assert [(r.file.split("/")[-2], r.column, r.type, r.usual) for r in files.drifted(found).collect()] == [("text_b", "b", "string", "double")]
+    (tmp_path / "none").mkdir()
+    for path in ("none", "nowhere"):
+        with pytest.raises(FileNotFoundError):
+            files.footers(spark, str(tmp_path / path))
+    with pytest.raises(FileNotFoundError):
+        read_many(spark, str(tmp_path / "nowhere"))
+
+
+def test_headers_are_grouped_by_tasks(spark, tmp_path):
+    for k in range(130):
+        _csv(tmp_path / f"{k:03d}.csv", [[1, 2]], ["a", "b"] if k % 3 else ["b", "a"])
+    names = [str(tmp_path / f"{k:03d}.csv") for k in range(130)]
+    want = [[n for k, n in enumerate(names) if k % 3 == 0], [n for k, n in enumerate(names) if k % 3]]
+    assert files.by_header(spark, names) == sorted(want) == files._by_header_here(spark, names)
+
+
+def test_ingest_runs_jobs_at_once_and_stops_at_a_failure(spark, tmp_path):
+    row = [1, 20251103, 93000000, 1, 1, 1, 1, 1, 1, 1, 1]
+    for m in ("202501", "202502", "202503"):
+        _csv(tmp_path / m / "a.csv", [row] * 3, TRADE)
+    sources = {m: {"trade": str(tmp_path / m)} for m in ("202501", "202502", "202503")}
+    jobs = ingest.plan(sources, str(tmp_path / "out"))
+    assert ingest.run(spark, jobs) == [j.target for j in jobs] and all(spark.read.parquet(j.target).count() == 3 for j in jobs)
+    jobs = ingest.plan(sources | {"202500": {"trade": str(tmp_path / "nowhere")}}, str(tmp_path / "again"), ["202500", "202501", "202502", "202503"])
+    with pytest.raises(FileNotFoundError):
+        ingest.run(spark, jobs, at_once=1)
+    assert not (tmp_path / "again").exists()
+
+
+def test_stage_rebuilds_and_survives(spark, tmp_path, monkeypatch):
+    """Changed inputs and parameters rebuild; a failing build leaves the old set, a broken move is ended by the next run."""
+    outputs, built = {n: str(tmp_path / "out" / n) for n in ("a", "b")}, []
+    source = str(tmp_path / "in")
+    spark.range(4).write.parquet(source)
+
+    def run(k, fail=False):
+        def build(at):
+            built.append(k)
+            n = spark.read.parquet(source).count()
+            frames = {"a": spark.range(n * k), "b": spark.range(n * k)}
+            return frames | ({"b": frames["b"].select(F.raise_error(F.lit("stop")).cast("long").alias("id"))} if fail else {})
+
+        tables.stage(spark, outputs, build, inputs=[source], parameters=[k])
+        return [spark.read.parquet(p).count() for p in outputs.values()]
+
+    assert run(1) == [4, 4] and run(1) == [4, 4] and built == [1]
+    assert run(2) == [8, 8] and built == [1, 2]
+    spark.range(1).write.mode("append").parquet(source)
+    assert run(2) == [10, 10] and built == [1, 2, 2]
+    with pytest.raises(Exception, match="stop"):
+        run(3, fail=True)
+    assert [spark.read.parquet(p).count() for p in outputs.values()] == [10, 10] and run(2) == [10, 10] and len(built) == 4
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["a", "a.manifest.json", "b"]
+    move, moved = tables._move, []
+
+    def breaks(*args):
+        if moved:
+            raise OSError("broken off")
+        moved.append(args)
+        move(*args)
+
+    monkeypatch.setattr(tables, "_move", breaks)
+    with pytest.raises(OSError, match="broken off"):
+        run(4)
+    monkeypatch.setattr(tables, "_move", move)
+    assert run(4) == [20, 20] and built[-1] == 4 and len(built) == 5
+
+
+def test_panel_of_another_input_is_built_anew(spark, tmp_path):
+    frame = spark.createDataFrame([(1, 2, "s", "m", 1.0, 2.0)], "trading_day int, event_time long, symbol string, source_month string, oir_1 double, fwd_ret_3000ms double")
+    source, out = str(tmp_path / "l"), str(tmp_path / "p")
+    for n in (1, 2):
+        frame.write.mode("append").parquet(source)
+        stages.panel(spark, source, out)
+        assert spark.read.parquet(out).count() == n
