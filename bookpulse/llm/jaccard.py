@@ -42,7 +42,7 @@ from bookpulse.llm.simhash import components
 
 SHINGLE, SHARE, WHOLE = 3, 90, 100
 #: Buckets of the count table (a power of two), and buckets in a row of it.
-BITS, BLOCK = 22, 4096
+BITS, BLOCK = 24, 1 << 16
 #: Parts in which the n-grams behind a shared one are counted.
 PARTS = 64
 #: A list of one node more than HUBS gives all its pairs at once; of a longer one all are paired with LARGE_HUBS nodes
@@ -185,6 +185,16 @@ def _new(seen: set, key: bytes | None) -> bool:
 # ---- counts in buckets ----------------------------------------------------------------------------------------
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in as many bytes each as the largest takes, compressed; the first byte says how many."""
+    size = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    return bytes([size]) + pa.compress(counts.astype(f"<u{size}").tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[1:], data[0] * BLOCK, codec="zstd", asbytes=True), f"<u{data[0]}").astype(np.int64)
+
+
 class Buckets:
     """Counts of hashes in buckets inside a task, given as the rows that aren't zero."""
 
@@ -196,10 +206,9 @@ class Buckets:
         self.counts[at.astype(np.int64)] += n.astype(np.uint32)
 
     def blocks(self) -> tuple[pa.Array, pa.Array]:
-        rows = self.counts.reshape(-1, min(BLOCK, 1 << BITS))
+        rows = self.counts.reshape(-1, BLOCK)
         at = np.flatnonzero(rows.any(1))
-        narrow = lambda r: r.astype(np.uint8 if r.max() < 1 << 8 else np.uint16 if r.max() < 1 << 16 else np.uint32).tobytes()
-        return pa.array(at.astype(np.int32)), pa.array([narrow(rows[k]) for k in at], pa.binary())
+        return pa.array(at.astype(np.int32)), pa.array([_packed(rows[k]) for k in at], pa.binary())
 
 
 def gather_counts(blocks: DataFrame) -> np.ndarray:
@@ -209,11 +218,11 @@ def gather_counts(blocks: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(c, f"<u{len(c) // min(BLOCK, 1 << BITS)}").astype(np.int64)
+                sums[k] = sums.get(k, 0) + _unpacked(c)
         logs = [np.minimum(255, np.ceil(8 * np.log2(1 + s))).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(logs, pa.binary())], names=["block", "logs"])
 
-    out = np.zeros((1 << BITS) // min(BLOCK, 1 << BITS) * min(BLOCK, 1 << BITS), np.uint8).reshape(-1, min(BLOCK, 1 << BITS))
+    out = np.zeros((1 << BITS) // BLOCK * BLOCK, np.uint8).reshape(-1, BLOCK)
     for r in blocks.repartition("block").mapInArrow(run, "block int, logs binary").collect():
         out[r.block] = np.frombuffer(r.logs, np.uint8)
     return out.reshape(-1)
@@ -329,8 +338,7 @@ def tallies(docs: DataFrame, rank, wanted) -> DataFrame:
         first = ordered(found, rank.value)[: prefix_length(len(found))]
         return np.bincount(part, minlength=PARTS).astype("<u4").tobytes() + ((first >> np.uint64(32)) % np.uint64(PARTS)).astype(np.uint8).tobytes()
 
-    of = "node binary, tally binary"
-    return _of_nodes(docs, wanted, "tally", row).repartition("node").sortWithinPartitions("node").mapInArrow(_once, of)
+    return _of_nodes(docs, wanted, "tally", row)
 
 
 def whole_sets(docs: DataFrame, wanted) -> DataFrame:
@@ -353,16 +361,6 @@ def node_buckets(nodes: DataFrame):
     return nodes.sparkSession.sparkContext.broadcast(gather_counts(nodes.select("node").mapInArrow(run, "block int, counts binary")))
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each node, of rows sorted by node."""
-    last = None
-    for b in batches:
-        keys = b.column(0).to_pylist()
-        first = [k != p for k, p in zip(keys, [last, *keys])]
-        last = keys[-1] if keys else last
-        yield b.filter(pa.array(first, pa.bool_()))
-
-
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """g, node, pos and the counts in parts (255 at most) of the node's n-grams behind g."""
     for b in batches:
@@ -401,11 +399,13 @@ _MEMBER = "g long, node binary, pos int, suffix binary, a binary, b binary, know
 
 
 def _with_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by g and pos: all pairs of a list of HUBS + 1 rows, and of a longer one its rows and those with few hubs.
+    """Of rows sorted by g, pos and node: all pairs of a list of HUBS + 1 nodes, and of a longer one its rows and those with few hubs.
+
+    A node's rows from several tasks count once.
 
     Pairs have a, b and the differences known of, rows of longer lists the columns they came with. Only the hubs are held.
     """
-    key, hubs, seen = None, [], 0
+    key, hubs, seen, last = None, [], 0, None
 
     def rows(g, keys, pos, suffix) -> pa.RecordBatch:
         n = len(g)
@@ -416,6 +416,9 @@ def _with_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         g, keys, n, pos, suffix = _columns(b)
+        new = np.concatenate([[last != (int(g[0]), keys[0].tobytes())], (g[1:] != g[:-1]) | (keys[1:] != keys[:-1]).any(1)])
+        last = int(g[-1]), keys[-1].tobytes()
+        g, keys, n, pos, suffix = (x[new] for x in (g, keys, n, pos, suffix))
         cuts = np.flatnonzero(np.diff(g)) + 1
         left, right, known, large = [], [], [], np.zeros(len(g), bool)
 
@@ -427,7 +430,7 @@ def _with_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 right.append(keys[i:j][ok])
                 known.append(apart)
 
-        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(g)]):
+        for i, j in zip([0, *cuts.tolist()] if len(g) else [], [*cuts.tolist(), len(g)]):
             if key is None or g[i] != key:
                 key, hubs, seen = g[i], [], 0
             for k in range(i, min(j, i + HUBS + 1 - seen)):  # the first rows: each with those before it
