@@ -48,7 +48,7 @@ class TrieCodec:
     def __init__(self, path: str):
         self.model = load_model(path)
         self.split = special_split(self.model.special) if self.model.special else None
-        self.cache = PieceCache(_cut, self.model.encode_words, b"".join, 300_000)
+        self.cache = PieceCache(_cut, self.model.encode_words, b"".join, 160_000)
 
     def chunks(self, text: str) -> list[str]:
         """Parts whose pretokens are those of the text: a border before white space is one between pretokens."""
