@@ -42,11 +42,20 @@ def classed(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataF
     words = [f"_w{i}" for i in range(-(-len(columns) // WORD))]
     rows = rows.withColumns(dict(zip(words, _words([null(k) for k in range(len(columns))]))))
     stamp = Window.partitionBy(*keys)
-    differs = lambda k: F.array(*(F.bit_or(F.when(null(k), F.bitwise_not(w)).otherwise(F.col(w))).over(stamp) for w in words))
-    rows = rows.withColumn("_d", F.array(*(differs(k) for k in range(len(columns)))))
-    # The first column whose bit is not set among those that differ from k; k's own never is.
-    first = f"transform(_d, d -> array_min(filter(sequence(0, {len(columns) - 1}), g -> (shiftright(get(d, cast(floor(g / {WORD}) as int)), g % {WORD}) & 1) = 0)))"
-    return rows.select(*keys, "_row", "_v", F.expr(first).alias("_class"))
+    differs = lambda k: [F.bit_or(F.when(null(k), F.bitwise_not(w)).otherwise(F.col(w))).over(stamp) for w in words]
+    rows = rows.withColumns({f"_d{k}_{i}": d for k in range(len(columns)) for i, d in enumerate(differs(k))})
+
+    def first(k: int) -> Column:
+        """The lowest bit that isn't set among those that differ from column k; k's own never is."""
+        ones = lambda w: F.bit_count(F.col(w).bitwiseAND(F.bitwise_not(F.col(w) + 1)))  # noqa: E731  below the lowest zero
+        found = ones(f"_d{k}_{len(words) - 1}") + WORD * (len(words) - 1)
+        for i in reversed(range(len(words) - 1)):
+            w = f"_d{k}_{i}"
+            full = F.col(w).bitwiseAND(F.lit((1 << WORD) - 1)) == (1 << WORD) - 1
+            found = F.when(full, found).otherwise(ones(w) + WORD * i)
+        return found.cast("int")
+
+    return rows.select(*keys, "_row", "_v", F.array(*map(first, range(len(columns)))).alias("_class"))
 
 
 def rank_statistics(df: DataFrame, columns: Sequence[str], keys: Sequence[str], left: str, right: str) -> DataFrame:

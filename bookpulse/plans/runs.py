@@ -293,6 +293,7 @@ STAGES = {
     "stage_fig_rank_ic": ("figures/core_factor_rank_ic", "fig_core_rank_ic"),
     "stage_fig_monotonicity": ("figures/core_factor_monotonicity", "fig_core_monotonicity"),
     "stage_fig_redundancy": ("figures/factor_redundancy_heatmap", "fig_redundancy_matrix"),
+    "stage_fig_coverage": ("figures/factor_coverage_validity", "fig_coverage_validity"),
 }
 _LABELLED = [f"{p}_{h}ms" for h in HORIZONS for p in ("label_time_ms", "label_price", "fwd_ret")]
 
