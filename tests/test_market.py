@@ -163,6 +163,18 @@ def test_rank_statistics_of_large_groups(spark):
     assert K.rank_statistics(df.limit(0), pairs, ["g"]).count() == 0
 
 
+def test_parts_follow_the_rows(spark, monkeypatch):
+    """A task numbers a few parts at most, however well its rows compress; results are those of one window."""
+    monkeypatch.setattr(K, "PART_ROWS", 2000, raising=False)
+    rows = spark.range(60_000).select(F.lit(1).alias("g"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") * 7919 % 30_011).cast("double").alias("y"), "id")
+    tasks = K._labelled(rows, ["x"], "y", ["g"])[0].groupBy(F.spark_partition_id()).count().collect()
+    assert sum(t["count"] for t in tasks) == 60_000 and max(t["count"] for t in tasks) < 20_000
+    pairs = [("x", "y"), ("y", "x")]
+    assert sorted(map(tuple, K.rank_statistics(rows, pairs, ["g"]).collect())) == sorted(map(tuple, E.rank_statistics(rows, pairs, ["g"]).collect()))
+    last = K.ordinal(rows, ["g"], "y", ["id"]).orderBy("ordinal").select("y", "id", "ordinal", "n").collect()
+    assert [x.ordinal for x in last] == list(range(1, 60_001)) and [(x.y, x.id) for x in last] == sorted((x.y, x.id) for x in last)
+
+
 def test_group_sizes(spark):
     sizes = spark.range(1, 13).groupBy(X.quantile_group(F.col("id"), F.lit(12), 5).alias("g")).count().orderBy("g").collect()
     assert [r["count"] for r in sizes] == [3, 2, 3, 2, 2]
