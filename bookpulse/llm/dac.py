@@ -23,10 +23,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bookpulse.llm.bpe import PieceCache, space_free, special_split, word_normal, word_pieces
+from bookpulse.llm.bpe import space_free, special_split, word_normal, word_pieces
 from bookpulse.llm.common import SLICE_ROWS, filesystem, put_atomically, slices
 
 MAGIC, END, WIDTH, RANK_BITS = b"DACS", b"DACE", 8, 512
@@ -142,9 +144,16 @@ def token(file, i: int) -> int:
 
 
 class WordEncoder:
-    """The tokenizers library on the distinct pieces of texts; characters beyond plain Latin go to it as whole chunks."""
+    """The tokenizers library on the distinct pieces of texts; characters beyond plain Latin go to it as whole chunks.
 
-    def __init__(self, path: str):
+    The ids of all known space-free chunks and of their pieces lie in one array; a batch of texts is looked up chunk by
+    chunk and its ids are gathered at once. Up to ``bound`` chunks and pieces are kept (frequent ones come early); what
+    comes later, or is longer than ``LONG`` characters, stays for one call. Both bounds change time, never results.
+    """
+
+    LONG, TOGETHER = 64, 2000
+
+    def __init__(self, path: str, bound: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -153,10 +162,22 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.odd = regex.compile(_ODDITIES).search
+        self.plain = re.compile(r"[\t-\r\x20-\x7e\xa1-ɏ]*").fullmatch
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.added = {s: np.array([i], "<u4").tobytes() for s, i in added.items()}
         self.split = special_split(added)
-        self.cache = PieceCache(self.cut, self.solve, b"".join)
+        self.bound = bound
+        self.codes: dict[str, int] = {}  # the number of each kept chunk or piece; its ids are ids[first : first + size]
+        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        # (a space comes before special tokens, as no chunk has one)
+        self.keep({" " + s: np.array([i], "<u4").tobytes() for s, i in added.items()})
+
+    def chunks(self, text: str) -> list[str]:
+        """Space-free chunks, in lower case where the whole text is plain in either case."""
+        low = text.lower()
+        return space_free(low if text.isascii() or self.plain(text) and self.plain(low) else text)
 
     def cut(self, chunk: str) -> list[str]:
         if chunk.isascii():
@@ -164,20 +185,68 @@ class WordEncoder:
             return [low] if low.isalpha() else word_pieces(low)
         return [chunk] if self.odd(chunk) else word_pieces(word_normal(chunk))
 
-    def solve(self, pieces: set) -> dict:
-        todo = list(pieces)
-        found = self.library.encode_batch_fast(todo, add_special_tokens=False)
-        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(todo, found)}
+    def solve(self, pieces: list) -> dict[str, bytes]:
+        """Ids of distinct pieces. Plain ones are pretokens: they go to the library side by side, and a mark ends the last token of each."""
+        found = {}
+        plain = [p for p in pieces if not self.odd(p)]
+        for at in range(0, len(plain), self.TOGETHER):
+            some = plain[at : at + self.TOGETHER]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(ends) == len(some) + 1 and ends[-1] == ids.nbytes:
+                coded = ids.tobytes()
+                found |= {p: coded[a:b] for p, a, b in zip(some, ends, ends[1:])}
+        todo = [p for p in pieces if p not in found]
+        each = self.library.encode_batch_fast(todo, add_special_tokens=False)
+        return found | {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(todo, each)}
+
+    def more(self, values: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The three arrays with further entries."""
+        values = list(values)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        first = len(self.ids) + np.cumsum(sizes) - sizes
+        return np.concatenate([self.first, first]), np.concatenate([self.size, sizes]), np.concatenate([self.ids, np.frombuffer(b"".join(values), "<u4")])
+
+    def keep(self, new: dict[str, bytes]) -> None:
+        self.codes.update(zip(new, range(len(self.first), len(self.first) + len(new))))
+        self.first, self.size, self.ids = self.more(new.values())
+
+    def learn(self, unseen: list) -> tuple[dict, tuple]:
+        """Numbers of unseen chunks, and the arrays that these are for."""
+        known = self.codes
+        cuts = {c: self.cut(c) for c in unseen}
+        new = self.solve(list(set().union(*cuts.values()).difference(known)))
+
+        def value(piece: str) -> bytes:
+            if piece in new:
+                return new[piece]
+            k = known[piece]
+            return self.ids[self.first[k] : self.first[k] + self.size[k]].tobytes()
+
+        new.update([(c, b"".join(map(value, pieces))) for c, pieces in cuts.items() if c not in new])
+        if len(known) < self.bound:
+            self.keep({c: v for c, v in new.items() if len(c) <= self.LONG})
+        passing = [c for c in unseen if c not in known]
+        number = dict(zip(passing, range(len(self.first), len(self.first) + len(passing))))
+        return number | {c: known[c] for c in unseen if c in known}, self.more(new[c] for c in passing)
 
     def encode(self, texts: list) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = []
+        flat, upto = [], [0]
         for t in texts:
-            segments = self.split.split(t) if t and "<|" in t else [t or ""]
-            cut.append([s if k % 2 else space_free(s) for k, s in enumerate(segments)])
-        value = self.cache.values({c for parts in cut for p in parts if isinstance(p, list) for c in p})
-        get = value.__getitem__
-        return [b"".join(b"".join(map(get, p)) if isinstance(p, list) else self.added[p] for p in parts) for parts in cut]
+            for k, s in enumerate(self.split.split(t) if t and "<|" in t else [t or ""]):
+                flat += [" " + s] if k % 2 else self.chunks(s)
+            upto.append(len(flat))
+        codes = np.fromiter(map(self.codes.get, flat, repeat(-1)), np.int64, len(flat))
+        first, size, ids = self.first, self.size, self.ids
+        if missing := np.flatnonzero(codes < 0).tolist():
+            number, (first, size, ids) = self.learn(list({flat[i]: None for i in missing}))
+            codes[missing] = [number[flat[i]] for i in missing]
+        held = size[codes]
+        ends = np.concatenate([[0], np.cumsum(held)])
+        coded = ids[np.repeat(first[codes] - ends[:-1], held) + np.arange(ends[-1])].tobytes()
+        bounds = (4 * ends[upto]).tolist()
+        return [coded[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 @lru_cache(maxsize=2)

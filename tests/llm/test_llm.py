@@ -93,6 +93,37 @@ def test_op1(spark, odd_dir):
         assert sorted(got) == want
 
 
+@pytest.mark.parametrize("bound", [0, 50, 400_000])
+def test_word_encoder_equals_library(bound):
+    """Any bound of what is kept gives the library's ids; odd characters and near special tokens included."""
+    r, tok, coder = random.Random(bound), Tokenizer.from_file(WORD), dac.WordEncoder(WORD, bound)
+    atoms = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "İ", "Ɓ", "Ⱥ", "\x85", "\x90", "\x1c", " ", "\n", "\u2028", "\u212a", "Σ", "'s", "'S", "é", "\u0301", "Ä", "漢字", "12", "²", "\x00", "the", "The", "%%", ",", "a", "B", "x" * 70, "ab," * 40]
+    for _ in range(100):
+        texts = [None, "", *("".join(r.choice(atoms) + " " * (r.random() < 0.3) for _ in range(r.randrange(25))) for _ in range(10))]
+        want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        assert coder.encode(texts) == want
+    assert coder.encode([]) == [] and coder.encode([None]) == [b""]
+
+
+def test_word_encoder_asks_for_pieces_together():
+    """Plain pieces go to the library many at a time, and not again when they come in capitals."""
+    coder, asked = dac.WordEncoder(WORD), []
+    library = coder.library
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.append(len(texts))
+            return library.encode_batch_fast(texts, **options)
+
+    coder.library = Counting()
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefgé") for _ in range(9)) for _ in range(3000)]
+    coder.encode([" ".join(words)])
+    assert 0 < sum(asked) <= 3
+    asked.clear()
+    assert coder.encode([" ".join(words).title()]) == [np.array(library.encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()] and sum(asked) == 0
+
+
 def test_dac_random_access(spark, tmp_path):
     ids = np.random.default_rng(1).integers(0, 1 << 20, 3000).astype("<u4")
     ids[:5] = [0, 255, 256, 65536, (1 << 32) - 1]
