@@ -45,6 +45,8 @@ MAGIC, END, WIDTH, RANK_BITS = b"DACS", b"DACE", 8, 512
 SEGMENT_TOKENS = 1 << 20
 _NULL_ID = -(1 << 63)  # stands for a null doc_id inside files
 _ODDITIES = r"[^\x21-\x7e\xa1-ɏ]"
+# WORD_PRETOKEN with the letters and numbers up to U+024F written out, for texts that have no others.
+_plain_pretokens = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼-¾]|[^\sA-Za-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼-¾]+").findall
 
 
 # ---- one segment ----------------------------------------------------------------------------------------------
@@ -146,8 +148,8 @@ def token(file, i: int) -> int:
 class WordEncoder:
     """The tokenizers library on the distinct pieces of texts; characters beyond plain Latin go to it as whole chunks.
 
-    The ids of all known space-free chunks and of their pieces lie in one array; a batch of texts is looked up chunk by
-    chunk and its ids are gathered at once. Up to ``bound`` chunks and pieces are kept (frequent ones come early); what
+    The ids of all known space-free chunks and pretokens lie in one array; a batch of texts is looked up piece by
+    piece and its ids are gathered at once. Up to ``bound`` of them are kept (frequent ones come early); what
     comes later, or is longer than ``LONG`` characters, stays for one call. Both bounds change time, never results.
     """
 
@@ -175,9 +177,11 @@ class WordEncoder:
         self.keep({" " + s: np.array([i], "<u4").tobytes() for s, i in added.items()})
 
     def chunks(self, text: str) -> list[str]:
-        """Space-free chunks, in lower case where the whole text is plain in either case."""
+        """The pretokens of a text that is plain in either case; space-free chunks of any other."""
         low = text.lower()
-        return space_free(low if text.isascii() or self.plain(text) and self.plain(low) else text)
+        if self.plain(text) and self.plain(low):
+            return _plain_pretokens(low)
+        return space_free(low if text.isascii() else text)
 
     def cut(self, chunk: str) -> list[str]:
         if chunk.isascii():
